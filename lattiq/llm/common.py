@@ -104,3 +104,8 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def small(df: DataFrame, limit: int = 100_000) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``limit`` rows, else as it is."""
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattiq.llm import quality_rules
+from lattiq.llm import mixing, quality_rules, sharding
 from lattiq.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -46,5 +46,50 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail
 FROM f
 """
 
-QUERIES: dict[str, Query] = {"op1_quality_rules": op1_quality_rules}
-ORACLE_SQL: dict[str, str] = {"op1_quality_rules": OP1_SQL}
+
+def op4_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(read(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return mixed.select(F.col("key").alias("doc_id"), "source", "size", "source_size", "target", "copies", "taken")
+
+
+OP4_SQL = r"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, count(*) AS n FROM d GROUP BY source),
+w AS (SELECT *, ([3, 1, 2])[((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::BIGINT AS weight, 2 * source_size AS cap FROM s),
+l AS (SELECT *, (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(cap) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE
+          / (sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE AS level,
+        row_number() OVER o AS nr FROM w WINDOW o AS (ORDER BY cap::DOUBLE / weight, source NULLS LAST)),
+k AS (SELECT min(nr) AS first_open FROM l WHERE level * weight <= cap),
+t AS (SELECT source, source_size, CASE WHEN nr >= first_open THEN (SELECT level FROM l l2 WHERE l2.nr = first_open) * weight ELSE cap::DOUBLE END AS target
+      FROM l, k),
+g AS (SELECT *, floor(CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END)::BIGINT AS whole FROM t),
+h AS (SELECT *, target - whole * source_size AS remain FROM g),
+u AS (SELECT d.doc_id, d.source, d.size, h.source_size, h.target, h.whole, h.remain,
+             (('0x' || substr(md5('17:' || coalesce(d.doc_id::VARCHAR, 'null')), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0::DOUBLE AS u,
+             least(greatest(h.remain / greatest(h.source_size, 1)::DOUBLE, 1e-12::DOUBLE), 1.0::DOUBLE - 1e-12::DOUBLE) AS p
+      FROM d JOIN h ON d.source IS NOT DISTINCT FROM h.source),
+r AS (SELECT *, (u / (1 - u)) / (p / (1 - p)) AS rank FROM u),
+z AS (SELECT source, rank, remain, sum(size) AS z FROM r GROUP BY ALL),
+c AS (SELECT source, rank, 2 * (remain - coalesce(sum(z) OVER (PARTITION BY source ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) > z AS hit FROM z),
+f AS (SELECT r.*, least(whole + CASE WHEN remain > 0 AND hit THEN 1 ELSE 0 END, 2)::BIGINT AS copies
+      FROM r JOIN c ON r.source IS NOT DISTINCT FROM c.source AND r.rank = c.rank)
+SELECT doc_id, source, size, source_size, target, copies, (copies * size)::BIGINT AS taken FROM f
+"""
+
+def op10_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.shard(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return placed.select(
+        F.col("key").alias("doc_id"), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+QUERIES: dict[str, Query] = {
+    "op1_quality_rules": op1_quality_rules,
+    "op4_pareto_mix": op4_pareto_mix,
+    "op10_ring_shards": op10_ring_shards,
+}
+ORACLE_SQL: dict[str, str] = {
+    "op1_quality_rules": OP1_SQL,
+    "op4_pareto_mix": OP4_SQL,
+}
