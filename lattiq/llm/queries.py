@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattiq.llm import mixing, quality_rules, sharding
+from lattiq.llm import mixing, quality_rules, sharding, url_filter
 from lattiq.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -76,6 +76,34 @@ f AS (SELECT r.*, least(whole + CASE WHEN remain > 0 AND hit THEN 1 ELSE 0 END,
 SELECT doc_id, source, size, source_size, target, copies, (copies * size)::BIGINT AS taken FROM f
 """
 
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The list holds the URLs of every page whose id is divisible by 50."""
+    pages = read(spark, sf_dir, "pages").select("page_id", "url")
+    listed = pages.filter(F.col("page_id") % 50 == 0).select("url")
+    return url_filter.judge(pages, listed).select("page_id", "host", "path", "rule", "verdict", "listed")
+
+
+_CANON = r"""regexp_replace(regexp_replace(h, '^(?:[^@]*@)?(?:www\.)?', ''), '(?::80|:443|\.)$', '')
+  || regexp_replace(regexp_replace(p, '/index\.(?:html?|php)$', '/'), '/+$', '')
+  || CASE WHEN len(qs) > 0 THEN '?' || array_to_string(qs, '&') ELSE '' END"""
+OP6_SQL = rf"""
+WITH a AS (SELECT page_id, coalesce(url, '') AS url FROM pages),
+b AS (SELECT page_id, translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS h,
+             regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS p,
+             list_sort(list_filter(string_split(regexp_extract(url, '(?s)^[^?#]*\?([^#]*)', 1), '&'),
+               lambda x: x <> '' AND NOT regexp_matches(x, '^(?:utm_[a-z]+|ref|fbclid|gclid|sessionid)(?:=|$)'))) AS qs FROM a),
+c AS (SELECT page_id, h, p, CASE WHEN h <> '' THEN {_CANON} END AS name FROM b),
+d AS (SELECT *, name IS NOT NULL AND name IN (SELECT name FROM c WHERE page_id % 50 = 0 AND name IS NOT NULL) AS listed,
+  CASE WHEN (h = 'www.example.com' OR ends_with(h, '.www.example.com')) AND starts_with(p, '/en/') THEN 'www.example.com/en/'
+       WHEN (h = 'example.com' OR ends_with(h, '.example.com')) AND starts_with(p, '/en/') THEN 'example.com/en/'
+       WHEN (h = 'com' OR ends_with(h, '.com')) AND starts_with(p, '/') THEN 'com/'
+       WHEN (h = 'net' OR ends_with(h, '.net')) AND starts_with(p, '/es/') THEN 'net/es/'
+       WHEN (h = 'net' OR ends_with(h, '.net')) AND starts_with(p, '/fr/') THEN 'net/fr/' END AS rule FROM c)
+SELECT page_id, h AS host, p AS path, rule, CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
+  WHEN listed THEN 'block' ELSE 'allow' END AS verdict, listed FROM d
+"""
+
+
 def op10_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return placed.select(
@@ -87,9 +115,11 @@ def op10_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_quality_rules": op1_quality_rules,
     "op4_pareto_mix": op4_pareto_mix,
+    "op6_url_filter": op6_url_filter,
     "op10_ring_shards": op10_ring_shards,
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_quality_rules": OP1_SQL,
     "op4_pareto_mix": OP4_SQL,
+    "op6_url_filter": OP6_SQL,
 }
