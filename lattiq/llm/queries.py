@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattiq.llm import mixing, quality_rules, sharding, url_filter
+from lattiq.llm import mixing, quality_rules, secret_scan, sharding, token_files, url_filter
 from lattiq.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -76,6 +76,14 @@ f AS (SELECT r.*, least(whole + CASE WHEN remain > 0 AND hit THEN 1 ELSE 0 END,
 SELECT doc_id, source, size, source_size, target, copies, (copies * size)::BIGINT AS taken FROM f
 """
 
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = token_files.scratch_path(spark, "tokens")
+    token_files.write(read(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"))
+    return token_files.checksums(token_files.read_files(spark, path))
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The list holds the URLs of every page whose id is divisible by 50."""
     pages = read(spark, sf_dir, "pages").select("page_id", "url")
@@ -104,6 +112,11 @@ SELECT page_id, h AS host, p AS path, rule, CASE WHEN rule IN ('com/', 'www.exam
 """
 
 
+def op9_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.digest(secret_scan.scan(read(spark, sf_dir, "documents")))
+    return found.withColumnRenamed("key", "doc_id")
+
+
 def op10_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return placed.select(
@@ -115,11 +128,14 @@ def op10_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_quality_rules": op1_quality_rules,
     "op4_pareto_mix": op4_pareto_mix,
+    "op5_token_files": op5_token_files,
     "op6_url_filter": op6_url_filter,
+    "op9_secret_ownership": op9_secret_ownership,
     "op10_ring_shards": op10_ring_shards,
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_quality_rules": OP1_SQL,
     "op4_pareto_mix": OP4_SQL,
+    "op5_token_files": op5_token_files,
     "op6_url_filter": OP6_SQL,
 }
