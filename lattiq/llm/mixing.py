@@ -92,11 +92,15 @@ def plan(
     target, whole (certain copies), left (words to draw) and cut (the last rank taken)."""
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     goal = targets(sizes, weights, share, max_copies).withColumn("whole", F.floor(ratio).cast("long"))
-    goal = cut(goal.withColumn("left", F.col("target") - F.col("whole") * F.col("source_size")))
+    left = F.col("target") - F.col("whole") * F.col("source_size")
+    goal = cut(goal.withColumn("left", F.when(left >= 0.5, left).otherwise(F.lit(0.0))))
     named = small(goal.select(F.col("source").alias("__source"), "source_size", "left"))
     rows = sizes.join(named, F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
     rows = rows.withColumn("rank", _rank(F.col("key"), _inclusion(F.col("propensity")), seed))
-    rows = rows.withColumn("bin", F.floor(F.col("rank") / (1 + F.col("rank")) * BINS).cast("int"))
+    # Bins by the rank times its source's odds: with even propensities that is the uniform number itself.
+    odds = _inclusion(F.lit(1.0))
+    rows = rows.withColumn("even", F.col("rank") * (odds / (1 - odds)))
+    rows = rows.withColumn("bin", F.least(F.floor(F.col("even") / (1 + F.col("even")) * BINS), F.lit(BINS - 1)).cast("int"))
 
     earlier = lambda by: Window.partitionBy("source").orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
     before = lambda z, by: F.coalesce(F.sum(z).over(earlier(by)), F.lit(0))
@@ -122,9 +126,9 @@ def plan(
     out = goal.join(b, F.col("source").eqNullSafe(F.col("__border_source")), "left").join(
         inside, F.col("source").eqNullSafe(F.col("__cut_source")), "left"
     )
-    # Nothing taken in the border bin: the cut is where that bin begins.  No border: nothing is left to draw.
+    # Nothing taken in the border bin: the cut is just before that bin.  No border: nothing is left to draw.
     start = F.col("border") / F.lit(float(BINS))
-    below = F.when(F.col("border").isNotNull(), start / (1 - start) * (1 - 1e-15)).otherwise(F.lit(-1.0))
+    below = F.when(F.col("border").isNotNull(), start / (1 - start) / (odds / (1 - odds)) * (1 - 1e-12)).otherwise(F.lit(-1.0))
     out = out.select(
         F.col("source").alias("mix_source"), "source_size", "target", "whole", "left", F.coalesce("last", below).alias("cut")
     )
