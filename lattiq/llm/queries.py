@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattiq.llm import mixing, quality_rules, secret_scan, sharding, token_files, url_filter
+from lattiq.llm import minmax_dedup, mixing, quality_rules, secret_scan, sharding, token_files, url_filter
 from lattiq.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -63,7 +63,7 @@ k AS (SELECT min(nr) AS first_open FROM l WHERE level * weight <= cap),
 t AS (SELECT source, source_size, CASE WHEN nr >= first_open THEN (SELECT level FROM l l2 WHERE l2.nr = first_open) * weight ELSE cap::DOUBLE END AS target
       FROM l, k),
 g AS (SELECT *, floor(CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END)::BIGINT AS whole FROM t),
-h AS (SELECT *, target - whole * source_size AS remain FROM g),
+h AS (SELECT *, CASE WHEN target - whole * source_size >= 0.5 THEN target - whole * source_size ELSE 0 END AS remain FROM g),
 u AS (SELECT d.doc_id, d.source, d.size, h.source_size, h.target, h.whole, h.remain,
              (('0x' || substr(md5('17:' || coalesce(d.doc_id::VARCHAR, 'null')), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0::DOUBLE AS u,
              least(greatest(h.remain / greatest(h.source_size, 1)::DOUBLE, 1e-12::DOUBLE), 1.0::DOUBLE - 1e-12::DOUBLE) AS p
@@ -112,6 +112,11 @@ SELECT page_id, h AS host, p AS path, rule, CASE WHEN rule IN ('com/', 'www.exam
 """
 
 
+def op8_minmax_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = minmax_dedup.near_duplicates(read(spark, sf_dir, "documents"), width=3, percent=85)
+    return found.withColumnRenamed("key", "doc_id")
+
+
 def op9_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.digest(secret_scan.scan(read(spark, sf_dir, "documents")))
     return found.withColumnRenamed("key", "doc_id")
@@ -130,6 +135,7 @@ QUERIES: dict[str, Query] = {
     "op4_pareto_mix": op4_pareto_mix,
     "op5_token_files": op5_token_files,
     "op6_url_filter": op6_url_filter,
+    "op8_minmax_dedup": op8_minmax_dedup,
     "op9_secret_ownership": op9_secret_ownership,
     "op10_ring_shards": op10_ring_shards,
 }
