@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattiq.llm import minmax_dedup, mixing, quality_rules, secret_scan, sharding, token_files, url_filter
+from lattiq.llm import minmax_dedup, mixing, quality_rules, secret_scan, sharding, substring_dedup, token_files, url_filter
 from lattiq.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -112,6 +112,11 @@ SELECT page_id, h AS host, p AS path, rule, CASE WHEN rule IN ('com/', 'www.exam
 """
 
 
+def op7_block_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    removed = substring_dedup.remove_repeats(read(spark, sf_dir, "documents"))
+    return substring_dedup.digest(removed).withColumnRenamed("key", "doc_id")
+
+
 def op8_minmax_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = minmax_dedup.near_duplicates(read(spark, sf_dir, "documents"), width=3, percent=85)
     return found.withColumnRenamed("key", "doc_id")
@@ -135,6 +140,7 @@ QUERIES: dict[str, Query] = {
     "op4_pareto_mix": op4_pareto_mix,
     "op5_token_files": op5_token_files,
     "op6_url_filter": op6_url_filter,
+    "op7_block_anchors": op7_block_anchors,
     "op8_minmax_dedup": op8_minmax_dedup,
     "op9_secret_ownership": op9_secret_ownership,
     "op10_ring_shards": op10_ring_shards,
