@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattiq.llm import minmax_dedup, mixing, quality_rules, secret_scan, sharding, substring_dedup, token_files, url_filter
+from lattiq.llm import line_dedup, minmax_dedup, mixing, quality_rules, secret_scan, sharding, substring_dedup, token_files, url_filter
 from lattiq.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -47,6 +47,13 @@ FROM f
 """
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.judge(read(spark, sf_dir, "documents"))
+    return found.select(
+        F.col("doc").alias("doc_id"), "n_lines", F.size("removed").cast("long").alias("n_removed"), "n_links", "removed", "match_docs"
+    )
+
+
 def op4_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(read(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     return mixed.select(F.col("key").alias("doc_id"), "source", "size", "source_size", "target", "copies", "taken")
@@ -137,6 +144,7 @@ def op10_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_quality_rules": op1_quality_rules,
+    "op3_line_dedup": op3_line_dedup,
     "op4_pareto_mix": op4_pareto_mix,
     "op5_token_files": op5_token_files,
     "op6_url_filter": op6_url_filter,
