@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattiq.llm import line_dedup, minmax_dedup, mixing, quality_rules, secret_scan, sharding, substring_dedup, token_files, url_filter
+from lattiq.llm import decontaminate, line_dedup, minmax_dedup, mixing, quality_rules, secret_scan, sharding, substring_dedup, token_files, url_filter
 from lattiq.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -47,6 +47,12 @@ FROM f
 """
 
 
+def op2_latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each benchmark item that a document holds; other documents hold none."""
+    hits = decontaminate.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return hits.select(F.col("key").alias("doc_id"), F.col("item").alias("item_id"), "cosine", "lcs", "answered", "start")
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = line_dedup.judge(read(spark, sf_dir, "documents"))
     return found.select(
@@ -144,6 +150,7 @@ def op10_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_latent_decontamination": op2_latent_decontamination,
     "op3_line_dedup": op3_line_dedup,
     "op4_pareto_mix": op4_pareto_mix,
     "op5_token_files": op5_token_files,
