@@ -14,10 +14,11 @@ Files hold (part, local_start, doc_id, n_tokens, ids): file ``part`` has the
 documents between those of its neighbours, and ``local_start`` counts ids from
 the start of the file.  Global starts are one prefix sum over one row a file.
 
-Encoding goes word by word: the normaliser and pre-tokeniser of the vocabulary
-never look across ASCII white space, so each word is encoded once by the
-tokenizers library and its ids are remembered (a bounded number of words).  A
-text that holds the mark of an added token is encoded whole.
+Encoding goes word by word where the vocabulary's normaliser and pre-tokeniser
+never look across ASCII white space: the tokenizers library's steps are run on
+each new word, and ids of words and pieces are remembered (a bounded number).  A
+text that holds the mark of an added token, or any text under another pipeline,
+is encoded whole.
 
 Defined results: a null or empty text has the end id only; null document ids
 come first; repeated rows are all written; malformed UTF-8 is read with
@@ -26,6 +27,8 @@ replacement characters; an empty table gives an empty folder that can be read.
 
 from __future__ import annotations
 
+import json
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -42,27 +45,83 @@ ROW_GROUP = 32 << 20
 PAGE_BYTES = 256 << 10
 PAGE_ROWS = 2000
 END_ID = 2
-MEMO_WORDS = 200_000
+MEMO_WORDS = 400_000
 SCHEMA = "part int, local_start bigint, doc_id bigint, n_tokens int, ids array<int>"
 _encoders: dict[str, "Encoder"] = {}
 
+#: The pipeline whose steps never look across ASCII white space (fixed values of the vocabulary file).
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+BY_WORD = [
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": SPLIT}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    None,
+    "BPE",
+]
+#: The same split for visible ASCII and Latin-1 letters in lower case.
+PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^a-z0-9\xdf-\xf6\xf8-\xff]+")
+PLAIN = re.compile("[!-~\xc0-\xd6\xd8-\xf6\xf8-\xff]+").fullmatch
+VISIBLE = bytes(range(33, 127))
+
+
+def _byte_letters() -> dict[int, int]:
+    """Byte-level letters: printable Latin-1 stands for itself, the rest for 256 and up in order."""
+    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = [b for b in range(256) if b not in own]
+    return {b: 256 + i for i, b in enumerate(rest)}
+
+
+LETTERS = _byte_letters()
+
 
 class Encoder(dict):
-    """Word (bytes) to its ids as packed little-endian 32-bit integers."""
+    """Word (bytes) to its ids as packed little-endian 32-bit integers.
+
+    Words are taken apart only for the pipeline in ``BY_WORD``; with any other
+    normaliser or pre-tokeniser texts are encoded whole.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        self.pieces: dict[str, bytes] = {}
         self.marks = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        told = json.loads(self.tokenizer.to_str())
+        steps = [told["normalizer"], told["pre_tokenizer"], told["post_processor"], told["model"]["type"]]
+        self.by_word = json.dumps(steps, sort_keys=True) == json.dumps(BY_WORD, sort_keys=True)
 
     def whole(self, text: bytes) -> bytes:
         found = self.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids
         return np.array(found, "<u4").tobytes()
 
+    def piece(self, piece: str) -> bytes:
+        packed = self.pieces.get(piece)
+        if packed is None:
+            packed = np.array([t.id for t in self.model.tokenize(piece)], "<u4").tobytes()
+            if len(piece) <= 64:
+                if len(self.pieces) >= MEMO_WORDS:
+                    self.pieces.clear()
+                self.pieces[piece] = packed
+        return packed
+
     def __missing__(self, word: bytes) -> bytes:
-        packed = self.whole(word)
+        if not word.translate(None, VISIBLE):  # visible ASCII is normal but for case, and stands for itself
+            low = word.decode().lower()
+            packed = self.piece(low) if low.isalpha() else b"".join(map(self.piece, PIECE.findall(low)))
+        elif PLAIN(text := word.decode("utf-8", "replace")):  # Latin-1 letters have no other composition
+            found = PIECE.findall(text.lower())
+            packed = b"".join([self.piece(p.encode().decode("latin-1").translate(LETTERS)) for p in found])
+        else:
+            normal = self.tokenizer.normalizer.normalize_str(text)
+            packed = b"".join(self.piece(p) for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(normal))
         if len(word) <= 64:
             if len(self) >= MEMO_WORDS:
                 self.clear()
@@ -70,7 +129,7 @@ class Encoder(dict):
         return packed
 
     def text(self, text: bytes) -> bytes:
-        if any(m in text for m in self.marks):
+        if not self.by_word or any(m in text for m in self.marks):
             return self.whole(text)
         return b"".join(map(self.__getitem__, text.split()))
 
