@@ -138,6 +138,8 @@ def _hits(table: pa.Table) -> pa.Table:
 
 def _candidates(joined: DataFrame, buckets: int) -> DataFrame:
     def of(number: int, batch: pa.RecordBatch, row: int):
+        if not batch.column(2)[row].is_valid:
+            return None
         words = _memo.of((batch.column(1)[row].as_py() or b"").split())
         rolling = window_hashes(words, BLOCK)
         key = (_split(rolling, buckets) << np.int64(32)) | rolling.astype(np.uint32).astype(np.int64)
@@ -180,7 +182,8 @@ def repeats(texts: DataFrame) -> DataFrame:
     buckets = BUCKETS_PER_PARTITION * shuffle_partitions(texts.sparkSession)
     hits = _probe(texts, buckets).groupBy("bucket").applyInArrow(_hits, "id bigint, keys array<bigint>")
     hits = hits.groupBy("id").agg(F.flatten(F.collect_list("keys")).alias("keys"))
-    joined = texts.join(hits, texts["doc"] == hits["id"]).select("doc", "text", "keys")
+    # An outer join, as the last one is: both read one shuffle of the texts.
+    joined = texts.join(hits, texts["doc"] == hits["id"], "left").select("doc", "text", "keys")
     found = _candidates(joined, buckets).groupBy("bucket").applyInArrow(_repeats, "id bigint, starts array<int>")
     return found.groupBy("id").agg(F.flatten(F.collect_list("starts")).alias("starts"))
 
