@@ -60,6 +60,15 @@ FULL = Policy("full", 1, tuple(name for name, _ in RULES))
 POLICIES = (BASE, FULL)
 
 
+def _held(made: Column) -> Column:
+    """The same value, in a projection that later filters stay above.
+
+    A filter pushed below would be rewritten in terms of the text, and would
+    evaluate each step again inside the lambdas of the next.
+    """
+    return F.when(F.monotonically_increasing_id() >= 0, made)
+
+
 def _repeat_words(df: DataFrame, tokens: str, out: str) -> DataFrame:
     """Adds ``out``: words inside windows of WINDOW words that occur twice or more.
 
@@ -67,27 +76,29 @@ def _repeat_words(df: DataFrame, tokens: str, out: str) -> DataFrame:
     expression (not a column) would evaluate it again for every element.
     """
     hashes, windows, ranked, places = (free_name(df, f"__{x}") for x in ("hash", "windows", "ranked", "places"))
-    df = df.withColumn(hashes, F.transform(tokens, lambda w: F.xxhash64(w)))
+    df = df.withColumn(hashes, _held(F.transform(tokens, lambda w: F.xxhash64(w))))
     starts = F.sequence(F.lit(1), F.size(hashes) - F.lit(WINDOW - 1))
     df = df.withColumn(
         windows,
-        F.when(F.size(hashes) >= WINDOW, F.transform(starts, lambda i: F.xxhash64(F.slice(hashes, i, WINDOW)))),
+        _held(F.when(F.size(hashes) >= WINDOW, F.transform(starts, lambda i: F.xxhash64(F.slice(hashes, i, WINDOW))))),
     )
     repeats = F.size(F.array_distinct(windows)) < F.size(windows)
     df = df.withColumn(
         ranked,
-        F.when(repeats, F.sort_array(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))),
+        _held(F.when(repeats, F.sort_array(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i")))))),
     )
     df = df.withColumn(
         places,
-        F.sort_array(
-            F.transform(
-                F.filter(
-                    ranked,
-                    lambda x, j: F.coalesce(F.get(ranked, j - 1)["h"] == x["h"], F.lit(False))
-                    | F.coalesce(F.get(ranked, j + 1)["h"] == x["h"], F.lit(False)),
-                ),
-                lambda x: x["i"],
+        _held(
+            F.sort_array(
+                F.transform(
+                    F.filter(
+                        ranked,
+                        lambda x, j: F.coalesce(F.get(ranked, j - 1)["h"] == x["h"], F.lit(False))
+                        | F.coalesce(F.get(ranked, j + 1)["h"] == x["h"], F.lit(False)),
+                    ),
+                    lambda x: x["i"],
+                )
             )
         ),
     )
@@ -96,7 +107,7 @@ def _repeat_words(df: DataFrame, tokens: str, out: str) -> DataFrame:
         F.lit(0),
         lambda total, x: total + x,
     )
-    return df.withColumn(out, F.coalesce(covered, F.lit(0)).cast("long")).drop(hashes, windows, ranked, places)
+    return df.withColumn(out, _held(F.coalesce(covered, F.lit(0)).cast("long"))).drop(hashes, windows, ranked, places)
 
 
 def measure(df: DataFrame, text: str = "text") -> tuple[DataFrame, dict[str, str]]:
@@ -106,8 +117,8 @@ def measure(df: DataFrame, text: str = "text") -> tuple[DataFrame, dict[str, str
         name[m] = free_name(df, m)
     body, tokens, lines = (free_name(df, f"__{x}") for x in ("body", "tokens", "lines"))
     out = df.withColumn(body, F.coalesce(F.col(text).cast("string"), F.lit("")))
-    out = out.withColumn(tokens, words(F.col(body))).withColumn(
-        lines, F.filter(F.split(F.col(body), "\n", -1), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
+    out = out.withColumn(tokens, _held(words(F.col(body)))).withColumn(
+        lines, _held(F.filter(F.split(F.col(body), "\n", -1), lambda x: x.rlike("[^\\x20\\x09-\\x0D]")))
     )
     count = lambda pattern: F.regexp_count(F.col(body), F.lit(pattern)).cast("long")
     out = out.withColumns(
