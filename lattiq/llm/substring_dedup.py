@@ -112,15 +112,6 @@ def _gather(table: pa.Table, columns: dict[str, str], hashes: tuple[str, ...]) -
     return {k: np.concatenate([g[k] for g in got]) for k in columns}, np.concatenate(ids)
 
 
-def _by_doc(doc: np.ndarray, values: np.ndarray, kind: pa.DataType, names: tuple[str, str]) -> pa.Table:
-    """One row a document with the list of its values."""
-    order = np.argsort(doc, kind="stable")
-    doc, values = doc[order], values[order]
-    starts = np.flatnonzero(np.diff(doc, prepend=doc[0] - 1 if len(doc) else 0)) if len(doc) else np.empty(0, np.int64)
-    lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(doc)), pa.int32()), pa.array(values, kind))
-    return pa.table({names[0]: pa.array(doc[starts], pa.int64()), names[1]: lists})
-
-
 def _hits(table: pa.Table) -> pa.Table:
     bucket = table.column("bucket")[0].as_py()
     entries, doc = _gather(table, _ANCHOR, ("hash",))
@@ -133,7 +124,7 @@ def _hits(table: pa.Table) -> pa.Table:
     last = np.repeat(np.maximum.reduceat(doc, starts), size)
     hit = (doc > first) | (block & (doc < last))
     key = (np.int64(bucket) << np.int64(32)) | h[hit].astype(np.int64)
-    return _by_doc(doc[hit], key, pa.int64(), ("id", "keys"))
+    return pa.table({"id": doc[hit], "key": key})
 
 
 def _candidates(joined: DataFrame, buckets: int) -> DataFrame:
@@ -171,7 +162,7 @@ def _repeats(table: pa.Table) -> pa.Table:
     starts = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (more[1:] != more[:-1])]))
     first = np.repeat(np.minimum.reduceat(doc, starts), np.diff(np.append(starts, len(h))))
     hit = first < doc
-    return _by_doc(doc[hit], pos[hit].astype(np.int32), pa.int32(), ("id", "starts"))
+    return pa.table({"id": doc[hit], "start": pos[hit].astype(np.int32)})
 
 
 def repeats(texts: DataFrame) -> DataFrame:
@@ -180,12 +171,13 @@ def repeats(texts: DataFrame) -> DataFrame:
     ``texts`` has (doc, text as binary), the document ids as longs.
     """
     buckets = BUCKETS_PER_PARTITION * shuffle_partitions(texts.sparkSession)
-    hits = _probe(texts, buckets).groupBy("bucket").applyInArrow(_hits, "id bigint, keys array<bigint>")
-    hits = hits.groupBy("id").agg(F.flatten(F.collect_list("keys")).alias("keys"))
+    hits = _probe(texts, buckets).groupBy("bucket").applyInArrow(_hits, "id bigint, key bigint")
+    hits = hits.groupBy("id").agg(F.collect_list("key").alias("keys"))
     # An outer join, as the last one is: both read one shuffle of the texts.
     joined = texts.join(hits, texts["doc"] == hits["id"], "left").select("doc", "text", "keys")
-    found = _candidates(joined, buckets).groupBy("bucket").applyInArrow(_repeats, "id bigint, starts array<int>")
-    return found.groupBy("id").agg(F.flatten(F.collect_list("starts")).alias("starts"))
+    found = _candidates(joined, buckets).groupBy("bucket").applyInArrow(_repeats, "id bigint, start int")
+    # A document's own starts are gathered, never those of others.
+    return found.groupBy("id").agg(F.collect_list("start").alias("starts"))
 
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
