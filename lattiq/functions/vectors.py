@@ -22,6 +22,11 @@ def same_dim(a: Column, b: Column, value: Column, what: str = "dimensions differ
     return F.when(F.size(a) == F.size(b), value).otherwise(F.raise_error(F.lit(what)))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed once a row, also where lambdas in it use it for every element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def map1(kernel: Callable[[Column], Column], v: Column) -> Column:
     return F.transform(v, kernel)
 
@@ -175,20 +180,23 @@ def outer(a: Column, b: Column, t: str = "double") -> Column:
 
 
 def reflect(incident: Column, normal: Column) -> Column:
-    twice = 2.0 * dot(incident, normal)
-    return map2(lambda i, n: i - twice * n, incident, normal)
+    return let(2.0 * dot(incident, normal), lambda twice: map2(lambda i, n: i - twice * n, incident, normal))
 
 
 def refract(incident: Column, normal: Column, eta: Scalar) -> Column:
     """Snell's refraction; the zero vector under total reflection."""
-    ni, eta = dot(normal, incident), K.col(eta)
-    k = 1.0 - eta * eta * (1.0 - ni * ni)
-    bent = map2(lambda i, n: eta * i - (eta * ni + F.sqrt(k)) * n, incident, normal)
-    return F.when(k >= 0, bent).otherwise(map1(lambda _: F.lit(0.0), incident))
+    eta = K.col(eta)
+
+    def bend(ni: Column) -> Column:
+        k = 1.0 - eta * eta * (1.0 - ni * ni)
+        bent = let(eta * ni + F.sqrt(k), lambda along: map2(lambda i, n: eta * i - along * n, incident, normal))
+        return F.when(k >= 0, bent).otherwise(map1(lambda _: F.lit(0.0), incident))
+
+    return let(dot(normal, incident), bend)
 
 
 def project(a: Column, b: Column) -> Column:
-    return map1(lambda x: K.div(dot(a, b), dot(b, b)) * x, b)
+    return let(K.div(dot(a, b), dot(b, b)), lambda share: map1(lambda x: share * x, b))
 
 
 def sincos(v: Column) -> Column:
@@ -244,7 +252,7 @@ def norm_lp(v: Column, p: Scalar, start: int = 0, end: int = -1) -> Column:
 def scale_span(v: Column, factor: Column, start: int = 0, end: int = -1) -> Column:
     """[start, end) divided by a number, the rest as it is."""
     stop = F.size(v) if end == -1 else F.lit(end)
-    return F.transform(v, lambda x, i: F.when((i >= start) & (i < stop), K.div(x, factor)).otherwise(x.cast("double")))
+    return let(factor, lambda f: F.transform(v, lambda x, i: F.when((i >= start) & (i < stop), K.div(x, f)).otherwise(x.cast("double"))))
 
 
 def normalize(v: Column, norm: Column, start: int = 0, end: int = -1) -> Column:
@@ -258,8 +266,8 @@ def mean(v: Column) -> Column:
 
 def variance(v: Column) -> Column:
     """Population variance (of one element: 0); null on an empty vector."""
-    m = mean(v)
-    return F.when(F.size(v) > 0, K.div(total(F.transform(v, lambda x: (x.cast("double") - m) * (x.cast("double") - m))), F.size(v)))
+    squares = let(mean(v), lambda m: F.transform(v, lambda x: (x.cast("double") - m) * (x.cast("double") - m)))
+    return F.when(F.size(v) > 0, K.div(total(squares), F.size(v)))
 
 
 def std_dev(v: Column) -> Column:
@@ -276,7 +284,7 @@ def largest(v: Column) -> Column:
 
 
 def median(v: Column) -> Column:
-    return _middle(F.sort_array(v), F.lit(0), F.size(v))
+    return let(F.sort_array(v), lambda s: _middle(s, F.lit(0), F.size(s)))
 
 
 def _middle(s: Column, first: Column, n: Column) -> Column:
@@ -290,7 +298,11 @@ def _middle(s: Column, first: Column, n: Column) -> Column:
 def quartiles(v: Column) -> Column:
     """struct<q1, q3>: with mid = n div 2, an odd n takes elements mid div 2 and mid + mid
     div 2; an even n takes means of the two around them; two elements are their own."""
-    s, n = F.sort_array(v), F.size(v)
+    return let(F.sort_array(v), _quartiles)
+
+
+def _quartiles(s: Column) -> Column:
+    n = F.size(s)
     mid = F.floor(n / 2).cast("int")
     at = lambda i: F.get(s, i).cast("double")
     half = F.floor(mid / 2).cast("int")
@@ -306,10 +318,14 @@ def mean_min_max_range(v: Column) -> Column:
 
 def full_stats(v: Column) -> Column:
     """The eleven-field summary of a vector."""
-    q = quartiles(v)
+    return let(F.sort_array(v), _full_stats)
+
+
+def _full_stats(v: Column) -> Column:
+    q = _quartiles(v)
     return F.struct(
         F.size(v).cast("double").alias("count"), total(F.transform(v, lambda x: x.cast("double"))).alias("sum"), mean(v).alias("mean"),
-        smallest(v).alias("min"), largest(v).alias("max"), (largest(v) - smallest(v)).alias("range"), median(v).alias("median"),
+        smallest(v).alias("min"), largest(v).alias("max"), (largest(v) - smallest(v)).alias("range"), _middle(v, F.lit(0), F.size(v)).alias("median"),
         q["q1"].alias("q1"), q["q3"].alias("q3"), std_dev(v).alias("std_dev"), variance(v).alias("variance"),
     )
 
@@ -394,7 +410,7 @@ def swap(v: Column, i: Scalar, j: Scalar) -> Column:
 
 
 def inverse_pivot(p: Column) -> Column:
-    return F.transform(p, lambda _, i: (F.array_position(p, i) - 1).cast("int"))
+    return apply_pivot(F.transform(p, lambda _, i: i), p)
 
 
 def apply_pivot(v: Column, p: Column) -> Column:
