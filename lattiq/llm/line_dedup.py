@@ -13,14 +13,17 @@ the input, not on what is left.  Lines without words always stay.
    place.  Two entries of a word are a candidate if their lengths allow the
    threshold and if the words that can follow both places do (positional filter).
    Classes whose length admits no other partner are not indexed.
-3. *Verify.*  Candidates are distinct pairs of classes; their full sets, 64-bit
-   hashes of the words, decide.
+3. *Verify.*  Candidates are distinct pairs of classes; the full sets of their
+   lines, which are brought together once a group of candidates, decide.
 4. *Remove.*  A class's earliest place is that of itself and its links.
 
 Entries travel packed, by buckets of words; a word on very many classes is
 compared in slices of ``SLICE`` entries, and only candidates that pass both
 filters come out.  Copies of a line are one class and never pair.
 
+Classes are named by 128 bits; candidates carry 64 of them, and what two classes
+share there is told apart again when sets are compared.
+
 Defined results: null and empty texts have one line without words; rows with a
 null id come before all others; repeated rows of one id are told apart by their
 text only, so of two equal rows the lines of both stay or go alike; other
@@ -30,71 +33,137 @@ columns are carried by the caller.  An empty table gives an empty table.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattiq.llm import exchange
-from lattiq.llm.common import WordHashes, cut, shuffle_partitions
+from lattiq.llm import exchange, hashing, url_filter
+from lattiq.llm.common import cut, mix, shuffle_partitions
 
 PERCENT = 80
-BINS = 1 << 16
+BINS = 1 << 22
+SEGMENTS = 16
 SLICE = 2048
-CHUNK_ENTRIES = 500_000
+ROOM = 4096
+CHUNK_BYTES = 4 << 20
 BUCKETS_PER_PARTITION = 3
-_memo = WordHashes()
-_ENTRY = {"word": "<u4", "a": "<i8", "b": "<i8", "n": "<u4", "place": "<u4"}
-_HASHES = ("word", "a", "b")
-
-
-def _lines(text: bytes | None) -> list[np.ndarray]:
-    """The distinct word hashes, sorted, of each line."""
-    return [np.unique(_memo.of(x.split())) for x in (text or b"").split(b"\n")]
+_ENTRY = {"word": "<u4", "a": "<i8", "n": "<u4", "place": "<u4"}
+_HASHES = ("word", "a")
 
 
 def _texts(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(F.col(f"`{key}`").cast("long").alias("doc"), F.col(f"`{text}`").cast("binary").alias("text"))
 
 
+def _chunks(column: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
+    """(number of the first, texts) of stretches of about CHUNK_BYTES."""
+    first, texts, size = 0, [], 0
+    for k, t in enumerate(column):
+        texts.append(t.as_py() or b"")
+        size += len(texts[-1])
+        if size >= CHUNK_BYTES:
+            yield first, texts
+            first, texts, size = k + 1, [], 0
+    if texts:
+        yield first, texts
+
+
+@dataclass
+class Lines:
+    """The lines of some texts, with their distinct words in order of rarity."""
+
+    counts: np.ndarray  # lines of each text
+    word: np.ndarray  # distinct words, line after line
+    line: np.ndarray  # the lines that have words
+    edge: np.ndarray  # where each of them begins in ``word``
+    a: np.ndarray  # 128 bits that name the set of each of them
+    b: np.ndarray
+
+    @property
+    def size(self) -> np.ndarray:
+        return np.diff(np.append(self.edge, len(self.word)))
+
+
+def _lines(texts: list[bytes], rarity: np.ndarray | None = None) -> Lines:
+    whole = b"\n".join(texts)
+    counts = np.array([t.count(b"\n") + 1 for t in texts], np.int64)
+    word, start = hashing.words(whole)
+    breaks = np.flatnonzero(np.frombuffer(whole, np.uint8) == 10)
+    line = np.searchsorted(breaks, start)
+    if rarity is None:
+        order = np.lexsort((word, line))
+    else:
+        order = np.lexsort((word, rarity[(word % np.uint64(BINS)).astype(np.int64)], line))
+    word, line = word[order], line[order]
+    new = np.ones(len(word), bool)
+    new[1:] = (word[1:] != word[:-1]) | (line[1:] != line[:-1])
+    word, line = word[new], line[new]
+    edge = np.flatnonzero(np.diff(line, prepend=-1))
+    # Sums of mixed hashes name a set whatever its order.
+    a = mix(hashing.sums(mix(word), edge)).view(np.int64)
+    b = mix(hashing.sums(mix(word ^ np.uint64(0xA0761D6478BD642F)), edge)).view(np.int64)
+    return Lines(counts, word, line[edge], edge, a, b)
+
+
 def rarity(texts: DataFrame) -> np.ndarray:
-    """Lines with a word of each bin."""
+    """Words of each bin; each task's counts stop at 255, which no rare word reaches."""
+    part = BINS // SEGMENTS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(BINS, np.int64)
         for batch in batches:
-            found = [h for t in batch.column(1) for h in _lines(t.as_py())]
-            if found:
-                total += np.bincount((np.concatenate(found) % np.uint64(BINS)).astype(np.int64), minlength=BINS)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["bin", "n"])
-
-    rows = texts.mapInArrow(run, "bin int, n bigint").groupBy("bin").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(BINS, np.int64)
-    out[rows["bin"].to_numpy(np.int64)] = rows["n"].to_numpy(np.int64)
+            for _, chunk in _chunks(batch.column(1)):
+                word, _ = hashing.words(b"\n".join(chunk))
+                total += np.bincount((word % np.uint64(BINS)).astype(np.int64), minlength=BINS)
+        small = np.minimum(total, 255).astype(np.uint8)
+        press = zstandard.ZstdCompressor(level=1)
+        packed = [press.compress(small[k * part : (k + 1) * part].tobytes()) for k in range(SEGMENTS)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(SEGMENTS), pa.int32()), pa.array(packed, pa.binary())], names=["segment", "counts"])
+
+    def add(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(part, np.int64)
+        for batch in batches:
+            for packed in batch.column(1):
+                total += np.frombuffer(zstandard.ZstdDecompressor().decompress(packed.as_py()), np.uint8)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([key[0].as_py()], pa.int32()), pa.array([np.minimum(total, 2**31 - 1).astype("<i4").tobytes()], pa.binary())], names=["segment", "counts"]
+        )
+
+    schema = "segment int, counts binary"
+    rows = texts.mapInArrow(run, schema).groupBy("segment").applyInArrow(_by_batches(add), schema).collect()  # BINS numbers
+    out = np.zeros(BINS, np.int32)
+    for r in rows:
+        out[r["segment"] * part : (r["segment"] + 1) * part] = np.frombuffer(r["counts"], "<i4")
     return out
 
 
-def _name(words: np.ndarray) -> tuple[int, int]:
-    """128 bits that name a set of words."""
-    return tuple(np.frombuffer(xxhash.xxh3_128_digest(words.tobytes()), np.int64).tolist())
+def _by_batches(add):
+    """A group's batches one after another."""
+
+    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from add(key, batches)
+
+    return run
 
 
 def occurrences(texts: DataFrame) -> DataFrame:
-    """(doc, lines, a, b) of every document: number of lines; the class of each, 0 without words."""
+    """(doc, a, b) of every document: the class of each line, 0 without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = [], []
-            for t in batch.column(1):
-                names = [_name(x) if len(x) else (0, 0) for x in _lines(t.as_py())]
-                a.append([x for x, _ in names])
-                b.append([x for _, x in names])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(a, pa.list_(pa.int64())), pa.array(b, pa.list_(pa.int64()))], names=["doc", "a", "b"]
-            )
+            for first, chunk in _chunks(batch.column(1)):
+                found = _lines(chunk)
+                offsets = pa.array(np.concatenate([[0], np.cumsum(found.counts)]), pa.int32())
+                names = []
+                for value in (found.a, found.b):
+                    every = np.zeros(int(found.counts.sum()), np.int64)
+                    every[found.line] = value
+                    names.append(pa.ListArray.from_arrays(offsets, pa.array(every, pa.int64())))
+                yield pa.RecordBatch.from_arrays([batch.column(0)[first : first + len(chunk)], *names], names=["doc", "a", "b"])
 
     return texts.mapInArrow(run, "doc bigint, a array<bigint>, b array<bigint>")
 
@@ -107,36 +176,22 @@ def least_size(n: np.ndarray | int, percent: int) -> np.ndarray | int:
 def _index(texts: DataFrame, counts: np.ndarray, percent: int, buckets: int) -> DataFrame:
     shared = texts.sparkSession.sparkContext.broadcast(counts)
 
-    def flush(parts: list[tuple]) -> Iterator[pa.RecordBatch]:
-        words, a, b, n, place = (np.concatenate(c) for c in zip(*parts, strict=True))
-        # One entry of a class and word a chunk.
-        order = np.lexsort((words, b, a))
-        words, a, b, n, place = words[order], a[order], b[order], n[order], place[order]
-        new = np.concatenate([[True], (words[1:] != words[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
-        words = words[new]
-        bucket = ((words >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
-        columns = {"word": words.astype(np.uint32), "a": a[new], "b": b[new], "n": n[new].astype(np.uint32), "place": place[new].astype(np.uint32)}
-        yield from exchange.pack(bucket, columns, _HASHES, np.zeros(1, np.int64))
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, parts, size = shared.value, [], 0
         for batch in batches:
-            for t in batch.column(1):
-                for x in _lines(t.as_py()):
-                    n = len(x)
-                    # No other length fits, or only this one: then equal sets are the only partners.
-                    if n == 0 or (least_size(n, percent) == n and least_size(n + 1, percent) > n):
-                        continue
-                    prefix = n - least_size(n, percent) + 1
-                    rare = np.lexsort((x, table[(x % np.uint64(BINS)).astype(np.int64)]))[:prefix]
-                    a, b = _name(x)
-                    parts.append((x[rare], np.full(prefix, a), np.full(prefix, b), np.full(prefix, n), np.arange(prefix)))
-                    size += prefix
-                    if size >= CHUNK_ENTRIES:
-                        yield from flush(parts)
-                        parts, size = [], 0
-        if parts:
-            yield from flush(parts)
+            for _, chunk in _chunks(batch.column(1)):
+                found = _lines(chunk, shared.value)
+                n = found.size
+                # One line of each class a chunk; none where no other length fits and equal sets are the only partners.
+                _, one = np.unique(found.a, return_index=True)
+                alone = (least_size(n, percent) == n) & (least_size(n + 1, percent) > n)
+                one = one[~alone[one]]
+                prefix = (n - least_size(n, percent) + 1)[one]
+                at = np.repeat(np.arange(len(one)), prefix)
+                place = np.arange(len(at)) - np.repeat(np.cumsum(prefix) - prefix, prefix)
+                word = found.word[found.edge[one][at] + place]
+                bucket = ((word >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+                columns = {"word": word.astype(np.uint32), "a": found.a[one][at], "n": n[one][at].astype(np.uint32), "place": place.astype(np.uint32)}
+                yield from exchange.pack(bucket, columns, _HASHES, np.zeros(1, np.int64))
 
     return texts.mapInArrow(run, exchange.SCHEMA)
 
@@ -145,10 +200,10 @@ def _pairs(percent: int):
     def run(table: pa.Table) -> pa.Table:
         got = [exchange.unpack(p.as_py(), _ENTRY, _HASHES)[0] for p in table.column("payload")]
         e = {k: np.concatenate([g[k] for g in got]) for k in _ENTRY}
-        order = np.lexsort((e["b"], e["a"], e["n"], e["word"]))
+        order = np.lexsort((e["a"], e["n"], e["word"]))
         e = {k: v[order] for k, v in e.items()}
         new = np.ones(len(order), bool)
-        new[1:] = (e["word"][1:] != e["word"][:-1]) | (e["a"][1:] != e["a"][:-1]) | (e["b"][1:] != e["b"][:-1])
+        new[1:] = (e["word"][1:] != e["word"][:-1]) | (e["a"][1:] != e["a"][:-1])
         e = {k: v[new] for k, v in e.items()}
         starts = np.flatnonzero(np.concatenate([[True], e["word"][1:] != e["word"][:-1]]))
         ends = np.append(starts[1:], len(e["word"]))
@@ -169,54 +224,106 @@ def _pairs(percent: int):
                     left.append(x[i])
                     right.append(y[j])
         i, j = (np.concatenate(v) if v else np.empty(0, np.int64) for v in (left, right))
-        a, b = e["a"], e["b"]
-        swap = (a[i] > a[j]) | ((a[i] == a[j]) & (b[i] > b[j]))
-        i, j = np.where(swap, j, i), np.where(swap, i, j)
-        found = np.unique(np.stack([a[i], b[i], a[j], b[j]], axis=1), axis=0) if len(i) else np.empty((0, 4), np.int64)
-        return pa.table({k: found[:, c] for c, k in enumerate(("a1", "b1", "a2", "b2"))})
+        one, two = e["a"][i], e["a"][j]
+        found = np.unique(np.stack([np.minimum(one, two), np.maximum(one, two)], axis=1), axis=0) if len(i) else np.empty((0, 2), np.int64)
+        return pa.table({"a1": found[:, 0], "a2": found[:, 1]})
 
     return run
 
 
-def _sets(texts: DataFrame, places: DataFrame) -> DataFrame:
-    """(a, b, words) of the classes whose first places (doc, line) are given."""
-    wanted = places.groupBy("doc").agg(F.collect_set("line").alias("at"))
-    joined = texts.join(wanted.withColumnRenamed("doc", "__doc"), F.col("doc").eqNullSafe(F.col("__doc"))).select("doc", "text", "at")
+def _wanted_lines(texts: DataFrame, used: DataFrame) -> DataFrame:
+    """(a, b, text) of lines whose class may be among ``used``, one of each class a chunk.
+
+    A Bloom filter of bounded size decides; what it lets through in error finds no partner later.
+    """
+    blocks = url_filter.n_blocks(used.count())
+    shared = texts.sparkSession.sparkContext.broadcast(url_filter.build(used, "a", blocks))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b, words = [], [], []
-            for t, at in zip(batch.column(1), batch.column(2), strict=True):
-                parts = (t.as_py() or b"").split(b"\n")
-                for line in at.as_py():
-                    x = np.unique(_memo.of(parts[line].split())) if line < len(parts) else np.empty(0, np.uint64)
-                    if len(x):
-                        p, q = _name(x)
-                        a.append(p)
-                        b.append(q)
-                        words.append(x.view(np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(words, pa.list_(pa.int64()))], names=["a", "b", "words"]
-            )
-
-    return joined.mapInArrow(run, "a bigint, b bigint, words array<bigint>")
-
-
-def links(texts: DataFrame, classes: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(a1, b1, a2, b2): every pair of classes that is similar enough, once."""
+            for _, chunk in _chunks(batch.column(1)):
+                found = _lines(chunk)
+                _, one = np.unique(found.a, return_index=True)
+                one = one[url_filter.may_contain(found.a[one], shared.value)]
+                lines = b"\n".join(chunk).split(b"\n")
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(found.a[one]), pa.array(found.b[one]), pa.array([lines[k] for k in found.line[one]], pa.binary())],
+                    names=["a", "b", "text"],
+                )
+
+    return texts.mapInArrow(run, "a bigint, b bigint, text binary")
+
+
+def _verify(percent: int):
+    """Compares the pairs of a room, whose lines have been brought there."""
+
+    def run(table: pa.Table) -> pa.Table:
+        is_pair = table.column("other").is_valid().to_numpy()
+        a, b = table.column("a").to_numpy(), table.column("b").to_numpy()
+        # Classes that share 64 bits of their names are told apart by the other 64.
+        at = np.flatnonzero(~is_pair)
+        at = at[np.lexsort((b[at], a[at]))]
+        at = at[np.concatenate([[True], (a[at][1:] != a[at][:-1]) | (b[at][1:] != b[at][:-1])])] if len(at) else at
+        none = pa.table({k: pa.array([], pa.int64()) for k in ("a1", "b1", "a2", "b2")})
+        if not len(at) or not is_pair.any():
+            return none
+        lines = _lines([x.as_py() for x in table.column("text").take(pa.array(at))])
+        names, size = a[at], lines.size
+        _, word = np.unique(lines.word, return_inverse=True)
+        left, right = a[is_pair], table.column("other").fill_null(0).to_numpy()[is_pair]
+        i, j = _meet(names, left, right)
+        out = []
+        for lo in range(0, len(i), 20_000):
+            x, y = i[lo : lo + 20_000], j[lo : lo + 20_000]
+            n = size[x] + size[y]
+            pair = np.repeat(np.arange(len(x)), n)
+            step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+            first = step < size[x][pair]
+            place = np.where(first, lines.edge[x][pair] + step, lines.edge[y][pair] + step - size[x][pair])
+            key = np.sort(pair * (len(word) + 1) + word[place])
+            both = np.bincount(key[1:][key[1:] == key[:-1]] // (len(word) + 1), minlength=len(x))
+            ok = 100 * both >= percent * (n - both)
+            out.append(np.stack([names[x[ok]], b[at][x[ok]], names[y[ok]], b[at][y[ok]]], axis=1))
+        found = np.concatenate(out) if out else np.empty((0, 4), np.int64)
+        return pa.table({k: found[:, c] for c, k in enumerate(("a1", "b1", "a2", "b2"))})
+
+    return run
+
+
+def _meet(names: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Indexes into the sorted ``names`` of both sides of each pair, all combinations of equal names."""
+    lo = [np.searchsorted(names, x, side="left") for x in (left, right)]
+    n = [np.searchsorted(names, x, side="right") - k for x, k in zip((left, right), lo, strict=True)]
+    times = n[0] * n[1]
+    pair = np.repeat(np.arange(len(left)), times)
+    step = np.arange(len(pair)) - np.repeat(np.cumsum(times) - times, times)
+    return lo[0][pair] + step // n[1][pair], lo[1][pair] + step % n[1][pair]
+
+
+def links(texts: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(a1, b1, a2, b2): every pair of classes that is similar enough, once.
+
+    Candidates are compared in *rooms*.  Most candidates of a line are candidates
+    of each other, so a room is named by the smallest of a line and its
+    candidates, and each line travels there once; pairs whose lines belong to
+    different rooms, or to one of more than ROOM lines, get a room of their own.
+    """
     buckets = BUCKETS_PER_PARTITION * shuffle_partitions(texts.sparkSession)
-    found = _index(texts, rarity(texts), percent, buckets).groupBy("bucket").applyInArrow(
-        _pairs(percent), "a1 bigint, b1 bigint, a2 bigint, b2 bigint"
-    )
+    found = _index(texts, rarity(texts), percent, buckets).groupBy("bucket").applyInArrow(_pairs(percent), "a1 bigint, a2 bigint")
     pairs = cut(found.distinct())
-    used = pairs.select(F.col("a1").alias("a"), F.col("b1").alias("b")).union(pairs.select("a2", "b2")).distinct()
-    places = classes.join(used, ["a", "b"]).select("a", "b", F.col("first")["doc"].alias("doc"), F.col("first")["line"].alias("line"))
-    sets = cut(_sets(texts, places).dropDuplicates(["a", "b"]))
-    one = sets.select(F.col("a").alias("a1"), F.col("b").alias("b1"), F.col("words").alias("w1"))
-    two = sets.select(F.col("a").alias("a2"), F.col("b").alias("b2"), F.col("words").alias("w2"))
-    both = F.size(F.array_intersect("w1", "w2"))
-    full = pairs.join(one, ["a1", "b1"]).join(two, ["a2", "b2"])
-    return full.filter(100 * both >= percent * (F.size("w1") + F.size("w2") - both)).select("a1", "b1", "a2", "b2")
+    ways = pairs.select(F.col("a1").alias("a"), F.col("a2").alias("o")).union(pairs.select("a2", "a1"))
+    label = ways.groupBy("a").agg(F.min("o").alias("o")).select("a", F.least("a", "o").alias("label"))
+    sizes = label.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    label = cut(label.join(sizes, "label"))
+    one = label.select(F.col("a").alias("a1"), F.col("label").alias("l1"), "n")
+    two = label.select(F.col("a").alias("a2"), F.col("label").alias("l2"))
+    room = F.when((F.col("l1") == F.col("l2")) & (F.col("n") <= ROOM), F.col("l1")).otherwise(F.xxhash64("a1", "a2"))
+    placed = cut(pairs.join(one, "a1").join(two, "a2").select("a1", "a2", F.pmod(F.xxhash64(room), F.lit(buckets)).cast("int").alias("bucket")))
+    visits = placed.select(F.explode(F.array("a1", "a2")).alias("a"), "bucket").distinct()
+    lines = _wanted_lines(texts, label.select("a")).join(visits, "a").select("bucket", "a", "b", "text", F.lit(None).cast("bigint").alias("other"))
+    asked = placed.select("bucket", F.col("a1").alias("a"), F.lit(0).cast("bigint").alias("b"), F.lit(None).cast("binary").alias("text"), F.col("a2").alias("other"))
+    schema = "a1 bigint, b1 bigint, a2 bigint, b2 bigint"
+    return lines.unionByName(asked).groupBy("bucket").applyInArrow(_verify(percent), schema).distinct()
 
 
 def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -228,7 +335,7 @@ def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int
         "row", "doc", "line", F.col("name")["a"].alias("a"), F.col("name")["b"].alias("b")
     ).filter("a <> 0 OR b <> 0")
     classes = cut(each.groupBy("a", "b").agg(F.min(F.struct("doc", "line")).alias("first")))
-    linked = cut(links(texts, classes, percent))
+    linked = cut(links(texts, percent))
     ways = linked.union(linked.select("a2", "b2", "a1", "b1")).toDF("a", "b", "oa", "ob")
     near = classes.select(F.col("a").alias("oa"), F.col("b").alias("ob"), "first")
     by_links = ways.join(near, ["oa", "ob"]).groupBy("a", "b").agg(F.min("first").alias("other"), F.count(F.lit(1)).alias("n_links"))

@@ -131,6 +131,12 @@ def build(listed: DataFrame, url_hash: str, blocks: int) -> np.ndarray:
     return out
 
 
+def may_contain(hashes: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """False where the filter knows that a 64-bit hash is not listed."""
+    block, bit = _words(hashes, len(bits))
+    return ((bits[block] >> bit) & np.uint32(1)).all(axis=1)
+
+
 def possible(url_hash: Column, bits: np.ndarray, spark) -> Column:
     """False where the filter knows that a hash is not listed."""
     shared = spark.sparkContext.broadcast(bits)
@@ -139,9 +145,7 @@ def possible(url_hash: Column, bits: np.ndarray, spark) -> Column:
     def probe(hashes: pd.Series) -> pd.Series:
         table = shared.value
         known = hashes.notna().to_numpy()
-        block, bit = _words(hashes.fillna(0).to_numpy(np.int64), len(table))
-        hit = ((table[block] >> bit) & np.uint32(1)).all(axis=1)
-        return pd.Series(hit & known)
+        return pd.Series(may_contain(hashes.fillna(0).to_numpy(np.int64), table) & known)
 
     return probe(url_hash)
 
