@@ -103,5 +103,6 @@ def shard(
     rows = rows.withColumn(n_slot, F.col(n_start) + F.row_number().over(order) - 1)
     if keep:
         return rows.select(*[F.col(f"`{c}`") for c in docs.columns], n_shard, n_slot)
-    return rows.select(F.col(f"`{key}`").alias("key"), n_size, n_crc, n_shard, n_slot)
+    made = {"size": n_size, "text_crc32": n_crc, "shard": n_shard, "slot": n_slot}
+    return rows.select(F.col(f"`{key}`").alias("key"), *[F.col(c).alias(name) for name, c in made.items()])
 
