@@ -29,7 +29,7 @@ from lattiq.llm.common import free_name
 
 VNODES = 64
 CELLS = 1 << 15
-SLACK = 0.002
+SLACK = 0.0005
 RING = 1 << 32
 
 
