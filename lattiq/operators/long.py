@@ -47,12 +47,19 @@ def transpose(coo: DataFrame) -> DataFrame:
     return coo.select(F.col("c").alias("r"), F.col("r").alias("c"), "v")
 
 
-def matmul(a: DataFrame, b: DataFrame, transpose_a: bool = False) -> DataFrame:
-    """A B, or A' B without forming A'."""
+def matmul(a: DataFrame, b: DataFrame, transpose_a: bool = False, t: str = "double") -> DataFrame:
+    """A B, or A' B without forming A'.  For an integer type the sums wrap to it."""
     i, k = ("c", "r") if transpose_a else ("r", "c")
     left = a.select(F.col(i).alias("r"), F.col(k).alias("__k"), F.col("v").alias("__x"))
     right = b.select(F.col("r").alias("__k"), "c", F.col("v").alias("__y"))
-    return left.join(right, "__k").groupBy("r", "c").agg(F.sum(F.col("__x") * F.col("__y")).alias("v"))
+    return left.join(right, "__k").groupBy("r", "c").agg(_sum(F.col("__x"), F.col("__y"), t).alias("v"))
+
+
+def _sum(x: Column, y: Column, t: str) -> Column:
+    """Sum of products; of integers exactly, then wrapped to their type."""
+    if t in K.FLOATS:
+        return F.sum(x * y).cast(t)
+    return K.narrow(F.sum(x.cast("decimal(19,0)") * y.cast("decimal(19,0)")), "bigint") if t == "bigint" else K.narrow(F.sum(x.cast("bigint") * y.cast("bigint")), t)
 
 
 def gram(rows: DataFrame, v: str = "v") -> DataFrame:

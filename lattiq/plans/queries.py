@@ -132,6 +132,19 @@ def tables(V, F, G, P, K, cells, scalars, family, made) -> None:  # noqa: N803
     _COMPARE += [(getattr(V, n), f"x {o} y", 2) for n, o in (("lt", "<"), ("gt", ">"), ("le", "<="), ("ge", ">="), ("eq", "="), ("ne", "<>"))]
     family(("cmpv", "cmpm"), _COMPARE, (v, w), (mv, mw), ("vector_comparison", "matrix_comparison"), "bool")
 
+    whole = [(lambda a, f=getattr(V, n): f(a, 7, "vs", "int"), f"p {o} 7", 1) for n, o in (("lt", "<"), ("gt", ">"), ("le", "<="), ("ge", ">="), ("eq", "="), ("ne", "<>"))]
+    whole += [(lambda x, y, f=getattr(V, n): f(x, y, t="int"), f"p {o} q", 2) for n, o in (("lt", "<"), ("gt", ">"), ("le", "<="), ("ge", ">="), ("eq", "="), ("ne", "<>"))]
+    family(("twv", "twm"), whole, (p, q), (mp, mq), ("vector_comparison_int", "matrix_comparison_int"), "bool")
+    single = lambda x: x.cast("array<float>")
+    double = lambda x: x.cast("array<double>")
+    cells(
+        "vector_arithmetic_float", "float",
+        {
+            "va13": (double(V.add(single(v), single(w), t="float")), "(x::FLOAT + y::FLOAT)::DOUBLE"), "va14": (double(V.sub(single(v), single(w), t="float")), "(x::FLOAT - y::FLOAT)::DOUBLE"),
+            "va15": (double(V.mul(single(v), single(w), t="float")), "(x::FLOAT * y::FLOAT)::DOUBLE"), "va9": (double(V.div_scalar(single(v), 3.0, "float")), "(x::FLOAT / 3::FLOAT)::DOUBLE"),
+        },
+    )
+
     # Boolean algebra.
     _BOOLEAN = []
     for _name, _op in (("b_or", "{} OR {}"), ("b_and", "{} AND {}"), ("b_xor", "{} <> {}"), ("b_eq", "{} = {}"), ("b_ne", "{} <> {}")):
@@ -395,6 +408,13 @@ def matmul(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(L.matmul(a, L.transpose(folded)), 5)
 
 
+@query("matmul_integers", "WITH m AS (SELECT vec_id AS r, unnest(range(64))::INT AS c, (unnest(embedding)::DOUBLE * 100000)::BIGINT AS v FROM embeddings), s AS (SELECT x.c AS r, y.c AS c, sum(x.v * y.v)::HUGEINT AS v FROM m x JOIN m y USING (r) GROUP BY 1, 2) SELECT r, c, (((v + 2147483648) % 4294967296 + 4294967296) % 4294967296 - 2147483648)::INT AS v FROM s")
+def matmul_integers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A' A of integers, wrapped to 32 bits."""
+    a = _coo(spark, sf_dir).withColumn("v", F.rint(F.col("v") * 100000).cast("int"))
+    return L.matmul(a, a, transpose_a=True, t="int")
+
+
 @query("matvec", _COO + "SELECT r AS i, round(sum(v * (c + 1)), 6) + 0.0 AS v FROM m GROUP BY r")
 def matvec(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = spark.range(64).select(F.col("id").cast("int").alias("i"), (F.col("id") + 1.0).alias("v"))
