@@ -1,0 +1 @@
+"""Nothing here: the operators have no streaming form, and their projections run on Spark's streams as they are."""
