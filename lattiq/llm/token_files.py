@@ -29,8 +29,10 @@ from __future__ import annotations
 
 import json
 import re
+import sys
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -79,6 +81,14 @@ def _byte_letters() -> dict[int, int]:
 LETTERS = _byte_letters()
 
 
+def _pack(ids: list[int]) -> bytes:
+    """Little-endian 32-bit integers."""
+    packed = array("I", ids)
+    if sys.byteorder == "big":
+        packed.byteswap()
+    return packed.tobytes()
+
+
 class Encoder(dict):
     """Word (bytes) to its ids as packed little-endian 32-bit integers.
 
@@ -100,12 +110,12 @@ class Encoder(dict):
 
     def whole(self, text: bytes) -> bytes:
         found = self.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids
-        return np.array(found, "<u4").tobytes()
+        return _pack(found)
 
     def piece(self, piece: str) -> bytes:
         packed = self.pieces.get(piece)
         if packed is None:
-            packed = np.array([t.id for t in self.model.tokenize(piece)], "<u4").tobytes()
+            packed = _pack([t.id for t in self.model.tokenize(piece)])
             if len(piece) <= 64:
                 if len(self.pieces) >= MEMO_WORDS:
                     self.pieces.clear()
