@@ -48,6 +48,7 @@ PERCENT = 80
 BINS = 1 << 22
 SEGMENTS = 16
 SLICE = 2048
+SHORT = 64
 ROOM = 4096
 CHUNK_BYTES = 4 << 20
 BUCKETS_PER_PARTITION = 3
@@ -209,17 +210,32 @@ def _pairs(percent: int):
         ends = np.append(starts[1:], len(e["word"]))
         n, place = e["n"].astype(np.int64), e["place"].astype(np.int64)
         left, right = [], []
-        for lo, hi in zip(starts[ends - starts > 1], ends[ends - starts > 1], strict=True):
+
+        def compare(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+            """Where lengths and places leave room for the threshold."""
+            need = -(-percent * (n[x] + n[y]) // (100 + percent))
+            can = np.minimum(n[x] - place[x], n[y] - place[y])
+            return (can >= need) & (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y]))
+
+        # Short runs of one word all at once: every entry with the one ``step`` places on.
+        size = ends - starts
+        near = np.flatnonzero(np.repeat(size <= SHORT, size))
+        for step in range(1, SHORT):
+            near = near[near + step < len(e["word"])]
+            near = near[e["word"][near] == e["word"][near + step]]
+            if not len(near):
+                break
+            fit = compare(near, near + step)
+            left.append(near[fit])
+            right.append(near[fit] + step)
+        for lo, hi in zip(starts[size > SHORT], ends[size > SHORT], strict=True):
             # Entries are in order of length: partners of one stand in a short stretch after it.
             for s in range(lo, hi, SLICE):
                 x = np.arange(s, min(s + SLICE, hi))
                 top = int(np.searchsorted(n[lo:hi], 100 * n[x[-1]] // percent, side="right")) + lo
                 for r in range(s, top, SLICE):
                     y = np.arange(r, min(r + SLICE, top))
-                    nx, ny = n[x][:, None], n[y][None, :]
-                    need = -(-percent * (nx + ny) // (100 + percent))
-                    can = np.minimum(nx - place[x][:, None], ny - place[y][None, :])
-                    fit = (can >= need) & (100 * np.minimum(nx, ny) >= percent * np.maximum(nx, ny)) & (x[:, None] < y[None, :])
+                    fit = compare(x[:, None], y[None, :]) & (x[:, None] < y[None, :])
                     i, j = np.nonzero(fit)
                     left.append(x[i])
                     right.append(y[j])
