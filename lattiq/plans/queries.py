@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -323,12 +324,11 @@ def _collect(*modules) -> dict[str, tuple[str, str, dict, bool]]:
     def family(prefix, table, one, whole, names, kind) -> None:
         """The same operators on vectors and on matrices."""
         lifted = modules[0]
-        cells(names[0], kind, {f"{prefix[0]}{k}": ((f(one[0]) if n == 1 else f(*one)), s) for k, (f, s, n) in enumerate(table, 1)})
-        cells(
-            names[1], kind,
-            {f"{prefix[1]}{k}": ((lifted.on_matrix(f, whole[0]) if n == 1 else lifted.on_matrices(f, *whole)), s) for k, (f, s, n) in enumerate(table, 1)},
-            matrix=True,
-        )
+        # Made when the query runs: each is a few dozen calls into the JVM.
+        apart = {f"{prefix[0]}{k}": (partial(f, *one[:n]), s) for k, (f, s, n) in enumerate(table, 1)}
+        whole_ = {f"{prefix[1]}{k}": (partial((lifted.on_matrix, lifted.on_matrices)[n - 1], f, *whole[:n]), s) for k, (f, s, n) in enumerate(table, 1)}
+        cells(names[0], kind, apart)
+        cells(names[1], kind, whole_, matrix=True)
 
     tables(*modules, cells, scalars, family, lambda columns: found.update(factories=("made", "float", columns, False)))
     return found
@@ -345,7 +345,7 @@ def _columns(name: str) -> dict:
     if context not in _real:
         _real.clear()
         _real[context] = _collect(V, F, G, P, K)
-    return {k: e for k, (e, *_) in _real[context][name][2].items()}
+    return {k: e() if isinstance(e, partial) else e for k, (e, *_) in _real[context][name][2].items()}
 
 
 _FORM = {
