@@ -119,7 +119,7 @@ def tables(V, F, G, P, K, cells, scalars, family, made) -> None:  # noqa: N803
 
     cells(
         "shifts", "int",
-        {
+        lambda: {
             "inp21": (V.shift_left(3, V.bit_and(p, 7, "vs", "int"), "sv", "int"), "3 * pow(2, p & 7)"), "inp23": (V.shift_right(4000, V.bit_and(p, 7, "vs", "int"), "sv", "int"), "4000 >> (p & 7)"),
             "inp27": (V.shift_left(p, V.bit_and(q, 7, "vs", "int"), t="int"), "p * pow(2, q & 7)"), "inp28": (V.shift_right(p, V.bit_and(q, 7, "vs", "int"), t="int"), "p >> (q & 7)"),
         },
@@ -140,7 +140,7 @@ def tables(V, F, G, P, K, cells, scalars, family, made) -> None:  # noqa: N803
     double = lambda x: x.cast("array<double>")
     cells(
         "vector_arithmetic_float", "float",
-        {
+        lambda: {
             "va13": (double(V.add(single(v), single(w), t="float")), "(x::FLOAT + y::FLOAT)::DOUBLE"), "va14": (double(V.sub(single(v), single(w), t="float")), "(x::FLOAT - y::FLOAT)::DOUBLE"),
             "va15": (double(V.mul(single(v), single(w), t="float")), "(x::FLOAT * y::FLOAT)::DOUBLE"), "va9": (double(V.div_scalar(single(v), 3.0, "float")), "(x::FLOAT / 3::FLOAT)::DOUBLE"),
         },
@@ -159,14 +159,14 @@ def tables(V, F, G, P, K, cells, scalars, family, made) -> None:  # noqa: N803
     # Selection.
     cells(
         "selection", "float",
-        {
+        lambda: {
             "prj16": (V.select(v, w, b), "CASE WHEN b THEN y ELSE x END"),
             "prj17": (V.on_matrices(lambda x, y: V.select(x, y, mb["data"]), mv, mw)["data"], "CASE WHEN b THEN y ELSE x END"),
             "prj18": (V.select_whole(v, w, F.col("id") % 2 == 0), "CASE WHEN id % 2 = 0 THEN y ELSE x END"),
             "prj19": (V.select_whole(mv, mw, F.col("id") % 2 == 0)["data"], "CASE WHEN id % 2 = 0 THEN y ELSE x END"),
         },
     )
-    cells("selection_booleans", "bool", {"prj20": (V.select(b, c, V.b_not(b)), "CASE WHEN NOT b THEN c ELSE b END")})
+    cells("selection_booleans", "bool", lambda: {"prj20": (V.select(b, c, V.b_not(b)), "CASE WHEN NOT b THEN c ELSE b END")})
 
     # Mathematics: argument in SQL, the function there, and how the argument is made here.
     _SHAPED = {"x": lambda x: x, "abs(x)": F.abs, "1 + abs(x)": lambda x: 1 + F.abs(x), "10 * x": lambda x: 10 * x}
@@ -182,12 +182,12 @@ def tables(V, F, G, P, K, cells, scalars, family, made) -> None:  # noqa: N803
         "mth38": ("relu", "x", "greatest({}, 0)"), "mth41": ("saturate", "10 * x", "greatest(0, least(1, {}))"), "mth42": ("frac", "10 * x", "({0}) - floor({0})"),
         "mth44": ("rsqrt", "1 + abs(x)", "1 / sqrt({})"),
     }
-    cells("math_unary", "float", {k: (V.map1(_applied(f, a), v), s.format(a)) for k, (f, a, s) in _MATH.items()})
+    cells("math_unary", "float", lambda: {k: (V.map1(_applied(f, a), v), s.format(a)) for k, (f, a, s) in _MATH.items()})
     _smooth = "(t * t * (3 - 2 * t))"
     _sat = "greatest(0, least(1, {}))"
     cells(
         "math_more", "float",
-        {
+        lambda: {
             "mth1": (V.set_all(v, 1.5), "1.5::DOUBLE"), "mth2": (V.set_index(v), "i::DOUBLE"), "mth3": (V.set_index(v, 1), "(i + 1)::DOUBLE"),
             "mth20": (V.maximum(v, w), "greatest(x, y)"), "mth21": (V.minimum(v, w), "least(x, y)"), "mth27": (F.transform(v, lambda x: K.power(x, 3)), "pow(x, 3)"),
             "mth28": (V.map2(F.atan2, v, w), "atan2(x, y)"), "mth30": (F.transform(v, lambda x: K.clamp(x, -0.1, 0.1)), "greatest(-0.1, least(0.1, x))"),
@@ -204,7 +204,7 @@ def tables(V, F, G, P, K, cells, scalars, family, made) -> None:  # noqa: N803
     )
     cells(
         "math_integers", "int",
-        {
+        lambda: {
             "mthi1": (V.set_all(p, 3, "int"), "3"), "mthi2": (V.set_index(p, 0, "int"), "i"), "mthi3": (V.set_index(p, 1, "int"), "i + 1"),
             "mthi4": (V.map1(lambda x: K.absolute(x, "int"), p), "abs(p)"), "mthi5": (V.maximum(p, q, t="int"), "greatest(p, q)"), "mthi6": (V.minimum(p, q, t="int"), "least(p, q)"),
             "mthi7": (V.map1(lambda x: K.clamp(x, -50, 50, "int"), p), "greatest(-50, least(50, p))"), "mthi8": (V.mod(p, 13, "vs", "int"), "p % 13"),
@@ -213,7 +213,7 @@ def tables(V, F, G, P, K, cells, scalars, family, made) -> None:  # noqa: N803
     )
     cells(
         "normalization", "float",
-        {
+        lambda: {
             "agg4": (V.normalize(v, V.norm_l2(v)), "x / sqrt(sum(x * x) OVER (PARTITION BY id))"), "agg6": (V.normalize(v, V.norm_l1(v)), "x / sum(abs(x)) OVER (PARTITION BY id)"),
             "agg5": (V.normalize(v, V.norm_l2(v, 8, 24), 8, 24), "CASE WHEN i BETWEEN 8 AND 23 THEN x / sqrt(sum(CASE WHEN i BETWEEN 8 AND 23 THEN x * x END) OVER (PARTITION BY id)) ELSE x END"),
             "agg7": (V.normalize(v, V.norm_l1(v, 8, 24), 8, 24), "CASE WHEN i BETWEEN 8 AND 23 THEN x / sum(CASE WHEN i BETWEEN 8 AND 23 THEN abs(x) END) OVER (PARTITION BY id) ELSE x END"),
@@ -225,7 +225,7 @@ def tables(V, F, G, P, K, cells, scalars, family, made) -> None:  # noqa: N803
     )
     cells(
         "vector_products", "float",
-        {
+        lambda: {
             "mth50": (V.reflect(v, w), "x - 2 * y * sum(x * y) OVER (PARTITION BY id)"), "mth52": (V.project(v, w), "sum(x * y) OVER (PARTITION BY id) / sum(y * y) OVER (PARTITION BY id) * y"),
             "mth51": (
                 V.refract(v, w, 0.7),
@@ -235,7 +235,7 @@ def tables(V, F, G, P, K, cells, scalars, family, made) -> None:  # noqa: N803
     )
     cells(
         "permutations", "float",
-        {
+        lambda: {
             "piv8": (V.apply_pivot(v, V.map1(lambda i: F.pmod(i * 5 + 3, F.lit(64)).cast("int"), V.pivot(64))), "list(x) OVER (PARTITION BY id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)[((i - 3 + 64) * 13) % 64 + 1]"),
             "piv14": (V.apply_inverse_pivot(v, V.map1(lambda i: F.pmod(i * 5 + 3, F.lit(64)).cast("int"), V.pivot(64))), "list(x) OVER (PARTITION BY id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)[(i * 5 + 3) % 64 + 1]"),
             "piv17": (V.swap(v, 3, 60), "CASE i WHEN 3 THEN list(x) OVER (PARTITION BY id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)[61] WHEN 60 THEN list(x) OVER (PARTITION BY id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)[4] ELSE x END"),
@@ -243,7 +243,7 @@ def tables(V, F, G, P, K, cells, scalars, family, made) -> None:  # noqa: N803
     )
     cells(
         "pivots", "int",
-        {"piv1": (V.pivot(64), "i"), "piv3": (V.swap(V.pivot(64), 2, 9), "CASE i WHEN 2 THEN 9 WHEN 9 THEN 2 ELSE i END"), "piv6": (V.inverse_pivot(V.map1(lambda i: F.pmod(i * 5 + 3, F.lit(64)).cast("int"), V.pivot(64))), "((i - 3 + 64) * 13) % 64")},
+        lambda: {"piv1": (V.pivot(64), "i"), "piv3": (V.swap(V.pivot(64), 2, 9), "CASE i WHEN 2 THEN 9 WHEN 9 THEN 2 ELSE i END"), "piv6": (V.inverse_pivot(V.map1(lambda i: F.pmod(i * 5 + 3, F.lit(64)).cast("int"), V.pivot(64))), "((i - 3 + 64) * 13) % 64")},
     )
 
 
@@ -251,7 +251,7 @@ def tables(V, F, G, P, K, cells, scalars, family, made) -> None:  # noqa: N803
     _full, _four = V.full_stats(v), V.mean_min_max_range(v)
     scalars(
         "vector_statistics",
-        {
+        lambda: {
             "agg1": (V.norm_l2(v), "sqrt(sum(x * x))", "float"), "agg2": (V.l1_mean(v), "avg(abs(x))", "float"), "l1": (V.norm_l1(v), "sum(abs(x))", "float"),
             "agg3": (V.norm_l2(v, 8, 24), "sqrt(sum(x * x) FILTER (i BETWEEN 8 AND 23))", "float"), "agg13": (V.sum_abs(v), "sum(abs(x))", "float"),
             "agg14": (V.max_abs(v), "max(abs(x))", "float"), "agg15": (V.total(v), "sum(x)", "float"), "agg16": (V.mean(v), "avg(x)", "float"),
@@ -264,14 +264,14 @@ def tables(V, F, G, P, K, cells, scalars, family, made) -> None:  # noqa: N803
     )
     scalars(
         "dot_products",
-        {
+        lambda: {
             "dot1": (V.dot(v, w), "sum(x * y)", "float"), "dot2": (V.dot(v, w, 5, 40), "sum(x * y) FILTER (i BETWEEN 5 AND 39)", "float"),
             "dot8": (V.dot(p, q, t="int"), "sum(p * q)", "int"), "krn38": (V.dot(p, q, 5, 40, "int"), "sum(p * q) FILTER (i BETWEEN 5 AND 39)", "int"),
         },
     )
     scalars(
         "element_access",
-        {
+        lambda: {
             "prj1": (V.element(v, 5), "max(x) FILTER (i = 5)", "float"), "prj2": (V.from_end(v, 0), "max(x) FILTER (i = 63)", "float"), "prj3": (V.element(mv["data"], 9), "max(x) FILTER (i = 9)", "float"),
             "prj4": (V.from_end(mv["data"], 9), "max(x) FILTER (i = 54)", "float"), "prj5": (V.cell(mv, 2, 3), "max(x) FILTER (i = 19)", "float"), "prj6": (V.cell(mv, 2, 1, False, True), "max(x) FILTER (i = 22)", "float"),
             "prj7": (V.cell(mv, 1, 3, True), "max(x) FILTER (i = 51)", "float"), "prj8": (V.cell(mv, 0, 0, True, True), "max(x) FILTER (i = 63)", "float"), "src50": (G.to_pair(v)["y"], "max(x) FILTER (i = 1)", "float"),
@@ -281,7 +281,7 @@ def tables(V, F, G, P, K, cells, scalars, family, made) -> None:  # noqa: N803
     )
     scalars(
         "vector_predicates",
-        {
+        lambda: {
             "anl1": (V.any_nan(v), "bool_or(isnan(x))", "bool"), "anl3": (V.any_inf(v), "bool_or(isinf(x))", "bool"), "anl5": (V.is_zero(v, 0.35), "bool_and(abs(x) <= 0.35)", "bool"),
             "anl8": (V.max_zero_error(v), "max(abs(x))", "float"), "bag2": (V.all_same(b), "min(b) = max(b)", "bool"), "bag3": (V.all_equal_to(b, True), "bool_and(b)", "bool"), "bag4": (V.any_equal_to(b, True), "bool_or(b)", "bool"),
             "anl14": (V.is_diagonal(mv, 0.3), "bool_and(abs(x) <= 0.3) FILTER (i % 9 <> 0)", "bool"), "anl16": (V.is_upper_triangular(mv, 0.25), "bool_and(abs(x) <= 0.25) FILTER (i % 8 < i // 8)", "bool"),
@@ -295,10 +295,10 @@ def tables(V, F, G, P, K, cells, scalars, family, made) -> None:  # noqa: N803
     )
 
 
-    cells("transpose_packed", "float", {"prj15": (V.transpose(mv), "list(x) OVER (PARTITION BY id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)[(i % 8) * 8 + i // 8 + 1]")}, matrix=True)
-    cells("view_updates", "bool", {"prj12": (V.update_view(mb, lambda x: K.b_or(x, True), 1, 2, 3, 3, 2, 2), "b OR (i // 8 IN (1, 3, 5) AND i % 8 IN (2, 4, 6))")}, matrix=True)
+    cells("transpose_packed", "float", lambda: {"prj15": (V.transpose(mv), "list(x) OVER (PARTITION BY id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)[(i % 8) * 8 + i // 8 + 1]")}, matrix=True)
+    cells("view_updates", "bool", lambda: {"prj12": (V.update_view(mb, lambda x: K.b_or(x, True), 1, 2, 3, 3, 2, 2), "b OR (i // 8 IN (1, 3, 5) AND i % 8 IN (2, 4, 6))")}, matrix=True)
 
-    made({
+    made(lambda: {
         "src1": (G.zeros(64), "0.0"), "src2": (G.full(64, 2.5), "2.5"), "src4": (G.mat_zeros(8, 8)["data"], "0.0"), "src5": (G.mat_full(8, 8, 1.5)["data"], "1.5"), "src18": (G.index(64), "i"),
         "src19": (G.index(64, 1), "i + 1"), "src20": (G.basis(64, 5), "(i = 5)::INT"), "src23": (G.linspace(64, -1, 2), "-1 + i / 63.0::DOUBLE * 3"), "src24": (G.identity(8)["data"], "(i % 9 = 0)::INT"),
         "src25": (G.diagonal(8, 3.5)["data"], "CASE WHEN i % 9 = 0 THEN 3.5 ELSE 0 END"), "src26": (G.diagonal_of(G.index(8, 1))["data"], "CASE WHEN i % 9 = 0 THEN i // 9 + 1 ELSE 0 END"),
@@ -311,14 +311,17 @@ def tables(V, F, G, P, K, cells, scalars, family, made) -> None:  # noqa: N803
 
 
 
-def _collect(*modules) -> dict[str, tuple[str, str, dict, bool]]:
-    """name: (form, kind, columns, matrix) of every table."""
-    found: dict[str, tuple[str, str, dict, bool]] = {}
+Made = Callable[[], dict]
+
+
+def _collect(*modules) -> dict[str, tuple[str, str, Made, bool]]:
+    """name: (form, kind, what makes the columns, matrix) of every table."""
+    found: dict[str, tuple[str, str, Made, bool]] = {}
 
-    def cells(name: str, kind: str, columns: dict, matrix: bool = False) -> None:
+    def cells(name: str, kind: str, columns: Made, matrix: bool = False) -> None:
         found[name] = ("cells", kind, columns, matrix)
 
-    def scalars(name: str, columns: dict) -> None:
+    def scalars(name: str, columns: Made) -> None:
         found[name] = ("scalars", "", columns, False)
 
     def family(prefix, table, one, whole, names, kind) -> None:
@@ -327,8 +330,8 @@ def _collect(*modules) -> dict[str, tuple[str, str, dict, bool]]:
         # Made when the query runs: each is a few dozen calls into the JVM.
         apart = {f"{prefix[0]}{k}": (partial(f, *one[:n]), s) for k, (f, s, n) in enumerate(table, 1)}
         whole_ = {f"{prefix[1]}{k}": (partial((lifted.on_matrix, lifted.on_matrices)[n - 1], f, *whole[:n]), s) for k, (f, s, n) in enumerate(table, 1)}
-        cells(names[0], kind, apart)
-        cells(names[1], kind, whole_, matrix=True)
+        cells(names[0], kind, lambda: apart)
+        cells(names[1], kind, lambda: whole_, matrix=True)
 
     tables(*modules, cells, scalars, family, lambda columns: found.update(factories=("made", "float", columns, False)))
     return found
@@ -345,7 +348,7 @@ def _columns(name: str) -> dict:
     if context not in _real:
         _real.clear()
         _real[context] = _collect(V, F, G, P, K)
-    return {k: e() if isinstance(e, partial) else e for k, (e, *_) in _real[context][name][2].items()}
+    return {k: e() if isinstance(e, partial) else e for k, (e, *_) in _real[context][name][2]().items()}
 
 
 _FORM = {
@@ -366,7 +369,8 @@ def _run(name: str, form: str, kind: str, kinds: dict[str, str], matrix: bool) -
     return run
 
 
-for _name, (_form, _kind, _table, _matrix) in _collect(*[Stub()] * 5).items():
+for _name, (_form, _kind, _make, _matrix) in _collect(*[Stub()] * 5).items():
+    _table = _make()
     QUERIES[_name] = _run(_name, _form, _kind, {k: x[2] for k, x in _table.items() if len(x) > 2}, _matrix)
     if _form == "scalars":
         _made = ", ".join(f"{_FORM[x[2]].format(x[1])} AS {k}" for k, x in _table.items())
