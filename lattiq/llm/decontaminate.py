@@ -5,16 +5,16 @@
 1. *Statistics.*  Document frequencies of the benchmark's words over the whole
    corpus.  Words in more than ``MAX_DF`` of the documents weigh nothing, except
    for items that would keep fewer than ``MIN_TERMS`` words.
-2. *Latent space.*  The benchmark's passages (``WINDOW`` words, every ``STRIDE``)
-   as TF-IDF rows of a distributed matrix; randomised SVD with power iterations:
+2. *Latent spaces.*  The benchmark's passages (``WINDOW`` words, every ``STRIDE``),
+   ``RANK`` to a space, as TF-IDF rows of a distributed matrix; randomised SVD with power iterations:
    partitions multiply their rows by a thin matrix, partial products are summed
-   by term, and only the thin matrix (terms of one block of items by ``RANK`` plus
-   ``OVERSAMPLE``) reaches the driver.  The space is fitted on the passages that
+   by term, and only the thin matrix (terms of some spaces, ``TERMS`` or one
+   space, by ``RANK`` plus ``OVERSAMPLE``) reaches the driver.  A space is fitted on the passages that
    are searched for, because rare words tell passages apart and would fall out of
-   a space fitted on the corpus; while passages are no more than RANK, no inner
-   product with them is lost.
+   a space fitted on the corpus; as it has no more passages than RANK, no inner
+   product with them is lost, however large the benchmark.
 3. *Candidates.*  Every window of every document - whole texts, windows of
-   ``WINDOW`` words every ``STRIDE`` - is projected; a window is a candidate for a
+   ``WINDOW`` words every ``STRIDE`` - is projected into each space; a window is a candidate for a
    passage if the cosine is at least ``COSINE`` and it holds ``CONTAINED`` of the
    passage's own weight.
 4. *Checks.*  The longest common subsequence of the item and the window with its
@@ -23,8 +23,9 @@
    "answer:", or the item's last words - is found too (``ANSWERED`` of its
    distinct words): a paraphrase.
 
-Items go in blocks of ``ITEMS``, each searched against all rows; what is sent to
-the executors is bounded by a block.
+Items go in blocks of ``ITEMS`` items or passages, each searched against all rows
+in one pass; what is sent to the executors is bounded by a block, but for the
+passages of its last item.
 
 Defined results: null, empty and blank texts hit nothing; items without words
 are hit by nothing; items of fewer than ``LEAST_WORDS`` words must be there in
@@ -51,6 +52,7 @@ OVERSAMPLE = 32
 POWER = 2
 SEED = 7
 ITEMS = 4096
+TERMS = 32768
 MAX_DF = 0.05
 MIN_TERMS = 8
 COSINE = 0.4
@@ -82,6 +84,17 @@ def lcs(a: list, b: list) -> int:
     return len(a) - row.bit_count()
 
 
+@dataclass
+class Space:
+    """The latent space of at most RANK passages, in which no inner product with them is lost."""
+
+    local: np.ndarray  # row in ``basis`` of each word of the vocabulary, or -1
+    basis: np.ndarray  # terms of these passages x rank, times idf
+    passages: np.ndarray  # passages x rank, raw
+    owner: np.ndarray
+    norm: np.ndarray
+
+
 @dataclass
 class Model:
     """What a block of items needs to be searched for."""
@@ -91,55 +104,56 @@ class Model:
     answers: list[set[bytes]]
     vocabulary: dict[bytes, int] = field(default_factory=dict)
     idf: np.ndarray = field(default_factory=lambda: np.empty(0, np.float32))
-    basis: np.ndarray = field(default_factory=lambda: np.empty((0, 0), np.float32))  # terms x rank, times idf
-    passages: np.ndarray = field(default_factory=lambda: np.empty((0, 0), np.float32))  # passages x rank, raw
-    owner: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))
-    norm: np.ndarray = field(default_factory=lambda: np.empty(0, np.float32))
+    spaces: list[Space] = field(default_factory=list)
 
     def hits(self, text: bytes | None) -> list[tuple[int, float, float, bool, int]]:
         """(item, cosine, lcs share, answered, first word of the window), the best of each item."""
         words = normal_words(text)
-        if not words or not len(self.owner):
+        if not words or not self.spaces:
             return []
         terms = np.fromiter((self.vocabulary.get(w, -1) for w in words), np.int64, len(words))
         at = np.flatnonzero(terms >= 0)
         at = at[self.idf[terms[at]] > 0]
+        best: dict[int, tuple[int, float, float, bool, int]] = {}
+        tried: dict[tuple[int, int], tuple[float, bool]] = {}
+        for space in self.spaces:
+            for i, start, cosine in self.candidates(space, terms, at):
+                if (i, start) not in tried:
+                    tried[i, start] = self.check(i, words, start)
+                share, answered = tried[i, start]
+                if (share >= SURE or (share >= POSSIBLE and answered)) and (i not in best or (share, cosine) > (best[i][2], best[i][1])):
+                    best[i] = (self.items[i], cosine, share, answered, start)
+        return sorted(best.values())
+
+    def candidates(self, space: Space, terms: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, int, float]]:
+        """(item, first word of the window, cosine); ``at`` are the places of the words that weigh something."""
+        row = space.local[terms[at]]
+        at, row = at[row >= 0], row[row >= 0]
         if not len(at):
-            return []
+            return
         # Windows are two neighbouring blocks of STRIDE words; a block is projected once.
         block = at // STRIDE
-        weight = self.idf[terms[at]]
-        blocks = len(words) // STRIDE + 1
-        mass = np.bincount(block, weight, blocks)
+        blocks = len(terms) // STRIDE + 1
+        mass = np.bincount(block, self.idf[terms[at]], blocks)
         mass[:-1] += mass[1:].copy()
         # |z| is at most the sum of weights: windows below the least passage can hold nothing.
-        some = mass >= CONTAINED * self.norm.min()
+        some = mass >= CONTAINED * space.norm.min()
         need = some.copy()
         need[1:] |= some[:-1]
         keep = need[block]
-        block, terms = block[keep], terms[at][keep]
+        block, row = block[keep], row[keep]
         if not len(block):
-            return []
-        z = np.zeros((blocks + 1, self.basis.shape[1]), np.float32)
+            return
+        z = np.zeros((blocks + 1, space.basis.shape[1]), np.float32)
         first = np.flatnonzero(np.diff(block, prepend=-1))
-        z[block[first]] = np.add.reduceat(self.basis[terms], first, axis=0)
+        z[block[first]] = np.add.reduceat(space.basis[row], first, axis=0)
         z = (z[:-1] + z[1:])[some]
         length = np.linalg.norm(z, axis=1)
-        inner = z @ self.passages.T
-        fit = (inner >= CONTAINED * self.norm**2) & (inner >= COSINE * length[:, None] * self.norm)
-        best: dict[int, tuple[int, float, float, bool, int]] = {}
-        tried: dict[tuple[int, int], tuple[float, bool]] = {}
+        inner = z @ space.passages.T
+        fit = (inner >= CONTAINED * space.norm**2) & (inner >= COSINE * length[:, None] * space.norm)
         windows = np.flatnonzero(some)
         for w, p in zip(*np.nonzero(fit), strict=True):
-            i, start = int(self.owner[p]), int(windows[w]) * STRIDE
-            if (i, start) not in tried:
-                tried[i, start] = self.check(i, words, start)
-            share, answered = tried[i, start]
-            if share >= SURE or (share >= POSSIBLE and answered):
-                cosine = float(inner[w, p] / (length[w] * self.norm[p]))
-                if i not in best or (share, cosine) > (best[i][2], best[i][1]):
-                    best[i] = (self.items[i], cosine, share, answered, start)
-        return sorted(best.values())
+            yield int(space.owner[p]), int(windows[w]) * STRIDE, float(inner[w, p] / (length[w] * space.norm[p]))
 
     def check(self, i: int, words: list[bytes], start: int) -> tuple[float, bool]:
         item = self.texts[i]
@@ -190,13 +204,22 @@ def document_frequency(docs: DataFrame, text: str, vocabulary: dict[bytes, int])
 
 
 def randomised_svd(rows: DataFrame, terms: int, rank: int = RANK, oversample: int = OVERSAMPLE, power: int = POWER, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
-    """(V, singular values) of the sparse matrix in ``rows`` (idx array<int>, val array<double>).
+    """(V, singular values) of the sparse matrix in ``rows`` (idx array<int>, val array<double>)."""
+    return block_svd(rows, [terms], rank, oversample, power, seed)[0]
+
+
+def block_svd(
+    rows: DataFrame, parts: list[int], rank: int = RANK, oversample: int = OVERSAMPLE, power: int = POWER, seed: int = SEED
+) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(V, singular values) of each part of a matrix whose columns fall into parts that no row crosses.
 
     Each pass sends every partition the thin matrix Q (terms x width) and sums
-    the partitions' parts of A'(A Q) by term.
+    the partitions' parts of A'(A Q) by term, for all parts of the matrix at once.
     """
-    spark = rows.sparkSession
-    width = min(terms, rank + oversample)
+    spark, terms = rows.sparkSession, sum(parts)
+    ends = np.cumsum(parts).tolist()
+    widths = [min(n, rank + oversample) for n in parts]
+    width = max(widths)
 
     def product(thin: np.ndarray) -> np.ndarray:
         shared = spark.sparkContext.broadcast(thin)
@@ -222,20 +245,28 @@ def randomised_svd(rows: DataFrame, terms: int, rank: int = RANK, oversample: in
         schema = "term int, part binary"
         summed = rows.mapInArrow(run, schema).withColumn("lot", F.pmod(F.hash("term"), F.lit(256))).groupBy("lot")
         out = np.zeros((terms, width))
-        for r in summed.applyInArrow(lambda t: add(t), schema).collect():  # terms x width of one block of items
+        for r in summed.applyInArrow(lambda t: add(t), schema).collect():  # terms x width of at most TERMS terms or one space
             out[r["term"]] = np.frombuffer(r["part"])
         shared.unpersist()
         return out
 
-    q = np.linalg.qr(np.random.default_rng(seed).standard_normal((terms, width)))[0]
+    places = [(slice(e - n, e), slice(0, w)) for n, e, w in zip(parts, ends, widths, strict=True)]
+    draw, q = np.random.default_rng(seed), np.zeros((terms, width))
+    for at in places:
+        q[at] = np.linalg.qr(draw.standard_normal(q[at].shape))[0]
     for _ in range(power):
-        q = np.linalg.qr(product(q))[0]
-    gram = q.T @ product(q)
-    values, turn = np.linalg.eigh((gram + gram.T) / 2)
-    order = np.argsort(values)[::-1][:rank]
-    values = np.sqrt(np.maximum(values[order], 0))
-    good = values > 1e-6 * max(values.max(initial=0), 1e-30)
-    return q @ turn[:, order[good]], values[good]
+        out = product(q)
+        for at in places:
+            q[at] = np.linalg.qr(out[at])[0]
+    out, found = product(q), []
+    for at in places:
+        gram = q[at].T @ out[at]
+        values, turn = np.linalg.eigh((gram + gram.T) / 2)
+        order = np.argsort(values)[::-1][:rank]
+        values = np.sqrt(np.maximum(values[order], 0))
+        good = values > 1e-6 * max(values.max(initial=0), 1e-30)
+        found.append((q[at] @ turn[:, order[good]], values[good]))
+    return found
 
 
 def fit(docs: DataFrame, items: list[tuple[int, bytes | None, bytes | None]], text: str = "text") -> Model:
@@ -255,25 +286,39 @@ def fit(docs: DataFrame, items: list[tuple[int, bytes | None, bytes | None]], te
     idf[common] = 0
     model.idf = idf.astype(np.float32)
     spans = [(k, i[a:b]) for k, i in enumerate(ids) if len(i) for a, b in _spans(len(i))]
-    rows, owner = [], []
+    rows = []
     for k, part in spans:
         at, times = np.unique(part, return_counts=True)
         weight = times * idf[at]
         if (weight > 0).any():
-            rows.append((at[weight > 0].astype(np.int32), weight[weight > 0]))
-            owner.append(k)
-    if not rows:
-        return model
-    spark = docs.sparkSession
-    matrix = spark.createDataFrame([(i.tolist(), v.tolist()) for i, v in rows], "idx array<int>, val array<double>")
-    basis, _ = randomised_svd(matrix.repartition(min(64, 1 + len(rows) // 64)), len(idf))
-    model.basis = (basis * idf[:, None]).astype(np.float32)
-    model.passages = np.stack([v @ basis[i] for i, v in rows]).astype(np.float32)
-    model.owner = np.array(owner, np.int64)
-    model.norm = np.linalg.norm(model.passages, axis=1).astype(np.float32)
+            rows.append((k, at[weight > 0], weight[weight > 0]))
+    lots: list[list] = [[]]
+    terms = 0
+    for a in range(0, len(rows), RANK):
+        part = rows[a : a + RANK]
+        used = np.unique(np.concatenate([i for _, i, _ in part]))
+        if lots[-1] and terms + len(used) > TERMS:
+            lots.append([])
+            terms = 0
+        lots[-1].append((part, used))
+        terms += len(used)
+    model.spaces = [space for lot in lots if lot for space in _spaces(docs.sparkSession, lot, idf)]
     return model
 
 
+def _spaces(spark: SparkSession, lot: list[tuple[list[tuple[int, np.ndarray, np.ndarray]], np.ndarray]], idf: np.ndarray) -> Iterator[Space]:
+    """The spaces of some lists of at most RANK passages (item, terms, weights), each with its terms, fitted together."""
+    shift = np.cumsum([0] + [len(used) for _, used in lot]).tolist()
+    data = [((np.searchsorted(used, i) + s).tolist(), v.tolist()) for (part, used), s in zip(lot, shift, strict=False) for _, i, v in part]
+    matrix = spark.createDataFrame(data, "idx array<int>, val array<double>").repartition(min(64, 1 + len(data) // 64))
+    for (part, used), (basis, _) in zip(lot, block_svd(matrix, [len(used) for _, used in lot]), strict=True):
+        local = np.full(len(idf), -1, np.int32)
+        local[used] = np.arange(len(used), dtype=np.int32)
+        passages = np.stack([v @ basis[local[i]] for _, i, v in part]).astype(np.float32)
+        norm = np.linalg.norm(passages, axis=1).astype(np.float32)
+        yield Space(local, (basis * idf[used, None]).astype(np.float32), passages, np.array([k for k, _, _ in part], np.int64), norm)
+
+
 def found_in(text: Column, model: Model, spark: SparkSession) -> Column:
     """The hits of a text (array of structs), given as a column of bytes."""
     shared = spark.sparkContext.broadcast(model)
@@ -287,16 +332,18 @@ def found_in(text: Column, model: Model, spark: SparkSession) -> Column:
 
 
 def _models(docs: DataFrame, benchmark: DataFrame, text: str, item: str, item_text: str, answer: str | None) -> Iterator[Model]:
-    """A model for each block of at most ITEMS items."""
+    """A model for each block of at most ITEMS items, closed when its passages reach ITEMS."""
     rows = benchmark.select(
         F.col(f"`{item}`").cast("long"), F.col(f"`{item_text}`").cast("binary"), (F.col(f"`{answer}`") if answer else F.lit(None)).cast("binary")
     ).toLocalIterator()
     block: list = []
+    passages = 0
     for r in rows:
         block.append((r[0], bytes(r[1]) if r[1] is not None else None, bytes(r[2]) if r[2] is not None else None))
-        if len(block) == ITEMS:
+        passages += len(_spans(len(normal_words(block[-1][1]))))
+        if len(block) == ITEMS or passages >= ITEMS:
             yield fit(docs, block, text)
-            block = []
+            block, passages = [], 0
     if block:
         yield fit(docs, block, text)
 

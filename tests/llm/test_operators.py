@@ -126,6 +126,25 @@ def test_decontamination(spark, empty):
     assert decontaminate.search(empty, bench).count() == 0 and decontaminate.search(docs, bench.limit(0)).count() == 0
 
 
+def test_many_items_are_all_found(spark):
+    draw = random.Random(9)
+    vocabulary = [f"v{i}" for i in range(6000)]
+    items = [[draw.choice(vocabulary) for _ in range(draw.choice([8, 10, 14, 24, 48, 64, 100]))] for _ in range(1000)]
+    rows, expected = [], set()
+    for d in range(200):
+        i, w = draw.randrange(len(items)), [draw.choice(vocabulary) for _ in range(draw.randint(100, 200))]
+        planted = list(items[i])
+        if d % 2:  # a paraphrase: some words are others
+            for k in range(0, len(planted) - 4, 6):
+                planted[k] = draw.choice(vocabulary)
+        at = draw.randint(0, len(w))
+        w[at:at] = planted
+        rows.append((d, " ".join(w), "en", "s", 0))
+        expected.add((d, i))
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id bigint, text string")
+    assert {(r["key"], r["item"]) for r in decontaminate.search(frame(spark, rows), bench).collect()} == expected
+
+
 def test_svd(spark):
     a = np.random.default_rng(0).standard_normal((40, 6)) @ np.random.default_rng(1).standard_normal((6, 30))
     rows = spark.createDataFrame([(list(range(30)), r.tolist()) for r in a], "idx array<int>, val array<double>")
