@@ -163,6 +163,5 @@ QUERIES: dict[str, Query] = {
 ORACLE_SQL: dict[str, str] = {
     "op1_quality_rules": OP1_SQL,
     "op4_pareto_mix": OP4_SQL,
-    "op5_token_files": op5_token_files,
     "op6_url_filter": OP6_SQL,
 }

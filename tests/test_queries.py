@@ -37,5 +37,14 @@ def test_query(spark, duck, name):
     assert ours == sorted((tuple(plain(r[theirs.index(c)]) for c in columns) for r in said.fetchall()), key=repr)
 
 
+def test_every_oracle_is_sql():
+    assert all(isinstance(sql, str) for sql in entry.oracle_sql().values())
+
+
+@pytest.mark.parametrize("name", sorted(k for k in entry.oracle_sql() if k.startswith(("op", "pipeline"))))
+def test_training_data_query(spark, duck, name):
+    test_query(spark, duck, name)
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() == 4096
