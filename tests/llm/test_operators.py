@@ -319,6 +319,13 @@ def test_estimates_are_unbiased():
     assert abs(np.mean(ratios) - 200 / 300) < 0.02
 
 
+@pytest.mark.parametrize("percent", [80, 85])
+def test_pairs_at_the_threshold_share_a_key(percent):
+    assert minmax_dedup.ROWS * minmax_dedup.BANDS <= 2 * minmax_dedup.PERMUTATIONS
+    assert (1 - (percent / 100) ** minmax_dedup.ROWS) ** minmax_dedup.BANDS < 1e-5
+    assert minmax_dedup.bands(minmax_dedup.signature(np.arange(9, dtype=np.uint64), minmax_dedup._factors())).shape == (minmax_dedup.BANDS,)
+
+
 # 9. Secrets.
 
 def test_secrets(spark, empty):
