@@ -4,8 +4,8 @@
 (``KINDS``), found in whole texts.  *Candidates* are the values in them and in
 the matches of further kinds (``MORE_KINDS``).  A candidate's hash is counted
 over distinct repositories and owners in the whole corpus: a value that many
-owners have is a copied example; one that stays with few owners and doesn't look
-like a placeholder is *live-looking*.  The method adds the spans of live-looking
+owners or many repositories have is a copied example; one that stays with few of
+both and doesn't look like a placeholder is *live-looking*.  The method adds the spans of live-looking
 matches of the further kinds; base spans always stay.
 
 Positions come from cutting the text at the matches: match ``i`` starts after
@@ -47,6 +47,7 @@ HINTS = {
 }
 PLACEHOLDER = r"(?i)example|placeholder|changeme|your|dummy|sample|xxxx|test|^(.)\1+$|123456"
 MAX_OWNERS = 2
+MAX_REPOS = 2
 SALT = 16
 
 SPAN = "struct<kind:string, rank:int, start:int, end:int, value:string>"
@@ -94,7 +95,7 @@ def ownership(candidates: DataFrame) -> DataFrame:
     return owners.join(repos, "hash")
 
 
-def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", repo: str = "source", owner: str = "source", max_owners: int = MAX_OWNERS) -> DataFrame:
+def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", repo: str = "source", owner: str = "source", max_owners: int = MAX_OWNERS, max_repos: int = MAX_REPOS) -> DataFrame:
     """(row, key, base, more, n_live, n_example) of every row; ``more`` are the added spans."""
     body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
     of = docs.select(
@@ -115,11 +116,12 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", repo: str = "
     counts = ownership(each.select("hash", "repo", "owner"))
     salted = counts.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(SALT)])))
     classed = each.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALT)).cast("int")).join(salted, ["hash", "salt"])
-    live = (F.col("n_owners") <= max_owners) & ~F.col("span")["value"].rlike(PLACEHOLDER)
+    copied = (F.col("n_owners") > max_owners) | (F.col("n_repos") > max_repos)
+    live = ~copied & ~F.col("span")["value"].rlike(PLACEHOLDER)
     per = classed.groupBy(F.col("row").alias("__row")).agg(
         F.collect_list(F.when(live & (F.col("span")["rank"] >= len(KINDS)), F.col("span"))).alias("more"),
         F.sum(live.cast("long")).alias("n_live"),
-        F.sum((F.col("n_owners") > max_owners).cast("long")).alias("n_example"),
+        F.sum(copied.cast("long")).alias("n_example"),
     )
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
     return book.join(per, F.col("row") == F.col("__row"), "left").select(

@@ -350,6 +350,12 @@ def test_widely_copied_values_are_examples(spark):
     assert got[3] == (0, 1) and got[50] == (1, 0)
 
 
+def test_values_in_many_repositories_of_one_owner_are_examples(spark):
+    rows = [(i, "token=" + "Qz81" * 8, "en", f"s{i}", 0) for i in range(20)] + [(50, "token=" + "Kp37" * 8, "en", "s1", 0)]
+    got = {r["key"]: (r["n_live"], r["n_example"]) for r in secret_scan.scan(frame(spark, rows), owner="lang").collect()}
+    assert got[3] == (0, 1) and got[50] == (1, 0)
+
+
 # 10. Sharding.
 
 def test_sharding(spark, awkward, empty):
