@@ -6,28 +6,34 @@ stands earlier - in a document with a smaller id, or before it in its own - on
 the input, not on what is left.  Lines without words always stay.
 
 1. *Rarity.*  Words are counted over all lines in ``BINS`` hashed bins; a word's
-   order is (count of its bin, hash).  Any total order keeps the join exact, this
-   one puts rare words first; its table has a fixed size.
+   order is (logarithm of the lines of its bin, hash).  Any total order keeps the
+   join exact, this one puts rare words first; its table has a fixed size.
 2. *Prefix.*  Lines with one set are one class.  A class of ``n`` words puts its
-   ``n - ceil(t * n) + 1`` first words into an index, each with ``n`` and its
-   place.  Two entries of a word are a candidate if their lengths allow the
-   threshold and if the words that can follow both places do (positional filter).
-   Classes whose length admits no other partner are not indexed.
+   ``n - ceil(t * n) + 1`` first words into an index, each with ``n``, its place
+   and 64 bits to which every word of the set adds one (without carry).  Two
+   entries of a word are a candidate if their lengths allow the threshold, if the
+   words that can follow both places do (positional filter), and if the sets' bits
+   differ in no more places than the sets may differ in words.  None of these can
+   lose a link.  Words of one line only, and classes whose length admits no other
+   partner, are not indexed.
 3. *Verify.*  Candidates are distinct pairs of classes; the full sets of their
    lines, which are brought together once a group of candidates, decide.
 4. *Remove.*  A class's earliest place is that of itself and its links.
 
 Entries travel packed, by buckets of words; a word on very many classes is
-compared in slices of ``SLICE`` entries, and only candidates that pass both
+compared in slices of ``SLICE`` entries, and only candidates that pass all
 filters come out.  Copies of a line are one class and never pair.
 
-Classes are named by 128 bits; candidates carry 64 of them, and what two classes
+Words are told apart by 42 bits of hash until sets are compared (there by 64);
+classes are named by 128 bits; candidates carry 64 of them, and what two classes
 share there is told apart again when sets are compared.
 
 Defined results: null and empty texts have one line without words; rows with a
 null id come before all others; repeated rows of one id are told apart by their
 text only, so of two equal rows the lines of both stay or go alike; other
-columns are carried by the caller.  An empty table gives an empty table.
+columns are carried by the caller.  A text of any length is read whole; a line of
+very many words has a long prefix and is compared like any other.  An empty table
+gives an empty table.
 """
 
 from __future__ import annotations
@@ -47,13 +53,16 @@ from lattiq.llm.common import cut, mix, shuffle_partitions
 PERCENT = 80
 BINS = 1 << 22
 SEGMENTS = 16
+TOKEN_BITS = 42
+LINE_BITS = 64 - TOKEN_BITS
+RANK_BITS = 10
 SLICE = 2048
 SHORT = 64
 ROOM = 4096
 CHUNK_BYTES = 4 << 20
 BUCKETS_PER_PARTITION = 3
-_ENTRY = {"word": "<u4", "a": "<i8", "n": "<u4", "place": "<u4"}
-_HASHES = ("word", "a")
+_ENTRY = {"word": "<u4", "bits": "<u8", "rest": "<u4", "n": "<u4", "place": "<u4"}
+_HASHES = ("word", "bits", "rest")
 
 
 def _texts(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -75,70 +84,148 @@ def _chunks(column: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
 
 @dataclass
 class Lines:
-    """The lines of some texts, with their distinct words in order of rarity."""
+    """The lines of some texts that have words, as sets of tokens (words' hashes cut to TOKEN_BITS)."""
 
-    counts: np.ndarray  # lines of each text
-    word: np.ndarray  # distinct words, line after line
-    line: np.ndarray  # the lines that have words
-    edge: np.ndarray  # where each of them begins in ``word``
-    a: np.ndarray  # 128 bits that name the set of each of them
-    b: np.ndarray
+    counts: np.ndarray  # all lines of each text
+    line: np.ndarray  # numbers of the lines that have words
+    token: np.ndarray  # distinct tokens, line after line, in order
+    edge: np.ndarray  # where each line begins in ``token``
+    bits: np.ndarray  # one bit a token of the line, added without carry
+    rest: np.ndarray  # with ``bits``, 96 bits that name the set
 
     @property
     def size(self) -> np.ndarray:
-        return np.diff(np.append(self.edge, len(self.word)))
+        return np.diff(np.append(self.edge, len(self.token)))
+
+    @property
+    def a(self) -> np.ndarray:
+        return name(self.bits, self.rest)
+
+    @property
+    def b(self) -> np.ndarray:
+        """64 bits more of the set's name."""
+        return mix(hashing.sums(mix(self.token ^ np.uint64(0xA0761D6478BD642F)), self.edge)).view(np.int64)
 
 
-def _lines(texts: list[bytes], rarity: np.ndarray | None = None) -> Lines:
+def name(bits: np.ndarray, rest: np.ndarray) -> np.ndarray:
+    return mix(bits + rest.astype(np.uint64) * np.uint64(0xE7037ED1A0B428DB)).view(np.int64)
+
+
+def _words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Lines of each text; hash and line of every word."""
     whole = b"\n".join(texts)
     counts = np.array([t.count(b"\n") + 1 for t in texts], np.int64)
     word, start = hashing.words(whole)
     breaks = np.flatnonzero(np.frombuffer(whole, np.uint8) == 10)
-    line = np.searchsorted(breaks, start)
-    if rarity is None:
-        order = np.lexsort((word, line))
-    else:
-        order = np.lexsort((word, rarity[(word % np.uint64(BINS)).astype(np.int64)], line))
+    upto = np.append(np.searchsorted(start, breaks), len(start))
+    return counts, word, np.repeat(np.arange(len(upto)), np.diff(upto, prepend=0))
+
+
+def _distinct(word: np.ndarray, line: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(line, word), each once, in order."""
+    order = np.lexsort((word, line))
     word, line = word[order], line[order]
     new = np.ones(len(word), bool)
     new[1:] = (word[1:] != word[:-1]) | (line[1:] != line[:-1])
-    word, line = word[new], line[new]
+    return line[new], word[new]
+
+
+def _lines(texts: list[bytes]) -> Lines:
+    counts, word, line = _words(texts)
+    token = word >> np.uint64(LINE_BITS)
+    if counts.sum() < 1 << LINE_BITS:  # line and token fit one number, which sorts fast
+        key = np.sort((line.astype(np.uint64) << np.uint64(TOKEN_BITS)) | token)
+        new = np.ones(len(key), bool)
+        new[1:] = key[1:] != key[:-1]
+        key = key[new]
+        line, token = (key >> np.uint64(TOKEN_BITS)).astype(np.int64), key & np.uint64((1 << TOKEN_BITS) - 1)
+    else:
+        line, token = _distinct(token, line)
     edge = np.flatnonzero(np.diff(line, prepend=-1))
-    # Sums of mixed hashes name a set whatever its order.
-    a = mix(hashing.sums(mix(word), edge)).view(np.int64)
-    b = mix(hashing.sums(mix(word ^ np.uint64(0xA0761D6478BD642F)), edge)).view(np.int64)
-    return Lines(counts, word, line[edge], edge, a, b)
+    bits = np.bitwise_xor.reduceat(np.uint64(1) << (token >> np.uint64(TOKEN_BITS - 6)), edge) if len(edge) else np.empty(0, np.uint64)
+    # A sum of mixed tokens names a set whatever its order.
+    rest = (mix(hashing.sums(mix(token), edge)) >> np.uint64(32)).astype(np.uint32)
+    return Lines(counts, line[edge], token, edge, bits, rest)
+
+
+def _by_rank(found: Lines, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rank, word) of the tokens of every line, rarest first; a word is the upper 32 bits of its token."""
+    low = token_rank(found.token, rank).astype(np.uint64) << np.uint64(32) | found.token >> np.uint64(RANK_BITS)
+    line = np.repeat(np.arange(len(found.edge)), found.size)
+    if len(found.edge) < 1 << LINE_BITS:
+        low = np.sort((line.astype(np.uint64) << np.uint64(TOKEN_BITS)) | low)
+    else:
+        low = low[np.lexsort((low, line))]
+    return (low >> np.uint64(32)) & np.uint64((1 << RANK_BITS) - 1), low.astype(np.uint32)
+
+
+def token_rank(token: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    return rank[(token & np.uint64(BINS - 1)).astype(np.int64)]
 
 
-def rarity(texts: DataFrame) -> np.ndarray:
-    """Words of each bin; each task's counts stop at 255, which no rare word reaches."""
+def occurrences(texts: DataFrame) -> DataFrame:
+    """(doc, a, b) of every document, the class of each line (0 without words), and
+    after them (segment, counts): in how many lines of the task the tokens of each bin are.
+
+    A task's counts stop at 255, which no rare word reaches.
+    """
     part = BINS // SEGMENTS
+    schema = pa.schema(
+        [("doc", pa.int64()), ("a", pa.list_(pa.int64())), ("b", pa.list_(pa.int64())), ("segment", pa.int32()), ("counts", pa.binary())]
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(BINS, np.int64)
+        total, waiting, n = np.zeros(BINS, np.uint32), [], 0
+
+        def count() -> None:
+            nonlocal total, n
+            if waiting:
+                total += np.bincount(np.concatenate(waiting), minlength=BINS).astype(np.uint32)
+            waiting.clear()
+            n = 0
+
         for batch in batches:
-            for _, chunk in _chunks(batch.column(1)):
-                word, _ = hashing.words(b"\n".join(chunk))
-                total += np.bincount((word % np.uint64(BINS)).astype(np.int64), minlength=BINS)
-        small = np.minimum(total, 255).astype(np.uint8)
+            for first, chunk in _chunks(batch.column(1)):
+                found = _lines(chunk)
+                offsets = pa.array(np.concatenate([[0], np.cumsum(found.counts)]), pa.int32())
+                names = []
+                for value in (found.a, found.b):
+                    every = np.zeros(int(found.counts.sum()), np.int64)
+                    every[found.line] = value
+                    names.append(pa.ListArray.from_arrays(offsets, pa.array(every, pa.int64())))
+                docs = batch.column(0)[first : first + len(chunk)]
+                yield pa.RecordBatch.from_arrays([docs, *names, pa.nulls(len(docs), pa.int32()), pa.nulls(len(docs), pa.binary())], schema=schema)
+                waiting.append((found.token & np.uint64(BINS - 1)).astype(np.int32))
+                n += len(found.token)
+                if n >= BINS:
+                    count()
+        count()
         press = zstandard.ZstdCompressor(level=1)
-        packed = [press.compress(small[k * part : (k + 1) * part].tobytes()) for k in range(SEGMENTS)]
-        yield pa.RecordBatch.from_arrays([pa.array(range(SEGMENTS), pa.int32()), pa.array(packed, pa.binary())], names=["segment", "counts"])
+        small = np.minimum(total, 255).astype(np.uint8).reshape(SEGMENTS, part)
+        used = np.flatnonzero(small.any(axis=1))
+        none = pa.nulls(len(used), pa.list_(pa.int64()))
+        packed = pa.array([press.compress(small[k].tobytes()) for k in used], pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(used), pa.int64()), none, none, pa.array(used, pa.int32()), packed], schema=schema)
+
+    return texts.mapInArrow(run, "doc bigint, a array<bigint>, b array<bigint>, segment int, counts binary")
+
+
+def ranks(counted: DataFrame) -> np.ndarray:
+    """A rank for each bin from (segment, counts): 0 for a bin of one line at most, then by the logarithm of its lines."""
+    part = BINS // SEGMENTS
 
     def add(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(part, np.int64)
         for batch in batches:
-            for packed in batch.column(1):
+            for packed in batch.column("counts"):
                 total += np.frombuffer(zstandard.ZstdDecompressor().decompress(packed.as_py()), np.uint8)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([key[0].as_py()], pa.int32()), pa.array([np.minimum(total, 2**31 - 1).astype("<i4").tobytes()], pa.binary())], names=["segment", "counts"]
-        )
-
-    schema = "segment int, counts binary"
-    rows = texts.mapInArrow(run, schema).groupBy("segment").applyInArrow(_by_batches(add), schema).collect()  # BINS numbers
-    out = np.zeros(BINS, np.int32)
-    for r in rows:
-        out[r["segment"] * part : (r["segment"] + 1) * part] = np.frombuffer(r["counts"], "<i4")
+        steps = (1 << RANK_BITS) / 40
+        rank = np.minimum(np.log2(np.maximum(total, 1)) * steps, (1 << RANK_BITS) - 1).astype("<u2")
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([rank.tobytes()], pa.binary())], names=["segment", "ranks"])
+
+    out = np.zeros(BINS, np.uint16)
+    for r in counted.groupBy("segment").applyInArrow(_by_batches(add), "segment int, ranks binary").collect():  # BINS numbers
+        out[r["segment"] * part : (r["segment"] + 1) * part] = np.frombuffer(r["ranks"], "<u2")
     return out
 
 
@@ -151,36 +238,18 @@ def _by_batches(add):
     return run
 
 
-def occurrences(texts: DataFrame) -> DataFrame:
-    """(doc, a, b) of every document: the class of each line, 0 without words."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for first, chunk in _chunks(batch.column(1)):
-                found = _lines(chunk)
-                offsets = pa.array(np.concatenate([[0], np.cumsum(found.counts)]), pa.int32())
-                names = []
-                for value in (found.a, found.b):
-                    every = np.zeros(int(found.counts.sum()), np.int64)
-                    every[found.line] = value
-                    names.append(pa.ListArray.from_arrays(offsets, pa.array(every, pa.int64())))
-                yield pa.RecordBatch.from_arrays([batch.column(0)[first : first + len(chunk)], *names], names=["doc", "a", "b"])
-
-    return texts.mapInArrow(run, "doc bigint, a array<bigint>, b array<bigint>")
-
-
 def least_size(n: np.ndarray | int, percent: int) -> np.ndarray | int:
     """The fewest words that a partner of a line of ``n`` words can have."""
     return -(-n * percent // 100)
 
 
-def _index(texts: DataFrame, counts: np.ndarray, percent: int, buckets: int) -> DataFrame:
-    shared = texts.sparkSession.sparkContext.broadcast(counts)
+def _index(texts: DataFrame, rank: np.ndarray, percent: int, buckets: int) -> DataFrame:
+    shared = texts.sparkSession.sparkContext.broadcast(rank)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, chunk in _chunks(batch.column(1)):
-                found = _lines(chunk, shared.value)
+                found = _lines(chunk)
                 n = found.size
                 # One line of each class a chunk; none where no other length fits and equal sets are the only partners.
                 _, one = np.unique(found.a, return_index=True)
@@ -189,9 +258,12 @@ def _index(texts: DataFrame, counts: np.ndarray, percent: int, buckets: int) ->
                 prefix = (n - least_size(n, percent) + 1)[one]
                 at = np.repeat(np.arange(len(one)), prefix)
                 place = np.arange(len(at)) - np.repeat(np.cumsum(prefix) - prefix, prefix)
-                word = found.word[found.edge[one][at] + place]
-                bucket = ((word >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
-                columns = {"word": word.astype(np.uint32), "a": found.a[one][at], "n": n[one][at].astype(np.uint32), "place": place.astype(np.uint32)}
+                order, word = _by_rank(found, shared.value)
+                spot = found.edge[one][at] + place
+                met = order[spot] > 0  # a word of one line meets no other
+                at, place, word, line = at[met], place[met], word[spot[met]], one[at[met]]
+                bucket = (mix(word.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+                columns = {"word": word, "bits": found.bits[line], "rest": found.rest[line], "n": n[line].astype(np.uint32), "place": place.astype(np.uint32)}
                 yield from exchange.pack(bucket, columns, _HASHES, np.zeros(1, np.int64))
 
     return texts.mapInArrow(run, exchange.SCHEMA)
@@ -201,28 +273,29 @@ def _pairs(percent: int):
     def run(table: pa.Table) -> pa.Table:
         got = [exchange.unpack(p.as_py(), _ENTRY, _HASHES)[0] for p in table.column("payload")]
         e = {k: np.concatenate([g[k] for g in got]) for k in _ENTRY}
-        order = np.lexsort((e["a"], e["n"], e["word"]))
+        order = np.lexsort((e["rest"], e["bits"], e["n"], e["word"]))
         e = {k: v[order] for k, v in e.items()}
         new = np.ones(len(order), bool)
-        new[1:] = (e["word"][1:] != e["word"][:-1]) | (e["a"][1:] != e["a"][:-1])
+        new[1:] = (e["word"][1:] != e["word"][:-1]) | (e["rest"][1:] != e["rest"][:-1]) | (e["bits"][1:] != e["bits"][:-1])
         e = {k: v[new] for k, v in e.items()}
-        starts = np.flatnonzero(np.concatenate([[True], e["word"][1:] != e["word"][:-1]]))
-        ends = np.append(starts[1:], len(e["word"]))
-        n, place = e["n"].astype(np.int64), e["place"].astype(np.int64)
+        word, bits, n, place = e["word"], e["bits"], e["n"].astype(np.int32), e["place"].astype(np.int32)
+        starts = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+        ends = np.append(starts[1:], len(word))
         left, right = [], []
 
         def compare(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-            """Where lengths and places leave room for the threshold."""
-            need = -(-percent * (n[x] + n[y]) // (100 + percent))
-            can = np.minimum(n[x] - place[x], n[y] - place[y])
-            return (can >= need) & (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y]))
+            """Where lengths, places and bits leave room for the threshold; ``x`` is not the longer one."""
+            nx, ny = n[x], n[y]
+            most = (100 - percent) * (nx + ny) // (100 + percent)  # words that one side alone may have
+            can = np.minimum(nx - place[x], ny - place[y])
+            return (nx + ny - 2 * can <= most) & (100 * nx >= percent * ny) & (np.bitwise_count(bits[x] ^ bits[y]) <= most)
 
-        # Short runs of one word all at once: every entry with the one ``step`` places on.
+        # Short runs of one word all at once: every entry with the one ``step`` places on, as long as lengths fit.
         size = ends - starts
-        near = np.flatnonzero(np.repeat(size <= SHORT, size))
+        near = np.flatnonzero(np.repeat((size <= SHORT) & (size > 1), size))
         for step in range(1, SHORT):
-            near = near[near + step < len(e["word"])]
-            near = near[e["word"][near] == e["word"][near + step]]
+            near = near[near + step < len(word)]
+            near = near[(word[near] == word[near + step]) & (100 * n[near] >= percent * n[near + step])]
             if not len(near):
                 break
             fit = compare(near, near + step)
@@ -240,7 +313,7 @@ def _pairs(percent: int):
                     left.append(x[i])
                     right.append(y[j])
         i, j = (np.concatenate(v) if v else np.empty(0, np.int64) for v in (left, right))
-        one, two = e["a"][i], e["a"][j]
+        one, two = (name(bits[k], e["rest"][k]) for k in (i, j))
         found = np.unique(np.stack([np.minimum(one, two), np.maximum(one, two)], axis=1), axis=0) if len(i) else np.empty((0, 2), np.int64)
         return pa.table({"a1": found[:, 0], "a2": found[:, 1]})
 
@@ -283,9 +356,12 @@ def _verify(percent: int):
         none = pa.table({k: pa.array([], pa.int64()) for k in ("a1", "b1", "a2", "b2")})
         if not len(at) or not is_pair.any():
             return none
-        lines = _lines([x.as_py() for x in table.column("text").take(pa.array(at))])
-        names, size = a[at], lines.size
-        _, word = np.unique(lines.word, return_inverse=True)
+        names = a[at]
+        _, word, line = _words([x.as_py() for x in table.column("text").take(pa.array(at))])
+        line, word = _distinct(word, line)
+        edge = np.flatnonzero(np.diff(line, prepend=-1))  # every line that came has words
+        size = np.diff(np.append(edge, len(word)))
+        _, word = np.unique(word, return_inverse=True)
         left, right = a[is_pair], table.column("other").fill_null(0).to_numpy()[is_pair]
         i, j = _meet(names, left, right)
         out = []
@@ -295,7 +371,7 @@ def _verify(percent: int):
             pair = np.repeat(np.arange(len(x)), n)
             step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
             first = step < size[x][pair]
-            place = np.where(first, lines.edge[x][pair] + step, lines.edge[y][pair] + step - size[x][pair])
+            place = np.where(first, edge[x][pair] + step, edge[y][pair] + step - size[x][pair])
             key = np.sort(pair * (len(word) + 1) + word[place])
             both = np.bincount(key[1:][key[1:] == key[:-1]] // (len(word) + 1), minlength=len(x))
             ok = 100 * both >= percent * (n - both)
@@ -316,7 +392,7 @@ def _meet(names: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.nd
     return lo[0][pair] + step // n[1][pair], lo[1][pair] + step % n[1][pair]
 
 
-def links(texts: DataFrame, percent: int = PERCENT) -> DataFrame:
+def links(texts: DataFrame, rank: np.ndarray, percent: int = PERCENT) -> DataFrame:
     """(a1, b1, a2, b2): every pair of classes that is similar enough, once.
 
     Candidates are compared in *rooms*.  Most candidates of a line are candidates
@@ -325,7 +401,7 @@ def links(texts: DataFrame, percent: int = PERCENT) -> DataFrame:
     different rooms, or to one of more than ROOM lines, get a room of their own.
     """
     buckets = BUCKETS_PER_PARTITION * shuffle_partitions(texts.sparkSession)
-    found = _index(texts, rarity(texts), percent, buckets).groupBy("bucket").applyInArrow(_pairs(percent), "a1 bigint, a2 bigint")
+    found = _index(texts, rank, percent, buckets).groupBy("bucket").applyInArrow(_pairs(percent), "a1 bigint, a2 bigint")
     pairs = cut(found.distinct())
     ways = pairs.select(F.col("a1").alias("a"), F.col("a2").alias("o")).union(pairs.select("a2", "a1"))
     label = ways.groupBy("a").agg(F.min("o").alias("o")).select("a", F.least("a", "o").alias("label"))
@@ -346,16 +422,18 @@ def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int
     """(doc, n_lines, n_links, removed, match_docs): per row, the numbers (from 0) of the
     lines that go, and for each the document of the earliest match."""
     texts = _texts(docs, key, text)
-    rows = cut(occurrences(texts).withColumn("row", F.monotonically_increasing_id()))
+    book = cut(occurrences(texts).withColumn("row", F.monotonically_increasing_id()))
+    rows = book.filter("segment IS NULL").select("row", "doc", "a", "b")
     each = rows.select("row", "doc", F.posexplode(F.arrays_zip("a", "b")).alias("line", "name")).select(
         "row", "doc", "line", F.col("name")["a"].alias("a"), F.col("name")["b"].alias("b")
     ).filter("a <> 0 OR b <> 0")
-    classes = cut(each.groupBy("a", "b").agg(F.min(F.struct("doc", "line")).alias("first")))
-    linked = cut(links(texts, percent))
+    classes = cut(each.groupBy("a", "b").agg(F.min(F.struct("doc", "line")).alias("first"), F.count(F.lit(1)).alias("n")))
+    linked = cut(links(texts, ranks(book.filter("segment IS NOT NULL").select("segment", "counts")), percent))
     ways = linked.union(linked.select("a2", "b2", "a1", "b1")).toDF("a", "b", "oa", "ob")
     near = classes.select(F.col("a").alias("oa"), F.col("b").alias("ob"), "first")
     by_links = ways.join(near, ["oa", "ob"]).groupBy("a", "b").agg(F.min("first").alias("other"), F.count(F.lit(1)).alias("n_links"))
-    known = classes.join(by_links, ["a", "b"], "left").select(
+    # A class of one line without links stays as it is.
+    known = classes.join(by_links, ["a", "b"], "left").filter("n > 1 OR n_links > 0").select(
         "a", "b", F.least("first", F.coalesce("other", "first")).alias("earliest"), F.coalesce("n_links", F.lit(0)).alias("n_links")
     )
     marked = each.join(known, ["a", "b"])
