@@ -16,17 +16,22 @@ the input, not on what is left.  Lines without words always stay.
    differ in no more places than the sets may differ in words.  None of these can
    lose a link.  Words of one line only, and classes whose length admits no other
    partner, are not indexed.
-3. *Verify.*  Candidates are distinct pairs of classes; the full sets of their
-   lines, which are brought together once a group of candidates, decide.
+3. *Verify.*  Entries with a candidate are marked, one row an entry.  The lines of
+   marked classes go to the buckets of the words that they are marked at - of words
+   with the same candidates to one only - where full sets decide: pair by pair, or
+   by a product of incidence matrices where many sets of a block are alike.  A link
+   counts at one of the words that both sets were sent to.  Only counts and the
+   earliest partner of a class leave a task, so nothing that travels grows with the
+   pairs of a group.
 4. *Remove.*  A class's earliest place is that of itself and its links.
 
 Entries travel packed, by buckets of words; a word on very many classes is
-compared in slices of ``SLICE`` entries, and only candidates that pass all
-filters come out.  Copies of a line are one class and never pair.
+compared in slices of ``SLICE`` and blocks of ``BLOCK`` entries.  Copies of a line
+are one class and never pair.
 
 Words are told apart by 42 bits of hash until sets are compared (there by 64);
-classes are named by 128 bits; candidates carry 64 of them, and what two classes
-share there is told apart again when sets are compared.
+classes are named by 128 bits; marks carry 64 of them, and what two classes share
+there is told apart again when sets are compared.
 
 Defined results: null and empty texts have one line without words; rows with a
 null id come before all others; repeated rows of one id are told apart by their
@@ -58,11 +63,15 @@ LINE_BITS = 64 - TOKEN_BITS
 RANK_BITS = 10
 SLICE = 2048
 SHORT = 64
-ROOM = 4096
+BLOCK = 256
+FEW = 4096
+LOT = 20_000
 CHUNK_BYTES = 4 << 20
 BUCKETS_PER_PARTITION = 3
 _ENTRY = {"word": "<u4", "bits": "<u8", "rest": "<u4", "n": "<u4", "place": "<u4"}
 _HASHES = ("word", "bits", "rest")
+_SET = {"word": "<u4", "doc": "<i8", "line": "<i4"}
+_NULL = np.iinfo(np.int64).min  # stands for a null id, which comes first
 
 
 def _texts(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -141,6 +150,11 @@ def _lines(texts: list[bytes]) -> Lines:
         line, token = (key >> np.uint64(TOKEN_BITS)).astype(np.int64), key & np.uint64((1 << TOKEN_BITS) - 1)
     else:
         line, token = _distinct(token, line)
+    return _named(counts, line, token)
+
+
+def _named(counts: np.ndarray, line: np.ndarray, token: np.ndarray) -> Lines:
+    """Lines from (line, token) in order, each once."""
     edge = np.flatnonzero(np.diff(line, prepend=-1))
     bits = np.bitwise_xor.reduceat(np.uint64(1) << (token >> np.uint64(TOKEN_BITS - 6)), edge) if len(edge) else np.empty(0, np.uint64)
     # A sum of mixed tokens names a set whatever its order.
@@ -262,14 +276,58 @@ def _index(texts: DataFrame, rank: np.ndarray, percent: int, buckets: int) -> Da
                 spot = found.edge[one][at] + place
                 met = order[spot] > 0  # a word of one line meets no other
                 at, place, word, line = at[met], place[met], word[spot[met]], one[at[met]]
-                bucket = (mix(word.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+                bucket = _bucket(word, buckets)
                 columns = {"word": word, "bits": found.bits[line], "rest": found.rest[line], "n": n[line].astype(np.uint32), "place": place.astype(np.uint32)}
                 yield from exchange.pack(bucket, columns, _HASHES, np.zeros(1, np.int64))
 
     return texts.mapInArrow(run, exchange.SCHEMA)
 
 
-def _pairs(percent: int):
+def _compare(n: np.ndarray, bits: np.ndarray, percent: int, place: np.ndarray | None = None):
+    """A test of entries ``x`` against ``y``, which are not shorter: whether lengths, bits and
+    places (if known) leave room for the threshold."""
+
+    def run(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        nx, ny = n[x], n[y]
+        most = (100 - percent) * (nx + ny) // (100 + percent)  # words that one side alone may have
+        fit = (100 * nx >= percent * ny) & (np.bitwise_count(bits[x] ^ bits[y]) <= most)
+        if place is not None:
+            fit &= nx + ny - 2 * np.minimum(nx - place[x], ny - place[y]) <= most
+        return fit
+
+    return run
+
+
+def _short(size: np.ndarray, run: np.ndarray, n: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of entries within the short runs at once: every entry with the one ``step`` places on, as long as lengths fit."""
+    near = np.flatnonzero(np.repeat((size <= SHORT) & (size > 1), size))
+    for step in range(1, SHORT):
+        near = near[near + step < len(run)]
+        near = near[(run[near] == run[near + step]) & (100 * n[near] >= percent * n[near + step])]
+        if not len(near):
+            return
+        yield near, near + step
+
+
+def _blocks(lo: int, hi: int, n: np.ndarray, percent: int, block: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Blocks of a run's entries, in order of length, that may hold partners."""
+    for s in range(lo, hi, block):
+        x = np.arange(s, min(s + block, hi))
+        top = int(np.searchsorted(n[lo:hi], 100 * n[x[-1]] // percent, side="right")) + lo
+        for r in range(s, top, block):
+            yield x, np.arange(r, min(r + block, top))
+
+
+def _runs(word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """First, end and size of each run of one word; the run of each entry."""
+    starts = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]])) if len(word) else np.empty(0, np.int64)
+    size = np.diff(np.append(starts, len(word)))
+    return starts, starts + size, size, np.repeat(np.arange(len(starts)), size)
+
+
+def _marks(percent: int):
+    """The entries of a bucket that have a candidate, with a sum that names their candidates: one row an entry, however many there are."""
+
     def run(table: pa.Table) -> pa.Table:
         got = [exchange.unpack(p.as_py(), _ENTRY, _HASHES)[0] for p in table.column("payload")]
         e = {k: np.concatenate([g[k] for g in got]) for k in _ENTRY}
@@ -279,143 +337,262 @@ def _pairs(percent: int):
         new[1:] = (e["word"][1:] != e["word"][:-1]) | (e["rest"][1:] != e["rest"][:-1]) | (e["bits"][1:] != e["bits"][:-1])
         e = {k: v[new] for k, v in e.items()}
         word, bits, n, place = e["word"], e["bits"], e["n"].astype(np.int32), e["place"].astype(np.int32)
-        starts = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
-        ends = np.append(starts[1:], len(word))
-        left, right = [], []
-
-        def compare(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-            """Where lengths, places and bits leave room for the threshold; ``x`` is not the longer one."""
-            nx, ny = n[x], n[y]
-            most = (100 - percent) * (nx + ny) // (100 + percent)  # words that one side alone may have
-            can = np.minimum(nx - place[x], ny - place[y])
-            return (nx + ny - 2 * can <= most) & (100 * nx >= percent * ny) & (np.bitwise_count(bits[x] ^ bits[y]) <= most)
-
-        # Short runs of one word all at once: every entry with the one ``step`` places on, as long as lengths fit.
-        size = ends - starts
-        near = np.flatnonzero(np.repeat((size <= SHORT) & (size > 1), size))
-        for step in range(1, SHORT):
-            near = near[near + step < len(word)]
-            near = near[(word[near] == word[near + step]) & (100 * n[near] >= percent * n[near + step])]
-            if not len(near):
-                break
-            fit = compare(near, near + step)
-            left.append(near[fit])
-            right.append(near[fit] + step)
+        starts, ends, size, of = _runs(word)
+        compare, own = _compare(n, bits, percent, place), name(bits, e["rest"])
+        mixed, met, partners = mix(own.view(np.uint64)), np.zeros(len(word), bool), np.zeros(len(word), np.uint64)
+
+        def mark(x: np.ndarray, y: np.ndarray) -> None:
+            met[x] = met[y] = True
+            np.add.at(partners, x, mixed[y])
+            np.add.at(partners, y, mixed[x])
+
+        for x, y in _short(size, of, n, percent):
+            fit = compare(x, y)
+            mark(x[fit], y[fit])
         for lo, hi in zip(starts[size > SHORT], ends[size > SHORT], strict=True):
-            # Entries are in order of length: partners of one stand in a short stretch after it.
-            for s in range(lo, hi, SLICE):
-                x = np.arange(s, min(s + SLICE, hi))
-                top = int(np.searchsorted(n[lo:hi], 100 * n[x[-1]] // percent, side="right")) + lo
-                for r in range(s, top, SLICE):
-                    y = np.arange(r, min(r + SLICE, top))
-                    fit = compare(x[:, None], y[None, :]) & (x[:, None] < y[None, :])
-                    i, j = np.nonzero(fit)
-                    left.append(x[i])
-                    right.append(y[j])
-        i, j = (np.concatenate(v) if v else np.empty(0, np.int64) for v in (left, right))
-        one, two = (name(bits[k], e["rest"][k]) for k in (i, j))
-        found = np.unique(np.stack([np.minimum(one, two), np.maximum(one, two)], axis=1), axis=0) if len(i) else np.empty((0, 2), np.int64)
-        return pa.table({"a1": found[:, 0], "a2": found[:, 1]})
+            for x, y in _blocks(lo, hi, n, percent, SLICE):
+                i, j = np.nonzero(compare(x[:, None], y[None, :]) & (x[:, None] < y[None, :]))
+                mark(x[i], y[j])
+        return pa.table({"a": own[met], "word": word[met].astype(np.int64), "partners": partners[met].view(np.int64)})
 
     return run
 
 
 def _wanted_lines(texts: DataFrame, used: DataFrame) -> DataFrame:
-    """(a, b, text) of lines whose class may be among ``used``, one of each class a chunk.
+    """(a, b, doc, line, text) of lines whose class may be among ``used``, the first of each class a chunk.
 
-    A Bloom filter of bounded size decides; what it lets through in error finds no partner later.
+    A Bloom filter of bounded size decides; what it lets through in error finds no partner in the join that follows.
     """
     blocks = url_filter.n_blocks(used.count())
     shared = texts.sparkSession.sparkContext.broadcast(url_filter.build(used, "a", blocks))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, chunk in _chunks(batch.column(1)):
+            for first, chunk in _chunks(batch.column(1)):
                 found = _lines(chunk)
-                _, one = np.unique(found.a, return_index=True)
-                one = one[url_filter.may_contain(found.a[one], shared.value)]
+                docs = batch.column(0)[first : first + len(chunk)].fill_null(_NULL).to_numpy()
+                doc = np.repeat(docs, found.counts)[found.line]
+                line = found.line - np.repeat(np.cumsum(found.counts) - found.counts, found.counts)[found.line]
+                a, b, text = found.a, found.b, found.line
+                one = np.flatnonzero(url_filter.may_contain(a, shared.value)) if len(a) else np.empty(0, np.int64)
+                one = one[_firsts(a[one], b[one], doc[one], line[one])]
                 lines = b"\n".join(chunk).split(b"\n")
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(found.a[one]), pa.array(found.b[one]), pa.array([lines[k] for k in found.line[one]], pa.binary())],
-                    names=["a", "b", "text"],
+                    [pa.array(a[one]), pa.array(b[one]), pa.array(doc[one]), pa.array(line[one].astype(np.int32)), pa.array([lines[k] for k in text[one].tolist()], pa.binary())],
+                    names=["a", "b", "doc", "line", "text"],
                 )
 
-    return texts.mapInArrow(run, "a bigint, b bigint, text binary")
+    return texts.mapInArrow(run, "a bigint, b bigint, doc bigint, line int, text binary")
 
 
-def _verify(percent: int):
-    """Compares the pairs of a room, whose lines have been brought there."""
+def _firsts(a: np.ndarray, b: np.ndarray, doc: np.ndarray, line: np.ndarray) -> np.ndarray:
+    """The earliest place of each class."""
+    order = np.lexsort((line, doc, b, a))
+    new = np.ones(len(order), bool)
+    new[1:] = (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])
+    return order[new]
+
+
+def _sent(wanted: DataFrame, buckets: int) -> DataFrame:
+    """Lines with their places, packed, to the bucket of each word that they are marked at; from (words, a, b, doc, line, text).
+
+    Before each text stand the smaller ones of its words, eight digits each.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            one = np.sort(_firsts(*(batch.column(k).to_numpy() for k in (1, 2, 3, 4))))
+            batch = batch.take(pa.array(one))
+            texts, lists = batch.column(5).to_pylist(), batch.column(0).to_pylist()
+            docs, rows = batch.column(3).to_numpy(), batch.column(4).to_numpy()
+            word, at, sent, size = [], [], [], 0
+            for k, (text, words) in enumerate(zip(texts, lists, strict=True)):
+                before = b""
+                for w in sorted(words):
+                    word.append(w)
+                    at.append(k)
+                    sent.append(before + b" " + text)
+                    before += b"%08x" % w
+                    size += len(sent[-1])
+                if size >= CHUNK_BYTES or k + 1 == len(texts):
+                    columns = {"word": np.array(word, np.uint32), "doc": docs[at], "line": rows[at]}
+                    yield from exchange.pack(_bucket(columns["word"], buckets), columns, ("word",), np.zeros(1, np.int64), sent)
+                    word, at, sent, size = [], [], [], 0
+
+    return wanted.select("words", "a", "b", "doc", "line", "text").mapInArrow(run, exchange.SCHEMA)
+
+
+def _bucket(word: np.ndarray, buckets: int) -> np.ndarray:
+    return (mix(word.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+
+
+@dataclass
+class Sets:
+    """Sets of numbers, one after another."""
+
+    value: np.ndarray
+    edge: np.ndarray
+    size: np.ndarray
+
+    def rows(self, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, number) of the sets ``t``."""
+        n = self.size[t]
+        row = np.repeat(np.arange(len(t)), n)
+        return row, self.value[np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + self.edge[t][row]]
+
+    def common(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """How many numbers the sets of each pair share."""
+        (r, x), (s, y) = self.rows(i), self.rows(j)
+        top = int(self.value.max(initial=0)) + 1
+        key = np.sort(np.concatenate([r * top + x, s * top + y]))
+        return np.bincount(key[1:][key[1:] == key[:-1]] // top, minlength=len(i))
+
+    def table(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """How many numbers each set of ``x`` shares with each of ``y``: a product of incidence matrices."""
+        p, q = self.rows(x), self.rows(y)
+        shared = np.intersect1d(p[1], q[1])
+        if not len(shared):
+            return np.zeros((len(x), len(y)), np.float32)
+        tables = []
+        for (row, value), n in ((p, len(x)), (q, len(y))):
+            at = np.minimum(np.searchsorted(shared, value), len(shared) - 1)
+            ok = shared[at] == value
+            table = np.zeros((n, len(shared)), np.float32)
+            table[row[ok], at[ok]] = 1
+            tables.append(table)
+        return tables[0] @ tables[1].T
+
+
+def _counts(percent: int):
+    """The links of a bucket's entries: for each entry how many, and the place of the earliest partner.
+
+    Two sets may meet at several words; a link counts at the smallest of the
+    words that both were sent to, and nowhere else.
+    """
 
     def run(table: pa.Table) -> pa.Table:
-        is_pair = table.column("other").is_valid().to_numpy()
-        a, b = table.column("a").to_numpy(), table.column("b").to_numpy()
-        # Classes that share 64 bits of their names are told apart by the other 64.
-        at = np.flatnonzero(~is_pair)
-        at = at[np.lexsort((b[at], a[at]))]
-        at = at[np.concatenate([[True], (a[at][1:] != a[at][:-1]) | (b[at][1:] != b[at][:-1])])] if len(at) else at
-        none = pa.table({k: pa.array([], pa.int64()) for k in ("a1", "b1", "a2", "b2")})
-        if not len(at) or not is_pair.any():
-            return none
-        names = a[at]
-        _, word, line = _words([x.as_py() for x in table.column("text").take(pa.array(at))])
+        got = [exchange.unpack(p.as_py(), _SET, ("word",), True) for p in table.column("payload")]
+        e = {k: np.concatenate([g[0][k] for g in got]) for k in _SET}
+        number: dict[bytes, int] = {}
+        text, before = [], []
+        for g in got:
+            for t in g[2]:
+                head, _, t = t.partition(b" ")
+                before.append(head)
+                text.append(number.setdefault(t, len(number)))
+        text = np.array(text)
+        _, word, line = _words(list(number))
         line, word = _distinct(word, line)
+        token = word >> np.uint64(LINE_BITS)
+        new = np.ones(len(word), bool)
+        new[1:] = (token[1:] != token[:-1]) | (line[1:] != line[:-1])
+        names = _named(np.ones(len(number), np.int64), line[new], token[new])
+        a, b = names.a, names.b
         edge = np.flatnonzero(np.diff(line, prepend=-1))  # every line that came has words
-        size = np.diff(np.append(edge, len(word)))
-        _, word = np.unique(word, return_inverse=True)
-        left, right = a[is_pair], table.column("other").fill_null(0).to_numpy()[is_pair]
-        i, j = _meet(names, left, right)
-        out = []
-        for lo in range(0, len(i), 20_000):
-            x, y = i[lo : lo + 20_000], j[lo : lo + 20_000]
-            n = size[x] + size[y]
-            pair = np.repeat(np.arange(len(x)), n)
-            step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-            first = step < size[x][pair]
-            place = np.where(first, edge[x][pair] + step, edge[y][pair] + step - size[x][pair])
-            key = np.sort(pair * (len(word) + 1) + word[place])
-            both = np.bincount(key[1:][key[1:] == key[:-1]] // (len(word) + 1), minlength=len(x))
-            ok = 100 * both >= percent * (n - both)
-            out.append(np.stack([names[x[ok]], b[at][x[ok]], names[y[ok]], b[at][y[ok]]], axis=1))
-        found = np.concatenate(out) if out else np.empty((0, 4), np.int64)
-        return pa.table({k: found[:, c] for c, k in enumerate(("a1", "b1", "a2", "b2"))})
+        sets = Sets(np.unique(word, return_inverse=True)[1], edge, np.diff(np.append(edge, len(word))))
+        # One entry a word and class, the earliest, in order of length.
+        order = np.lexsort((e["line"], e["doc"], b[text], a[text], sets.size[text], e["word"]))
+        w, t = e["word"][order], text[order]
+        new = np.ones(len(order), bool)
+        new[1:] = (w[1:] != w[:-1]) | (a[t][1:] != a[t][:-1]) | (b[t][1:] != b[t][:-1])
+        order = order[new]
+        w, t, doc, row = e["word"][order], text[order], e["doc"][order], e["line"][order]
+        heads = [before[k] for k in order.tolist()]
+        size = np.fromiter(map(len, heads), np.int64, len(heads)) // 8
+        joined = np.frombuffer(bytes.fromhex(b"".join(heads).decode()), ">u4").astype(np.int64)
+        smaller = Sets(np.unique(joined, return_inverse=True)[1], np.cumsum(size) - size, size)
+        n, bits = sets.size[t], names.bits[t]
+        starts, ends, many, of = _runs(w)
+        early = np.empty(len(w), np.int64)
+        by_place = np.lexsort((row, doc))
+        early[by_place] = np.arange(len(w))
+        links, best = np.zeros(len(w), np.int64), np.full(len(w), len(w), np.int64)
+        compare, waiting, held = _compare(n, bits, percent), [], 0
+
+        def check() -> None:
+            """Counts the links among the pairs that wait."""
+            nonlocal held
+            x, y = (np.concatenate([p[k] for p in waiting]) if waiting else np.empty(0, np.int64) for k in (0, 1))
+            waiting.clear()
+            held = 0
+            for lo in range(0, len(x), LOT):
+                i, j = x[lo : lo + LOT], y[lo : lo + LOT]
+                both = sets.common(t[i], t[j])
+                ok = 100 * both >= percent * (n[i] + n[j] - both)
+                i, j = i[ok], j[ok]
+                met = np.zeros(len(i), bool)
+                some = np.flatnonzero((size[i] > 0) & (size[j] > 0))
+                met[some] = smaller.common(i[some], j[some]) > 0
+                i, j = i[~met], j[~met]
+                np.add.at(links, i, 1)
+                np.add.at(links, j, 1)
+                np.minimum.at(best, i, early[j])
+                np.minimum.at(best, j, early[i])
+
+        def wait(x: np.ndarray, y: np.ndarray) -> None:
+            nonlocal held
+            waiting.append((x, y))
+            held += len(x)
+            if held >= 10 * LOT:
+                check()
+
+        for x, y in _short(many, of, n, percent):
+            fit = compare(x, y)
+            wait(x[fit], y[fit])
+        for lo, hi in zip(starts[many > SHORT], ends[many > SHORT], strict=True):
+            for x, y in _blocks(lo, hi, n, percent, BLOCK):
+                fit = compare(x[:, None], y[None, :]) & (x[:, None] < y[None, :])
+                i, j = np.nonzero(fit)
+                if len(i) <= FEW:
+                    wait(x[i], y[j])
+                    continue
+                both = sets.table(t[x], t[y])
+                fit &= 100 * both >= percent * (n[x][:, None] + n[y][None, :] - both)
+                if size[x].any() and size[y].any():
+                    fit &= smaller.table(x, y) == 0
+                links[x] += fit.sum(axis=1)
+                links[y] += fit.sum(axis=0)
+                best[x] = np.minimum(best[x], np.where(fit, early[y][None, :], len(w)).min(axis=1))
+                best[y] = np.minimum(best[y], np.where(fit, early[x][:, None], len(w)).min(axis=0))
+        check()
+        some = np.flatnonzero(links)
+        other = by_place[best[some]]
+        return pa.table(
+            {
+                "a": a[t[some]], "b": b[t[some]], "doc": doc[some], "line": row[some].astype(np.int32), "n_links": links[some],
+                "other_doc": doc[other], "other_line": row[other].astype(np.int32),
+            }
+        )
 
     return run
 
 
-def _meet(names: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Indexes into the sorted ``names`` of both sides of each pair, all combinations of equal names."""
-    lo = [np.searchsorted(names, x, side="left") for x in (left, right)]
-    n = [np.searchsorted(names, x, side="right") - k for x, k in zip((left, right), lo, strict=True)]
-    times = n[0] * n[1]
-    pair = np.repeat(np.arange(len(left)), times)
-    step = np.arange(len(pair)) - np.repeat(np.cumsum(times) - times, times)
-    return lo[0][pair] + step // n[1][pair], lo[1][pair] + step % n[1][pair]
+def _place(doc: str, line: str):
+    """A place with its null id."""
+    return F.struct(F.when(F.col(doc) != _NULL, F.col(doc)).alias("doc"), F.col(line).alias("line"))
 
 
 def links(texts: DataFrame, rank: np.ndarray, percent: int = PERCENT) -> DataFrame:
-    """(a1, b1, a2, b2): every pair of classes that is similar enough, once.
-
-    Candidates are compared in *rooms*.  Most candidates of a line are candidates
-    of each other, so a room is named by the smallest of a line and its
-    candidates, and each line travels there once; pairs whose lines belong to
-    different rooms, or to one of more than ROOM lines, get a room of their own.
+    """(a, b, first, n_links, other) of every class that has links: its own earliest place, and that of its earliest partner.
+
+    Entries that have a candidate are marked.  Of the words at which a class has
+    the same candidates the smallest one is enough: whatever the others are that a
+    candidate is marked at, the smallest word at which two classes are candidates
+    stays with both.  The lines of marked classes go to the buckets of these words
+    and are compared there.  What travels is in proportion to the entries; pairs
+    never leave the task that compares them.
     """
     buckets = BUCKETS_PER_PARTITION * shuffle_partitions(texts.sparkSession)
-    found = _index(texts, rank, percent, buckets).groupBy("bucket").applyInArrow(_pairs(percent), "a1 bigint, a2 bigint")
-    pairs = cut(found.distinct())
-    ways = pairs.select(F.col("a1").alias("a"), F.col("a2").alias("o")).union(pairs.select("a2", "a1"))
-    label = ways.groupBy("a").agg(F.min("o").alias("o")).select("a", F.least("a", "o").alias("label"))
-    sizes = label.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
-    label = cut(label.join(sizes, "label"))
-    one = label.select(F.col("a").alias("a1"), F.col("label").alias("l1"), "n")
-    two = label.select(F.col("a").alias("a2"), F.col("label").alias("l2"))
-    room = F.when((F.col("l1") == F.col("l2")) & (F.col("n") <= ROOM), F.col("l1")).otherwise(F.xxhash64("a1", "a2"))
-    placed = cut(pairs.join(one, "a1").join(two, "a2").select("a1", "a2", F.pmod(F.xxhash64(room), F.lit(buckets)).cast("int").alias("bucket")))
-    visits = placed.select(F.explode(F.array("a1", "a2")).alias("a"), "bucket").distinct()
-    lines = _wanted_lines(texts, label.select("a")).join(visits, "a").select("bucket", "a", "b", "text", F.lit(None).cast("bigint").alias("other"))
-    asked = placed.select("bucket", F.col("a1").alias("a"), F.lit(0).cast("bigint").alias("b"), F.lit(None).cast("binary").alias("text"), F.col("a2").alias("other"))
-    schema = "a1 bigint, b1 bigint, a2 bigint, b2 bigint"
-    return lines.unionByName(asked).groupBy("bucket").applyInArrow(_verify(percent), schema).distinct()
+    marks = _index(texts, rank, percent, buckets).groupBy("bucket").applyInArrow(_marks(percent), "a bigint, word bigint, partners bigint")
+    gathered = marks.groupBy("a").agg(F.sort_array(F.collect_list(F.struct("partners", "word"))).alias("m"))
+    least = F.filter("m", lambda x, i: (i == 0) | (x["partners"] != F.get("m", i - 1)["partners"]))
+    marked = cut(gathered.select("a", F.array_distinct(F.transform(least, lambda x: x["word"])).alias("words")))
+    sent = _sent(_wanted_lines(texts, marked.select("a")).join(marked, "a"), buckets)
+    schema = "a bigint, b bigint, doc bigint, line int, n_links bigint, other_doc bigint, other_line int"
+    found = sent.groupBy("bucket").applyInArrow(_counts(percent), schema)
+    return found.groupBy("a", "b").agg(
+        F.min(_place("doc", "line")).alias("first"), F.sum("n_links").alias("n_links"), F.min(_place("other_doc", "other_line")).alias("other")
+    )
 
 
 def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -427,15 +604,12 @@ def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int
     each = rows.select("row", "doc", F.posexplode(F.arrays_zip("a", "b")).alias("line", "name")).select(
         "row", "doc", "line", F.col("name")["a"].alias("a"), F.col("name")["b"].alias("b")
     ).filter("a <> 0 OR b <> 0")
-    classes = cut(each.groupBy("a", "b").agg(F.min(F.struct("doc", "line")).alias("first"), F.count(F.lit(1)).alias("n")))
-    linked = cut(links(texts, ranks(book.filter("segment IS NOT NULL").select("segment", "counts")), percent))
-    ways = linked.union(linked.select("a2", "b2", "a1", "b1")).toDF("a", "b", "oa", "ob")
-    near = classes.select(F.col("a").alias("oa"), F.col("b").alias("ob"), "first")
-    by_links = ways.join(near, ["oa", "ob"]).groupBy("a", "b").agg(F.min("first").alias("other"), F.count(F.lit(1)).alias("n_links"))
+    rank = ranks(book.filter("segment IS NOT NULL").select("segment", "counts"))
+    copied = each.groupBy("a", "b").agg(F.min(F.struct("doc", "line")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    linked = links(texts, rank, percent).select("a", "b", F.least("first", "other").alias("first"), "n_links")
     # A class of one line without links stays as it is.
-    known = classes.join(by_links, ["a", "b"], "left").filter("n > 1 OR n_links > 0").select(
-        "a", "b", F.least("first", F.coalesce("other", "first")).alias("earliest"), F.coalesce("n_links", F.lit(0)).alias("n_links")
-    )
+    known = cut(copied.select("a", "b", "first", F.lit(0).cast("bigint").alias("n_links")).unionByName(linked))
+    known = known.groupBy("a", "b").agg(F.min("first").alias("earliest"), F.sum("n_links").alias("n_links"))
     marked = each.join(known, ["a", "b"])
     place = F.struct("doc", "line")
     per = marked.groupBy("row").agg(
