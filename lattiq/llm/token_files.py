@@ -29,14 +29,14 @@ from __future__ import annotations
 
 import json
 import re
-import sys
+import struct
 import uuid
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -68,7 +68,9 @@ BY_WORD = [
 #: The same split for visible ASCII and Latin-1 letters in lower case.
 PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^a-z0-9\xdf-\xf6\xf8-\xff]+")
 PLAIN = re.compile("[!-~\xc0-\xd6\xd8-\xf6\xf8-\xff]+").fullmatch
-VISIBLE = bytes(range(33, 127))
+SPACE = re.compile(rb"[\x20\x09-\x0D]")
+SLICE_BYTES = 4 << 20
+LOT = 2048
 
 
 def _byte_letters() -> dict[int, int]:
@@ -79,14 +81,14 @@ def _byte_letters() -> dict[int, int]:
 
 
 LETTERS = _byte_letters()
+_PACKS = [struct.Struct(f"<{k}I").pack for k in range(64)]
 
 
 def _pack(ids: list[int]) -> bytes:
     """Little-endian 32-bit integers."""
-    packed = array("I", ids)
-    if sys.byteorder == "big":
-        packed.byteswap()
-    return packed.tobytes()
+    if len(ids) < len(_PACKS):
+        return _PACKS[len(ids)](*ids)
+    return np.array(ids, "<u4").tobytes()
 
 
 class Encoder(dict):
@@ -113,9 +115,11 @@ class Encoder(dict):
         return _pack(found)
 
     def piece(self, piece: str) -> bytes:
+        """The ids of a piece of visible ASCII and Latin-1 letters."""
         packed = self.pieces.get(piece)
         if packed is None:
-            packed = _pack([t.id for t in self.model.tokenize(piece)])
+            letters = piece if piece.isascii() else piece.encode().decode("latin-1").translate(LETTERS)
+            packed = _pack([t.id for t in self.model.tokenize(letters)])
             if len(piece) <= 64:
                 if len(self.pieces) >= MEMO_WORDS:
                     self.pieces.clear()
@@ -123,25 +127,69 @@ class Encoder(dict):
         return packed
 
     def __missing__(self, word: bytes) -> bytes:
-        if not word.translate(None, VISIBLE):  # visible ASCII is normal but for case, and stands for itself
-            low = word.decode().lower()
-            packed = self.piece(low) if low.isalpha() else b"".join(map(self.piece, PIECE.findall(low)))
+        if word.isalpha():  # visible ASCII is normal but for case, and stands for itself
+            packed = self.piece(word.lower().decode())
         elif PLAIN(text := word.decode("utf-8", "replace")):  # Latin-1 letters have no other composition
-            found = PIECE.findall(text.lower())
-            packed = b"".join([self.piece(p.encode().decode("latin-1").translate(LETTERS)) for p in found])
+            packed = b"".join(map(self.piece, PIECE.findall(text.lower())))
         else:
             normal = self.tokenizer.normalizer.normalize_str(text)
-            packed = b"".join(self.piece(p) for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(normal))
+            pieces = self.tokenizer.pre_tokenizer.pre_tokenize_str(normal)
+            packed = b"".join([_pack([t.id for t in self.model.tokenize(p)]) for p, _ in pieces])
         if len(word) <= 64:
             if len(self) >= MEMO_WORDS:
                 self.clear()
             self[word] = packed
         return packed
 
-    def text(self, text: bytes) -> bytes:
-        if not self.by_word or any(m in text for m in self.marks):
-            return self.whole(text)
-        return b"".join(map(self.__getitem__, text.split()))
+    def texts(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the texts, one after another, and how many each has.
+
+        All words are split and numbered at once; only the distinct ones are looked up.
+        """
+        whole = [not self.by_word or any(m in t for m in self.marks) for t in texts]
+        parts = [b"" if w else t for t, w in zip(texts, whole, strict=True)]
+        found = pc.ascii_split_whitespace(pa.Array.from_buffers(pa.string(), len(parts), pa.array(parts, pa.binary()).buffers()))
+        words = found.values.dictionary_encode()
+        distinct = words.dictionary
+        distinct = pa.Array.from_buffers(pa.binary(), len(distinct), distinct.buffers(), offset=distinct.offset).to_pylist()
+        packed = [self[w] if w else b"" for w in distinct]
+        ends = found.offsets.to_numpy()[1:].astype(np.int64)
+        index = words.indices.to_numpy().astype(np.int64)
+        if any(whole):  # such a text is one more word
+            at = np.flatnonzero(whole)
+            index = np.insert(index, ends[at], len(packed) + np.arange(len(at)))
+            packed += [self.whole(texts[k]) for k in at.tolist()]
+            ends += np.cumsum(whole)
+        size = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
+        at = np.cumsum(size) - size
+        n = size[index]
+        upto = np.cumsum(n)
+        flat = np.frombuffer(b"".join(packed), "<u4")
+        ids = flat[np.repeat(at[index] - (upto - n), n) + np.arange(upto[-1] if len(upto) else 0)]
+        return ids, np.diff(np.concatenate([[0], upto])[ends], prepend=0)
+
+
+def _parts(texts: list[bytes], marks: list[bytes]) -> Iterator[tuple[list[bytes], list[bool]]]:
+    """Texts of about SLICE_BYTES together; a longer one in parts, cut at white space.  Flags tell where a text ends."""
+    lot: list[bytes] = []
+    ends: list[bool] = []
+    size = 0
+    for t in texts:
+        at = 0
+        while True:
+            cut = SPACE.search(t, at + SLICE_BYTES) if len(t) - at > SLICE_BYTES and not any(m in t for m in marks) else None
+            part = t[at : cut.start() if cut else len(t)] if at or cut else t
+            if lot and size + len(part) > SLICE_BYTES:
+                yield lot, ends
+                lot, ends, size = [], [], 0
+            lot.append(part)
+            ends.append(cut is None)
+            size += len(part)
+            if cut is None:
+                break
+            at = cut.start()
+    if lot:
+        yield lot, ends
 
 
 def _encoder(path: str) -> Encoder:
@@ -151,6 +199,25 @@ def _encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
+def encode_texts(encoder: Encoder, texts: list[bytes], end_id: int = END_ID) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all texts one after another, each with the end id after it, and how many each has."""
+    found, counts, waiting = [], [], 0
+    for parts, ends in _parts(texts, encoder.marks):
+        ids, n = encoder.texts(parts)
+        # The end id goes after the last part of each text.
+        upto = np.cumsum(n)
+        done = np.array(ends, bool)
+        found.append(np.insert(ids, upto[done], np.uint32(end_id)))
+        made = np.diff(upto[done], prepend=0)
+        if len(made):
+            made[0] += waiting
+            waiting = int(upto[-1] - upto[done][-1])
+            counts.append(made + 1)
+        else:
+            waiting += int(upto[-1])
+    return np.concatenate(found), np.concatenate(counts)
+
+
 def encode(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", end_id: int = END_ID) -> DataFrame:
     """The rows of the files, range-partitioned and in order of ``key``."""
     schema = pa.schema(
@@ -159,21 +226,18 @@ def encode(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part, start = _encoder(tokenizer), TaskContext.get().partitionId(), 0
-        end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            keys, texts = batch.column(0), batch.column(1)
-            for lo in range(0, len(batch), 256):
-                packed = [encoder.text(x.as_py() or b"") + end for x in texts[lo : lo + 256]]
-                lengths = np.fromiter((len(p) // 4 for p in packed), np.int64, len(packed))
-                offsets = np.concatenate([[0], np.cumsum(lengths)])
-                ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(packed), "<i4"), pa.int32()))
+            for lo in range(0, len(batch), LOT):
+                keys, texts = batch.column(0)[lo : lo + LOT], [x.as_py() or b"" for x in batch.column(1)[lo : lo + LOT]]
+                ids, counts = encode_texts(encoder, texts, end_id)
+                offsets = np.concatenate([[0], np.cumsum(counts)])
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(np.full(len(packed), part, np.int32)),
+                        pa.array(np.full(len(texts), part, np.int32)),
                         pa.array(start + offsets[:-1]),
-                        keys[lo : lo + 256],
-                        pa.array(lengths.astype(np.int32)),
-                        ids,
+                        keys,
+                        pa.array(counts.astype(np.int32)),
+                        pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids.view(np.int32))),
                     ],
                     schema=schema,
                 )
@@ -198,6 +262,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, key: str = "doc_id", text:
         .option("parquet.enable.dictionary#local_start", "false")
         .option("parquet.enable.dictionary#doc_id", "false")
         .option("compression", "zstd")
+        .option("parquet.compression.codec.zstd.level", "1")
         .parquet(path)
     )
     return path

@@ -178,6 +178,18 @@ def test_lines(spark, rows):
     assert sorted((r["doc"] is not None, r["doc"] or 0, *map(str, (r["n_lines"], r["n_links"], r["removed"]))) for r in got) == brute_lines(rows)
 
 
+def test_lines_of_a_large_group(spark):
+    """Runs of one word that are compared in blocks, few and many alike."""
+    draw = random.Random(11)
+    base, rows = [f"b{k}" for k in range(30)], []
+    for i in range(700):
+        w = [x if draw.random() > 0.08 else f"n{draw.randrange(40)}" for x in base] if i % 2 else ["same", *draw.sample(base, 12), *draw.sample(["u", "v"], 1)]
+        rows.append((i, " ".join(w), "en", "s", 0))
+    got = line_dedup.judge(frame(spark, rows)).collect()
+    assert sorted((True, r["doc"], *map(str, (r["n_lines"], r["n_links"], r["removed"]))) for r in got) == brute_lines(rows)
+    assert max(r["n_links"] for r in got) > 100
+
+
 def test_lines_of_empty_table(spark, empty):
     assert line_dedup.judge(empty).count() == 0
 
@@ -234,7 +246,19 @@ def test_token_files(spark, awkward, empty, tmp_path):
 def test_marked_texts_are_encoded_whole():
     encoder = token_files.Encoder(TOKENIZER)
     for text in ("a <|endoftext|> b", "it's 12 O'Clock!", "ΑΣ ΑΣΑ İ ﬁ", "é ́x", "a b c", "\x1c\x1d x\x85y"):
-        assert encoder.text(text.encode()) == encoder.whole(text.encode())
+        ids, n = token_files.encode_texts(encoder, [text.encode(), b"", text.encode()])
+        one = np.append(np.frombuffer(encoder.whole(text.encode()), "<u4"), 2)
+        assert ids.tolist() == [*one, 2, *one] and n.tolist() == [len(one), 1, len(one)]
+
+
+def test_long_texts_are_encoded_in_parts(monkeypatch):
+    encoder, draw = token_files.Encoder(TOKENIZER), random.Random(8)
+    texts = [" ".join(draw.choice(["word", "Ärger", "x,y", "don't", "12", "\t", "日本語", "<|endoftext|>" if k == 5 else "z"]) for _ in range(n)).encode() for k, n in enumerate((0, 1, 3, 400, 50, 300, 2, 999))]
+    expected = [np.append(np.frombuffer(encoder.whole(t), "<u4"), 2).tolist() for t in texts]
+    for size in (1, 7, 100, 1000, 10**6):
+        monkeypatch.setattr(token_files, "SLICE_BYTES", size)
+        ids, n = token_files.encode_texts(encoder, texts)
+        assert n.tolist() == [len(e) for e in expected] and ids.tolist() == sum(expected, [])
 
 
 # 6. URLs.
