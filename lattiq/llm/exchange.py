@@ -37,7 +37,7 @@ def pack(
     for lo, hi in zip(starts, ends, strict=True):
         parts = [common] + [v[lo:hi].tobytes() if k in hashes else press.compress(_bytes(v[lo:hi])) for k, v in cols.items()]
         if lines is not None:
-            parts.append(press.compress(b"\n".join([lines[k] for k in order[lo:hi].tolist()])))
+            parts.append(zstandard.ZstdCompressor(level=3).compress(b"\n".join([lines[k] for k in order[lo:hi].tolist()])))
         out.append(struct.pack(f"<{len(parts) + 1}I", hi - lo, *map(len, parts)) + b"".join(parts))
     yield pa.RecordBatch.from_arrays([pa.array(b[starts].astype(np.int32)), pa.array(out, pa.binary())], schema=ARROW)
 

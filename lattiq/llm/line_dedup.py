@@ -16,13 +16,13 @@ the input, not on what is left.  Lines without words always stay.
    differ in no more places than the sets may differ in words.  None of these can
    lose a link.  Words of one line only, and classes whose length admits no other
    partner, are not indexed.
-3. *Verify.*  Entries with a candidate are marked, one row an entry.  The lines of
-   marked classes go to the buckets of the words that they are marked at - of words
-   with the same candidates to one only - where full sets decide: pair by pair, or
-   by a product of incidence matrices where many sets of a block are alike.  A link
-   counts at one of the words that both sets were sent to.  Only counts and the
-   earliest partner of a class leave a task, so nothing that travels grows with the
-   pairs of a group.
+3. *Verify.*  Entries with a candidate are marked, one row an entry.  Candidates of
+   one word that are connected share a room, and the lines of marked classes go to
+   the buckets of their rooms, where full sets decide: pair by pair, or by a product
+   of incidence matrices where many sets of a block are alike.  A link counts in
+   one of the rooms that both sets were sent to.  Only counts and the earliest
+   partner of a class leave a task, so nothing that travels grows with the pairs
+   of a group.
 4. *Remove.*  A class's earliest place is that of itself and its links.
 
 Entries travel packed, by buckets of words; a word on very many classes is
@@ -53,7 +53,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lattiq.llm import exchange, hashing, url_filter
-from lattiq.llm.common import cut, mix, shuffle_partitions
+from lattiq.llm.common import MASK64, cut, mix, shuffle_partitions
 
 PERCENT = 80
 BINS = 1 << 22
@@ -67,10 +67,12 @@ BLOCK = 256
 FEW = 4096
 LOT = 20_000
 CHUNK_BYTES = 4 << 20
+SENT_BYTES = 32 << 20
+ENTRIES = 1 << 20
 BUCKETS_PER_PARTITION = 3
 _ENTRY = {"word": "<u4", "bits": "<u8", "rest": "<u4", "n": "<u4", "place": "<u4"}
 _HASHES = ("word", "bits", "rest")
-_SET = {"word": "<u4", "doc": "<i8", "line": "<i4"}
+_SET = {"room": "<i8", "doc": "<i8", "line": "<i4"}
 _NULL = np.iinfo(np.int64).min  # stands for a null id, which comes first
 
 
@@ -260,25 +262,39 @@ def least_size(n: np.ndarray | int, percent: int) -> np.ndarray | int:
 def _index(texts: DataFrame, rank: np.ndarray, percent: int, buckets: int) -> DataFrame:
     shared = texts.sparkSession.sparkContext.broadcast(rank)
 
+    def entries(chunk: list[bytes]) -> dict[str, np.ndarray]:
+        found = _lines(chunk)
+        n = found.size
+        # One line of each class; none where no other length fits and equal sets are the only partners.
+        _, one = np.unique(found.a, return_index=True)
+        alone = (least_size(n, percent) == n) & (least_size(n + 1, percent) > n)
+        one = one[~alone[one]]
+        prefix = (n - least_size(n, percent) + 1)[one]
+        at = np.repeat(np.arange(len(one)), prefix)
+        place = np.arange(len(at)) - np.repeat(np.cumsum(prefix) - prefix, prefix)
+        order, word = _by_rank(found, shared.value)
+        spot = found.edge[one][at] + place
+        met = order[spot] > 0  # a word of one line meets no other
+        at, place, word, line = at[met], place[met], word[spot[met]], one[at[met]]
+        return {"word": word, "bits": found.bits[line], "rest": found.rest[line], "n": n[line].astype(np.uint32), "place": place.astype(np.uint32)}
+
+    def pack(parts: list[dict[str, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        e = {k: np.concatenate([p[k] for p in parts]) for k in _ENTRY}
+        _, one = np.unique(mix(e["word"].astype(np.uint64)) ^ name(e["bits"], e["rest"]).view(np.uint64), return_index=True)
+        e = {k: v[one] for k, v in e.items()}
+        yield from exchange.pack(_bucket(e["word"], buckets), e, _HASHES, np.zeros(1, np.int64))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, n = [], 0
         for batch in batches:
             for _, chunk in _chunks(batch.column(1)):
-                found = _lines(chunk)
-                n = found.size
-                # One line of each class a chunk; none where no other length fits and equal sets are the only partners.
-                _, one = np.unique(found.a, return_index=True)
-                alone = (least_size(n, percent) == n) & (least_size(n + 1, percent) > n)
-                one = one[~alone[one]]
-                prefix = (n - least_size(n, percent) + 1)[one]
-                at = np.repeat(np.arange(len(one)), prefix)
-                place = np.arange(len(at)) - np.repeat(np.cumsum(prefix) - prefix, prefix)
-                order, word = _by_rank(found, shared.value)
-                spot = found.edge[one][at] + place
-                met = order[spot] > 0  # a word of one line meets no other
-                at, place, word, line = at[met], place[met], word[spot[met]], one[at[met]]
-                bucket = _bucket(word, buckets)
-                columns = {"word": word, "bits": found.bits[line], "rest": found.rest[line], "n": n[line].astype(np.uint32), "place": place.astype(np.uint32)}
-                yield from exchange.pack(bucket, columns, _HASHES, np.zeros(1, np.int64))
+                parts.append(entries(chunk))
+                n += len(parts[-1]["word"])
+                if n >= ENTRIES:
+                    yield from pack(parts)
+                    parts, n = [], 0
+        if n:
+            yield from pack(parts)
 
     return texts.mapInArrow(run, exchange.SCHEMA)
 
@@ -325,8 +341,30 @@ def _runs(word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     return starts, starts + size, size, np.repeat(np.arange(len(starts)), size)
 
 
+def _unite(root: np.ndarray, x: np.ndarray, y: np.ndarray) -> None:
+    """Joins the groups of each pair; ``root`` names the group of every entry by its first one."""
+    while len(x):
+        a, b = root[x], root[y]
+        apart = a != b
+        if not apart.any():
+            return
+        x, y, a, b = x[apart], y[apart], a[apart], b[apart]
+        parent = np.arange(len(root))
+        np.minimum.at(parent, np.maximum(a, b), np.minimum(a, b))
+        while True:
+            up = parent[parent]
+            if (up == parent).all():
+                break
+            parent = up
+        root[:] = parent[root]
+
+
 def _marks(percent: int):
-    """The entries of a bucket that have a candidate, with a sum that names their candidates: one row an entry, however many there are."""
+    """The entries of a bucket that have a candidate: one row an entry, however many candidates there are.
+
+    ``partners`` is a sum that names the candidates, ``room`` the smallest class
+    that the entry is connected to by candidates of this word.
+    """
 
     def run(table: pa.Table) -> pa.Table:
         got = [exchange.unpack(p.as_py(), _ENTRY, _HASHES)[0] for p in table.column("payload")]
@@ -340,11 +378,13 @@ def _marks(percent: int):
         starts, ends, size, of = _runs(word)
         compare, own = _compare(n, bits, percent, place), name(bits, e["rest"])
         mixed, met, partners = mix(own.view(np.uint64)), np.zeros(len(word), bool), np.zeros(len(word), np.uint64)
+        root = np.arange(len(word))
 
         def mark(x: np.ndarray, y: np.ndarray) -> None:
             met[x] = met[y] = True
             np.add.at(partners, x, mixed[y])
             np.add.at(partners, y, mixed[x])
+            _unite(root, x, y)
 
         for x, y in _short(size, of, n, percent):
             fit = compare(x, y)
@@ -353,36 +393,72 @@ def _marks(percent: int):
             for x, y in _blocks(lo, hi, n, percent, SLICE):
                 i, j = np.nonzero(compare(x[:, None], y[None, :]) & (x[:, None] < y[None, :]))
                 mark(x[i], y[j])
-        return pa.table({"a": own[met], "word": word[met].astype(np.int64), "partners": partners[met].view(np.int64)})
+        room = np.full(len(word), np.iinfo(np.int64).max)
+        np.minimum.at(room, root[met], own[met])
+        return pa.table({"a": own[met], "word": word[met].astype(np.int64), "partners": partners[met].view(np.int64), "room": room[root[met]]})
 
     return run
 
 
-def _wanted_lines(texts: DataFrame, used: DataFrame) -> DataFrame:
-    """(a, b, doc, line, text) of lines whose class may be among ``used``, the first of each class a chunk.
+def _wanted_lines(texts: DataFrame, marked: DataFrame) -> DataFrame:
+    """(rooms, a, b, doc, line, text) of lines whose class is in ``marked`` (a, rooms).
 
-    A Bloom filter of bounded size decides; what it lets through in error finds no partner in the join that follows.
+    A Bloom filter of bounded size tells most other lines apart before they travel,
+    packed by buckets of classes; what it lets through in error finds no rooms.
+    Of equal lines only the first of some megabytes travels.
     """
-    blocks = url_filter.n_blocks(used.count())
-    shared = texts.sparkSession.sparkContext.broadcast(url_filter.build(used, "a", blocks))
+    blocks, buckets = url_filter.n_blocks(marked.count()), shuffle_partitions(texts.sparkSession)
+    shared = texts.sparkSession.sparkContext.broadcast(url_filter.build(marked, "a", blocks))
+
+    def pack(parts: list[tuple]) -> Iterator[pa.RecordBatch]:
+        a, b, doc, line = (np.concatenate([p[k] for p in parts]) for k in range(4))
+        lines = [t for p in parts for t in p[4]]
+        one = _firsts(a, b, doc, line)
+        columns = {"a": a[one], "b": b[one], "doc": doc[one], "line": line[one].astype(np.int32)}
+        yield from exchange.pack(columns["a"] % buckets, columns, ("a", "b"), np.zeros(1, np.int64), [lines[k] for k in one.tolist()])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, size = [], 0
         for batch in batches:
             for first, chunk in _chunks(batch.column(1)):
                 found = _lines(chunk)
+                if not len(found.line):
+                    continue
                 docs = batch.column(0)[first : first + len(chunk)].fill_null(_NULL).to_numpy()
                 doc = np.repeat(docs, found.counts)[found.line]
                 line = found.line - np.repeat(np.cumsum(found.counts) - found.counts, found.counts)[found.line]
-                a, b, text = found.a, found.b, found.line
-                one = np.flatnonzero(url_filter.may_contain(a, shared.value)) if len(a) else np.empty(0, np.int64)
+                a, b = found.a, found.b
+                one = np.flatnonzero(url_filter.may_contain(a, shared.value))
                 one = one[_firsts(a[one], b[one], doc[one], line[one])]
                 lines = b"\n".join(chunk).split(b"\n")
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(a[one]), pa.array(b[one]), pa.array(doc[one]), pa.array(line[one].astype(np.int32)), pa.array([lines[k] for k in text[one].tolist()], pa.binary())],
-                    names=["a", "b", "doc", "line", "text"],
-                )
+                parts.append((a[one], b[one], doc[one], line[one], [lines[k] for k in found.line[one].tolist()]))
+                size += sum(map(len, parts[-1][4]))
+                if size >= SENT_BYTES:
+                    yield from pack(parts)
+                    parts, size = [], 0
+        if size:
+            yield from pack(parts)
+
+    def meet(table: pa.Table, classes: pa.Table) -> pa.Table:
+        kinds = {"a": "<i8", "b": "<i8", "doc": "<i8", "line": "<i4"}
+        got = [exchange.unpack(p.as_py(), kinds, ("a", "b"), True) for p in table.column("payload")]
+        a, b, doc, line = (np.concatenate([g[0][k] for g in got] or [np.empty(0, kind)]) for k, kind in kinds.items())
+        lines = [t for g in got for t in g[2]]
+        known = classes.column("a").to_numpy()
+        order = np.argsort(known)
+        at = np.minimum(np.searchsorted(known[order], a), max(len(known) - 1, 0))
+        one = np.flatnonzero(known[order][at] == a) if len(known) else np.empty(0, np.int64)
+        rooms = classes.column("rooms").take(pa.array(order[at[one]] if len(one) else np.empty(0, np.int64)))
+        return pa.table(
+            {
+                "rooms": rooms, "a": a[one], "b": b[one], "doc": doc[one], "line": line[one],
+                "text": pa.array([lines[k] for k in one.tolist()], pa.binary()),
+            }
+        )
 
-    return texts.mapInArrow(run, "a bigint, b bigint, doc bigint, line int, text binary")
+    by = marked.select(F.pmod("a", F.lit(buckets)).cast("int").alias("bucket"), "a", "rooms").groupBy("bucket")
+    packed = texts.mapInArrow(run, exchange.SCHEMA).groupBy("bucket")
+    return packed.cogroup(by).applyInArrow(meet, "rooms array<bigint>, a bigint, b bigint, doc bigint, line int, text binary")
 
 
 def _firsts(a: np.ndarray, b: np.ndarray, doc: np.ndarray, line: np.ndarray) -> np.ndarray:
@@ -394,9 +470,9 @@ def _firsts(a: np.ndarray, b: np.ndarray, doc: np.ndarray, line: np.ndarray) ->
 
 
 def _sent(wanted: DataFrame, buckets: int) -> DataFrame:
-    """Lines with their places, packed, to the bucket of each word that they are marked at; from (words, a, b, doc, line, text).
+    """Lines with their places, packed, to the bucket of each of their rooms; from (rooms, a, b, doc, line, text).
 
-    Before each text stand the smaller ones of its words, eight digits each.
+    Before each text stand the smaller ones of its rooms, sixteen digits each.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -405,25 +481,25 @@ def _sent(wanted: DataFrame, buckets: int) -> DataFrame:
             batch = batch.take(pa.array(one))
             texts, lists = batch.column(5).to_pylist(), batch.column(0).to_pylist()
             docs, rows = batch.column(3).to_numpy(), batch.column(4).to_numpy()
-            word, at, sent, size = [], [], [], 0
-            for k, (text, words) in enumerate(zip(texts, lists, strict=True)):
+            room, at, sent, size = [], [], [], 0
+            for k, (text, rooms) in enumerate(zip(texts, lists, strict=True)):
                 before = b""
-                for w in sorted(words):
-                    word.append(w)
+                for r in sorted(rooms):
+                    room.append(r)
                     at.append(k)
                     sent.append(before + b" " + text)
-                    before += b"%08x" % w
+                    before += b"%016x" % (r & MASK64)
                     size += len(sent[-1])
-                if size >= CHUNK_BYTES or k + 1 == len(texts):
-                    columns = {"word": np.array(word, np.uint32), "doc": docs[at], "line": rows[at]}
-                    yield from exchange.pack(_bucket(columns["word"], buckets), columns, ("word",), np.zeros(1, np.int64), sent)
-                    word, at, sent, size = [], [], [], 0
+                if size >= SENT_BYTES or k + 1 == len(texts):
+                    columns = {"room": np.array(room, np.int64), "doc": docs[at], "line": rows[at]}
+                    yield from exchange.pack(_bucket(columns["room"], buckets), columns, ("room",), np.zeros(1, np.int64), sent)
+                    room, at, sent, size = [], [], [], 0
 
-    return wanted.select("words", "a", "b", "doc", "line", "text").mapInArrow(run, exchange.SCHEMA)
+    return wanted.select("rooms", "a", "b", "doc", "line", "text").mapInArrow(run, exchange.SCHEMA)
 
 
-def _bucket(word: np.ndarray, buckets: int) -> np.ndarray:
-    return (mix(word.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+def _bucket(key: np.ndarray, buckets: int) -> np.ndarray:
+    return (mix(key.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
 
 
 @dataclass
@@ -466,12 +542,12 @@ class Sets:
 def _counts(percent: int):
     """The links of a bucket's entries: for each entry how many, and the place of the earliest partner.
 
-    Two sets may meet at several words; a link counts at the smallest of the
-    words that both were sent to, and nowhere else.
+    Two sets may meet in several rooms; a link counts in the smallest of the rooms
+    that both were sent to, and nowhere else.
     """
 
     def run(table: pa.Table) -> pa.Table:
-        got = [exchange.unpack(p.as_py(), _SET, ("word",), True) for p in table.column("payload")]
+        got = [exchange.unpack(p.as_py(), _SET, ("room",), True) for p in table.column("payload")]
         e = {k: np.concatenate([g[0][k] for g in got]) for k in _SET}
         number: dict[bytes, int] = {}
         text, before = [], []
@@ -490,16 +566,16 @@ def _counts(percent: int):
         a, b = names.a, names.b
         edge = np.flatnonzero(np.diff(line, prepend=-1))  # every line that came has words
         sets = Sets(np.unique(word, return_inverse=True)[1], edge, np.diff(np.append(edge, len(word))))
-        # One entry a word and class, the earliest, in order of length.
-        order = np.lexsort((e["line"], e["doc"], b[text], a[text], sets.size[text], e["word"]))
-        w, t = e["word"][order], text[order]
+        # One entry a room and class, the earliest, in order of length.
+        order = np.lexsort((e["line"], e["doc"], b[text], a[text], sets.size[text], e["room"]))
+        w, t = e["room"][order], text[order]
         new = np.ones(len(order), bool)
         new[1:] = (w[1:] != w[:-1]) | (a[t][1:] != a[t][:-1]) | (b[t][1:] != b[t][:-1])
         order = order[new]
-        w, t, doc, row = e["word"][order], text[order], e["doc"][order], e["line"][order]
+        w, t, doc, row = e["room"][order], text[order], e["doc"][order], e["line"][order]
         heads = [before[k] for k in order.tolist()]
-        size = np.fromiter(map(len, heads), np.int64, len(heads)) // 8
-        joined = np.frombuffer(bytes.fromhex(b"".join(heads).decode()), ">u4").astype(np.int64)
+        size = np.fromiter(map(len, heads), np.int64, len(heads)) // 16
+        joined = np.frombuffer(bytes.fromhex(b"".join(heads).decode()), ">u8")
         smaller = Sets(np.unique(joined, return_inverse=True)[1], np.cumsum(size) - size, size)
         n, bits = sets.size[t], names.bits[t]
         starts, ends, many, of = _runs(w)
@@ -578,16 +654,18 @@ def links(texts: DataFrame, rank: np.ndarray, percent: int = PERCENT) -> DataFra
     Entries that have a candidate are marked.  Of the words at which a class has
     the same candidates the smallest one is enough: whatever the others are that a
     candidate is marked at, the smallest word at which two classes are candidates
-    stays with both.  The lines of marked classes go to the buckets of these words
-    and are compared there.  What travels is in proportion to the entries; pairs
-    never leave the task that compares them.
+    stays with both.  The candidates of a word fall into groups, and a group's room
+    is named by its smallest class, so that most words of a class lead to the same
+    room.  The lines of marked classes go to the buckets of their rooms and are
+    compared there.  What travels is in proportion to the entries; pairs never
+    leave the task that compares them.
     """
     buckets = BUCKETS_PER_PARTITION * shuffle_partitions(texts.sparkSession)
-    marks = _index(texts, rank, percent, buckets).groupBy("bucket").applyInArrow(_marks(percent), "a bigint, word bigint, partners bigint")
-    gathered = marks.groupBy("a").agg(F.sort_array(F.collect_list(F.struct("partners", "word"))).alias("m"))
+    marks = _index(texts, rank, percent, buckets).groupBy("bucket").applyInArrow(_marks(percent), "a bigint, word bigint, partners bigint, room bigint")
+    gathered = marks.groupBy("a").agg(F.sort_array(F.collect_list(F.struct("partners", "word", "room"))).alias("m"))
     least = F.filter("m", lambda x, i: (i == 0) | (x["partners"] != F.get("m", i - 1)["partners"]))
-    marked = cut(gathered.select("a", F.array_distinct(F.transform(least, lambda x: x["word"])).alias("words")))
-    sent = _sent(_wanted_lines(texts, marked.select("a")).join(marked, "a"), buckets)
+    marked = cut(gathered.select("a", F.array_distinct(F.transform(least, lambda x: x["room"])).alias("rooms")))
+    sent = _sent(_wanted_lines(texts, marked), buckets)
     schema = "a bigint, b bigint, doc bigint, line int, n_links bigint, other_doc bigint, other_line int"
     found = sent.groupBy("bucket").applyInArrow(_counts(percent), schema)
     return found.groupBy("a", "b").agg(
