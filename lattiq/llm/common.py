@@ -9,15 +9,15 @@ and malformed UTF-8 cannot stop a task.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+import uuid
 
 import numpy as np
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WORD_SPLIT = "[\\x20\\x09-\\x0D]+"
-MEMO_LIMIT = 400_000
 MASK64 = (1 << 64) - 1
 
 
@@ -31,19 +31,6 @@ def n_words(text: Column) -> Column:
     return F.size(words(text)).cast("long")
 
 
-class WordHashes(dict):
-    """Word (bytes) to a 64-bit hash, remembered up to a bounded number of words."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= MEMO_LIMIT:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-    def of(self, found: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, found), np.uint64, len(found))
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser (splitmix64), elementwise."""
     x = x ^ (x >> np.uint64(30))
@@ -67,18 +54,40 @@ def window_hashes(word_hashes: np.ndarray, width: int) -> np.ndarray:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the session names; one of our own only where none is set."""
+    """The shared folder that the session names.
+
+    Where none is set, a local session gets one of its own; on a cluster that is
+    an error, as executors share no temporary folder.
+    """
     sc = spark.sparkContext
     found = sc.getCheckpointDir()
     if not found:
-        sc.setCheckpointDir(
-            spark.conf.get("spark.checkpoint.dir", None)
-            or os.path.join(tempfile.gettempdir(), "lattiq-checkpoints")
-        )
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("spark.checkpoint.dir is not set: it has to name a folder that all executors share")
+        sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "lattiq-checkpoints"))
         found = sc.getCheckpointDir()
+    _delete_at_exit(spark, found)
     return found
 
 
+def _delete_at_exit(spark: SparkSession, path: str) -> None:
+    """Have the driver's file system remove a folder of this session when it closes."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(folder)
+
+
+def scratch_path(spark: SparkSession, stem: str) -> str:
+    """A new path in the shared checkpoint folder; it goes when the session's driver ends, if not before."""
+    return f"{ensure_checkpoint_dir(spark)}/{stem}-{uuid.uuid4().hex}"
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of this session that is no longer read."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and go on from the files.
 

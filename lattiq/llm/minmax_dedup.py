@@ -39,7 +39,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattiq.llm.common import WordHashes, cut, mix, window_hashes
+from lattiq.llm import hashing
+from lattiq.llm.common import cut, free_name, mix, window_hashes
 
 PERMUTATIONS = 75
 ROWS = 5
@@ -48,20 +49,16 @@ BLOCK = 256
 SEED = 20240229
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
-_memo = WordHashes()
 
 
 def shingles(text: bytes | None, width: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the shingles."""
     if not text:
         return np.empty(0, np.uint64)
-    found = text.translate(_LOWER).split()
-    if not found:
-        return np.empty(0, np.uint64)
-    h = _memo.of(found)
-    if len(found) < width:
+    h, _ = hashing.words(text.translate(_LOWER))
+    if len(h) < width:
         # Told apart from windows, and from each other, by their number of words.
-        return window_hashes(np.append(h, np.uint64(len(found))), len(found) + 1) ^ np.uint64(0x5BD1E995)
+        return window_hashes(np.append(h, np.uint64(len(h))), len(h) + 1) ^ np.uint64(0x5BD1E995) if len(h) else h
     return np.unique(window_hashes(h, width))
 
 
@@ -242,5 +239,6 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` that stay: one document of each group."""
-    gone = near_duplicates(docs, key, text, width, percent).filter(~F.col("kept")).select(F.col("key").alias("__gone")).distinct()
-    return docs.join(cut(gone), F.col(f"`{key}`").cast("long") == F.col("__gone"), "left_anti")
+    name = free_name(docs, "__gone")
+    gone = near_duplicates(docs, key, text, width, percent).filter(~F.col("kept")).select(F.col("key").alias(name)).distinct()
+    return docs.join(cut(gone), F.col(f"`{key}`").cast("long") == F.col(name), "left_anti")

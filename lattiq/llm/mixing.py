@@ -6,7 +6,7 @@ and what is cut off is shared again by weight among the rest.  A source whose
 target is ``r`` times its size gives every document ``floor(r)`` certain copies;
 what remains of the target is drawn without replacement: each document has an
 inclusion probability ``p`` (the remaining fraction, times its optional relative
-propensity), a uniform number ``u`` that only its key decides, and the rank
+propensity: a column, or a function of the size), a uniform number ``u`` that only its key decides, and the rank
 ``(u / (1 - u)) / (p / (1 - p))``.  Documents are taken in rank order until the
 words that are left are used up, so the sample has a fixed size in words; the
 document at the border is taken if that comes nearer to the target.
@@ -21,16 +21,21 @@ Defined results: a null text has size 0 and is taken 0 or more times like any
 other (it never moves the total); a null source is a source of its own, last in
 order; a source of size 0 has target 0; rows with one key have one ``u``, hence
 one rank, and are taken together or not at all (null keys count as one key);
-other columns are carried along.  An empty table gives an empty table.
+other columns are carried along.  A very long text counts with all its words and
+is taken whole or not at all.  An empty table gives an empty table.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattiq.llm.common import cut, free_name, n_words, small
 
+Propensity = Column | Callable[[Column], Column] | None
+LONG_DOCUMENT = 100
 BINS = 4096
 WEIGHTS = (3, 1, 2)
 
@@ -135,13 +140,25 @@ def plan(
     return cut(out)
 
 
-def _sizes(docs: DataFrame, key: str, text: str, source: str, propensity: Column | None) -> DataFrame:
+def by_length(size: Column) -> Column:
+    """A propensity: documents of LONG_DOCUMENT words and more are half as likely again as shorter ones."""
+    return F.when(size >= LONG_DOCUMENT, F.lit(1.5)).otherwise(F.lit(1.0))
+
+
+def _propensity(propensity: Propensity, size: Column) -> Column:
+    if propensity is None:
+        return F.lit(1.0)
+    return (propensity(size) if callable(propensity) else propensity).cast("double")
+
+
+def _sizes(docs: DataFrame, key: str, text: str, source: str, propensity: Propensity) -> DataFrame:
+    size = n_words(F.col(f"`{text}`").cast("string"))
     return cut(
         docs.select(
             F.col(f"`{key}`").alias("key"),
             F.col(f"`{source}`").cast("string").alias("source"),
-            n_words(F.col(f"`{text}`").cast("string")).alias("size"),
-            (propensity if propensity is not None else F.lit(1.0)).cast("double").alias("propensity"),
+            size.alias("size"),
+            _propensity(propensity, size).alias("propensity"),
         )
     )
 
@@ -155,7 +172,7 @@ def _copies(key: Column, propensity: Column, seed: int, max_copies: int, of=F.co
 def mix(
     docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source",
     weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, max_copies: int = 2, seed: int = 17,
-    propensity: Column | None = None,
+    propensity: Propensity = None,
 ) -> DataFrame:
     """One row per document: (key, source, size, source_size, target, copies, taken)."""
     sizes = _sizes(docs, key, text, source, propensity)
@@ -169,7 +186,7 @@ def mix(
 def mixed_rows(
     docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source",
     weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, max_copies: int = 2, seed: int = 17,
-    propensity: Column | None = None,
+    propensity: Propensity = None,
 ) -> DataFrame:
     """The mix itself: the rows of ``docs``, each as often as it is taken.
 
@@ -179,11 +196,11 @@ def mixed_rows(
     per = plan(_sizes(docs, key, text, source, propensity), weights, share, max_copies, seed)
     per = per.select(*[F.col(c).alias(free_name(docs, c)) if c == "mix_source" else F.col(c) for c in per.columns])
     mine = free_name(docs, "mix_source")
-    packed = per.select(F.col(mine), F.struct("source_size", "left", "whole", "cut").alias("__plan"))
-    many = free_name(docs, "__copies")
+    many, line_name = free_name(docs, "__copies"), free_name(docs, "__plan")
+    packed = per.select(F.col(mine), F.struct("source_size", "left", "whole", "cut").alias(line_name))
     joined = docs.join(small(packed), F.col(f"`{source}`").cast("string").eqNullSafe(F.col(mine)))
-    line = lambda c: F.col("__plan")[c]
-    often = _copies(F.col(f"`{key}`"), propensity if propensity is not None else F.lit(1.0), seed, max_copies, line)
+    line = lambda c: F.col(line_name)[c]
+    often = _copies(F.col(f"`{key}`"), _propensity(propensity, n_words(F.col(f"`{text}`").cast("string"))), seed, max_copies, line)
     return (
         joined.withColumn(many, often)
         .filter(F.col(many) > 0)

@@ -3,10 +3,11 @@
 *Base spans*: three kinds of match, leftmost and non-overlapping for each kind
 (``KINDS``), found in whole texts.  *Candidates* are the values in them and in
 the matches of further kinds (``MORE_KINDS``).  A candidate's hash is counted
-over distinct repositories and owners in the whole corpus: a value that many
-owners or many repositories have is a copied example; one that stays with few of
-both and doesn't look like a placeholder is *live-looking*.  The method adds the spans of live-looking
-matches of the further kinds; base spans always stay.
+over distinct repositories and owners in the whole corpus: a value that more
+than ``MAX_OWNERS`` owners or ``MAX_REPOS`` repositories have is a copied example;
+one that stays with few of both and doesn't look like a placeholder is
+*live-looking*.  The method adds the spans of live-looking matches of the further
+kinds; base spans always stay.
 
 Positions come from cutting the text at the matches: match ``i`` starts after
 the pieces and matches before it, so no expression works per character in
@@ -18,11 +19,15 @@ Classes go back to the candidates by a salted join.
 
 Defined results: a null or empty text has no spans and the hash of the empty
 string; null owners or repositories count as one owner or repository; repeated
-rows are scanned each for itself; other columns are carried by the caller.
+rows are scanned each for itself; very long texts, and texts with very many
+matches, are scanned whole; other columns are carried by the caller.  An empty
+table gives an empty table.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,7 +43,7 @@ MORE_KINDS: tuple[tuple[str, str, int, int], ...] = (
     ("bearer", r"[Bb]earer\x20+([A-Za-z0-9._~+/-]{20,})", 1, 20),
     ("forge", r"gh[pousr]_[A-Za-z0-9]{36,}", 0, 40),
     ("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 28),
-    ("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\s]+", 0, 64),
+    ("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\x20\x09-\x0D]+", 0, 64),
 )
 #: Cheap patterns, one of which is in any text that has a match of the kind.
 HINTS = {
@@ -47,8 +52,9 @@ HINTS = {
 }
 PLACEHOLDER = r"(?i)example|placeholder|changeme|your|dummy|sample|xxxx|test|^(.)\1+$|123456"
 MAX_OWNERS = 2
-MAX_REPOS = 2
+MAX_REPOS = 4
 SALT = 16
+STRETCH = 256
 
 SPAN = "struct<kind:string, rank:int, start:int, end:int, value:string>"
 
@@ -56,25 +62,49 @@ SPAN = "struct<kind:string, rank:int, start:int, end:int, value:string>"
 def _matches(text: Column, kind: tuple[str, str, int, int], rank: int) -> Column:
     """The spans of a kind, in order of start."""
     name, pattern, group, least = kind
-    p = F.lit(pattern)
+    p, none = F.lit(pattern), F.array().cast(f"array<{SPAN}>")
     whole = F.regexp_extract_all(text, p, F.lit(0))
     value = whole if group == 0 else F.regexp_extract_all(text, p, F.lit(group))
     between = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(whole))
     parts = F.zip_with(F.arrays_zip(between.alias("gap"), whole.alias("hit")), value, lambda x, v: F.struct(
         F.length(x["gap"]).alias("gap"), F.length(x["hit"]).alias("hit"), v.alias("value")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("found"))
+    spans = F.when(F.size(whole) > 0, _let(parts, lambda found: _spans(found, name, rank, least)))
+    return F.when(text.rlike(HINTS[name]), F.coalesce(spans, none)).otherwise(none)
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _spans(parts: Column, name: str, rank: int, least: int) -> Column:
+    """Spans from (gap, hit, value), whose places are running sums.
 
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + x["gap"]
-        end = begin + x["hit"]
-        one = F.struct(
-            F.lit(name).alias("kind"), F.lit(rank).alias("rank"), begin.alias("start"), end.alias("end"), x["value"].alias("value")
-        )
-        found = F.when(F.length(x["value"]) >= least, F.concat(acc["found"], F.array(one))).otherwise(acc["found"])
-        return F.struct(end.alias("at"), found.alias("found"))
+    Sums run within stretches of STRETCH matches, and over the stretches, so a
+    text with very many matches doesn't copy all it has found at each of them.
+    """
+    stretches = F.transform(F.sequence(F.lit(1), F.size(parts), F.lit(STRETCH)), lambda k: F.slice(parts, k, STRETCH))
+    length = lambda stretch: F.aggregate(stretch, F.lit(0), lambda n, x: n + x["gap"] + x["hit"])
 
-    spans = F.aggregate(parts, start, step, lambda acc: acc["found"])
-    return F.when(text.rlike(HINTS[name]), spans).otherwise(F.array().cast(f"array<{SPAN}>"))
+    def places(each: Column) -> Column:
+        """Where each stretch begins."""
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all"))
+        step = lambda acc, x: F.struct((acc["at"] + length(x)).alias("at"), F.concat(acc["all"], F.array(acc["at"])).alias("all"))
+        return F.aggregate(each, start, step, lambda acc: acc["all"])
+
+    def one(stretch: Column, begin: Column) -> Column:
+        start = F.struct(begin.alias("at"), F.array().cast(f"array<{SPAN}>").alias("found"))
+
+        def step(acc: Column, x: Column) -> Column:
+            first = acc["at"] + x["gap"]
+            end = first + x["hit"]
+            span = F.struct(F.lit(name).alias("kind"), F.lit(rank).alias("rank"), first.alias("start"), end.alias("end"), x["value"].alias("value"))
+            found = F.when(F.length(x["value"]) >= least, F.concat(acc["found"], F.array(span))).otherwise(acc["found"])
+            return F.struct(end.alias("at"), found.alias("found"))
+
+        return F.aggregate(stretch, start, step, lambda acc: acc["found"])
+
+    return _let(stretches, lambda each: _let(places(each), lambda at: F.flatten(F.transform(each, lambda x, k: one(x, F.get(at, k))))))
 
 
 def _packed(spans: Column) -> Column:
@@ -95,12 +125,11 @@ def ownership(candidates: DataFrame) -> DataFrame:
     return owners.join(repos, "hash")
 
 
-def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", repo: str = "source", owner: str = "source", max_owners: int = MAX_OWNERS, max_repos: int = MAX_REPOS) -> DataFrame:
+def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", repo: str | Column = "source", owner: str | Column = "source", max_owners: int = MAX_OWNERS, max_repos: int = MAX_REPOS) -> DataFrame:
     """(row, key, base, more, n_live, n_example) of every row; ``more`` are the added spans."""
     body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
-    of = docs.select(
-        F.col(f"`{key}`").alias("key"), F.col(f"`{repo}`").cast("string").alias("repo"), F.col(f"`{owner}`").cast("string").alias("owner"), body.alias("body")
-    )
+    column = lambda c: (F.col(f"`{c}`") if isinstance(c, str) else c).cast("string")
+    of = docs.select(F.col(f"`{key}`").alias("key"), column(repo).alias("repo"), column(owner).alias("owner"), body.alias("body"))
     kinds = [*KINDS, *MORE_KINDS]
     found = of.select("key", "repo", "owner", *[_matches(F.col("body"), k, i).alias(k[0]) for i, k in enumerate(kinds)])
     book = found.select(

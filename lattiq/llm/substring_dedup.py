@@ -35,14 +35,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattiq.llm import exchange
-from lattiq.llm.common import WordHashes, mix, shuffle_partitions, window_hashes
+from lattiq.llm import exchange, hashing
+from lattiq.llm.common import mix, shuffle_partitions, window_hashes
 
 WINDOW = 13
 BLOCK = 7
 CHUNK_WORDS = 2_000_000
 BUCKETS_PER_PARTITION = 3
-_memo = WordHashes()
 
 _ANCHOR = {"hash": "<u4", "doc": "<u4"}
 _SEQUENCE = {"hash": "<u8", "more": "<u2", "doc": "<u4", "pos": "<u4"}
@@ -87,10 +86,10 @@ def _probe(texts: DataFrame, buckets: int) -> DataFrame:
     def of(number: int, batch: pa.RecordBatch, row: int):
         if not batch.column(0)[row].is_valid:
             return None
-        found = (batch.column(1)[row].as_py() or b"").split()
+        found, _ = hashing.words(batch.column(1)[row].as_py() or b"")
         if len(found) < WINDOW:
             return None
-        hashes, aligned = _anchors(_memo.of(found))
+        hashes, aligned = _anchors(found)
         return hashes, np.uint32(2 * number) + aligned.astype(np.uint32)
 
     def flush(ids: list[int], parts: list[tuple]) -> Iterator[pa.RecordBatch]:
@@ -131,7 +130,7 @@ def _candidates(joined: DataFrame, buckets: int) -> DataFrame:
     def of(number: int, batch: pa.RecordBatch, row: int):
         if not batch.column(2)[row].is_valid:
             return None
-        words = _memo.of((batch.column(1)[row].as_py() or b"").split())
+        words, _ = hashing.words(batch.column(1)[row].as_py() or b"")
         rolling = window_hashes(words, BLOCK)
         key = (_split(rolling, buckets) << np.int64(32)) | rolling.astype(np.uint32).astype(np.int64)
         keys = np.asarray(batch.column(2)[row].values)

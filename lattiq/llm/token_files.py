@@ -30,7 +30,6 @@ from __future__ import annotations
 import json
 import re
 import struct
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -41,7 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lattiq.llm.common import ensure_checkpoint_dir, shuffle_partitions, small
+from lattiq.llm.common import shuffle_partitions, small
 
 ROW_GROUP = 32 << 20
 PAGE_BYTES = 256 << 10
@@ -295,8 +294,3 @@ def checksums(rows: DataFrame) -> DataFrame:
             )
 
     return rows.select("doc_id", "start", "ids").mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
-
-
-def scratch_path(spark: SparkSession, stem: str) -> str:
-    """A new folder in the shared checkpoint folder."""
-    return f"{ensure_checkpoint_dir(spark)}/{stem}-{uuid.uuid4().hex}"

@@ -18,7 +18,7 @@ one URL on a third of the pages is spread over ``SALT`` keys.
 Defined results: a null URL or one without ``://`` has an empty host and path,
 no rule, no canonical form, and is allowed; null or blank lines of the list are
 ignored; repeated rows are judged each for itself; an empty list blocks nothing;
-all columns of the input are carried along.
+a very long URL is read whole; all columns of the input are carried along.
 """
 
 from __future__ import annotations
@@ -152,7 +152,7 @@ def possible(url_hash: Column, bits: np.ndarray, spark) -> Column:
 
 def judge(pages: DataFrame, listed: DataFrame, url: str = "url", rules: tuple[tuple[str, str, str], ...] = RULES) -> DataFrame:
     """``pages`` with host, path, rule, verdict, listed; ``listed`` has one column of URLs."""
-    n = {c: free_name(pages, c) for c in ("host", "path", "rule", "verdict", "listed", "__fit", "__canonical", "__hash", "__maybe", "__salt")}
+    n = {c: free_name(pages, c) for c in ("host", "path", "rule", "verdict", "listed", "__fit", "__canonical", "__hash", "__maybe", "__salt", "__name", "__at", "__hit")}
     spark = pages.sparkSession
     names = cut(listed.select(canonical(F.col(listed.columns[0])).alias("name")).filter("name IS NOT NULL").distinct())
     bits = build(names.select(F.xxhash64("name").alias("h")), "h", n_blocks(names.count()))
@@ -163,16 +163,16 @@ def judge(pages: DataFrame, listed: DataFrame, url: str = "url", rules: tuple[tu
     rows = rows.withColumns(
         {
             n["__canonical"]: F.when(F.col(n["__maybe"]), F.col(n["__canonical"])),
-            n["__salt"]: F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c, t in pages.dtypes if not t.startswith("map")]), F.lit(SALT)).cast("int"),
+            n["__salt"]: F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c, t in pages.dtypes if "map<" not in t and "variant" not in t], F.spark_partition_id()), F.lit(SALT)).cast("int"),
         }
     )
     exact = names.select(
-        F.col("name").alias("__name"), F.explode(F.array(*[F.lit(i) for i in range(SALT)])).alias("__at"), F.lit(True).alias("__hit")
+        F.col("name").alias(n["__name"]), F.explode(F.array(*[F.lit(i) for i in range(SALT)])).alias(n["__at"]), F.lit(True).alias(n["__hit"])
     )
     hits = rows.filter(F.col(n["__maybe"])).join(
-        exact, (F.col(n["__canonical"]) == F.col("__name")) & (F.col(n["__salt"]) == F.col("__at")), "left"
+        exact, (F.col(n["__canonical"]) == F.col(n["__name"])) & (F.col(n["__salt"]) == F.col(n["__at"])), "left"
     )
-    done = hits.withColumn(n["listed"], F.coalesce(F.col("__hit"), F.lit(False))).unionByName(
+    done = hits.withColumn(n["listed"], F.coalesce(F.col(n["__hit"]), F.lit(False))).unionByName(
         rows.filter(~F.col(n["__maybe"])).withColumn(n["listed"], F.lit(False)), allowMissingColumns=True
     )
     done = done.withColumn(n["__fit"], match_rule(F.col(n["host"]), F.col(n["path"]), rules))
