@@ -30,7 +30,8 @@ passages of its last item.
 Defined results: null, empty and blank texts hit nothing; items without words
 are hit by nothing; items of fewer than ``LEAST_WORDS`` words must be there in
 full (every word, in order and together); repeated rows are judged alike; null
-ids are judged by their text; other columns are carried by the caller.  An empty
+ids are judged by their text; a very long text is searched whole, WINDOWS windows
+at a time; other columns are carried by the caller.  An empty
 corpus or benchmark gives no hits.
 """
 
@@ -47,6 +48,7 @@ from pyspark.sql import functions as F
 
 WINDOW = 64
 STRIDE = 32
+WINDOWS = 2048
 RANK = 256
 OVERSAMPLE = 32
 POWER = 2
@@ -126,34 +128,41 @@ class Model:
         return sorted(best.values())
 
     def candidates(self, space: Space, terms: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, int, float]]:
-        """(item, first word of the window, cosine); ``at`` are the places of the words that weigh something."""
+        """(item, first word of the window, cosine); ``at`` are the places of the words that weigh something.
+
+        Windows are two neighbouring blocks of STRIDE words; a block is projected
+        once, WINDOWS at a time, so a very long text needs no more room.
+        """
         row = space.local[terms[at]]
         at, row = at[row >= 0], row[row >= 0]
-        if not len(at):
-            return
-        # Windows are two neighbouring blocks of STRIDE words; a block is projected once.
         block = at // STRIDE
-        blocks = len(terms) // STRIDE + 1
-        mass = np.bincount(block, self.idf[terms[at]], blocks)
-        mass[:-1] += mass[1:].copy()
+        for lo in range(0, len(terms) // STRIDE + 1, WINDOWS):
+            a, b = np.searchsorted(block, [lo, lo + WINDOWS + 1])
+            if a < b:
+                yield from self._near(space, block[a:b] - lo, row[a:b], self.idf[terms[at[a:b]]], lo)
+
+    def _near(self, space: Space, block: np.ndarray, row: np.ndarray, weight: np.ndarray, lo: int) -> Iterator[tuple[int, int, float]]:
+        """The candidates of WINDOWS windows from the ``lo``-th on."""
+        mass = np.bincount(block, weight, WINDOWS + 1)
         # |z| is at most the sum of weights: windows below the least passage can hold nothing.
-        some = mass >= CONTAINED * space.norm.min()
-        need = some.copy()
-        need[1:] |= some[:-1]
+        some = mass[:-1] + mass[1:] >= CONTAINED * space.norm.min()
+        need = np.append(some, False)
+        need[1:] |= some
         keep = need[block]
         block, row = block[keep], row[keep]
         if not len(block):
             return
-        z = np.zeros((blocks + 1, space.basis.shape[1]), np.float32)
+        used = np.flatnonzero(some)
         first = np.flatnonzero(np.diff(block, prepend=-1))
-        z[block[first]] = np.add.reduceat(space.basis[row], first, axis=0)
-        z = (z[:-1] + z[1:])[some]
+        spot = np.full(WINDOWS + 1, len(first))
+        spot[block[first]] = np.arange(len(first))
+        z = np.vstack([np.add.reduceat(space.basis[row], first, axis=0), np.zeros((1, space.basis.shape[1]), np.float32)])
+        z = z[spot[used]] + z[spot[used + 1]]
         length = np.linalg.norm(z, axis=1)
         inner = z @ space.passages.T
         fit = (inner >= CONTAINED * space.norm**2) & (inner >= COSINE * length[:, None] * space.norm)
-        windows = np.flatnonzero(some)
         for w, p in zip(*np.nonzero(fit), strict=True):
-            yield int(space.owner[p]), int(windows[w]) * STRIDE, float(inner[w, p] / (length[w] * space.norm[p]))
+            yield int(space.owner[p]), (lo + int(used[w])) * STRIDE, float(inner[w, p] / (length[w] * space.norm[p]))
 
     def check(self, i: int, words: list[bytes], start: int) -> tuple[float, bool]:
         item = self.texts[i]

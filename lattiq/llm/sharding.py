@@ -9,12 +9,15 @@ same for any order of rows.  If a cell fits nowhere it goes to the least loaded
 shard that its walk passes.
 
 Loads are summed by cell with map-side combining; at most ``CELLS`` rows reach
-the driver, whatever the input.  A slot is the cell's offset
+the driver, whatever the input.  A cell that holds more than a ``HEAVY``-th of a
+shard's bytes - repeated rows of one key - is dealt into ``SPLIT`` cells at the
+same place, so it neither unbalances a shard nor lands in one task.  A slot is the cell's offset
 in its shard plus the row's number in the cell, so no task sorts a shard.
 
 Defined results: a null text has size 1 and CRC 0; null keys are told apart by
-text; repeated rows (same key, same text) share a cell and get slots of their
-own.  An empty table gives an empty table.  ``key`` rows keep all other columns.
+text; repeated rows (same key, same text) share a cell, unless it is heavy, and
+get slots of their own; a very long text is one row, and may fill a shard beyond
+its limit alone.  An empty table gives an empty table.  ``key`` rows keep all other columns.
 """
 
 from __future__ import annotations
@@ -25,10 +28,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lattiq.llm.common import free_name
+from lattiq.llm.common import cut, free_name
 
 VNODES = 64
 CELLS = 1 << 15
+HEAVY = 8
+SPLIT = 64
 SLACK = 0.0005
 RING = 1 << 32
 
@@ -50,6 +55,12 @@ def owners(nodes: list[tuple[int, int]], cells: int = CELLS) -> list[int]:
     return [bisect.bisect_left(places, c * (RING // cells)) % len(nodes) for c in range(cells)]
 
 
+def heavy(loads: dict[int, int], counts: dict[int, int], shards: int) -> list[int]:
+    """Cells of more than a HEAVY-th of a shard's bytes in several rows: at most HEAVY times the shards."""
+    limit = sum(loads.values()) / (shards * HEAVY)
+    return sorted(c for c, load in loads.items() if load > limit and counts[c] > 1)
+
+
 def place(loads: dict[int, int], nodes: list[tuple[int, int]], first: list[int], shards: int, slack: float = SLACK) -> dict[int, int]:
     """The shard of each cell, given the bytes in it."""
     limit = (1 + slack) * sum(loads.values()) / shards
@@ -78,7 +89,7 @@ def shard(
 ) -> DataFrame:
     """(key, size, text_crc32, shard, slot) of each row; with ``keep``, all columns of ``docs`` and shard, slot."""
     nodes = ring(shards, vnodes)
-    n_size, n_crc, n_cell, n_shard, n_slot, n_start = (free_name(docs, c) for c in ("size", "text_crc32", "__cell", "shard", "slot", "__start"))
+    n_size, n_crc, n_cell, n_shard, n_slot, n_start, n_part = (free_name(docs, c) for c in ("size", "text_crc32", "__cell", "shard", "slot", "__start", "__part"))
     body = F.col(f"`{text}`")
     rows = docs.withColumns(
         {n_size: size(body), n_crc: F.coalesce(F.crc32(body.cast("binary")), F.lit(0)).cast("long")}
@@ -87,8 +98,19 @@ def shard(
     rows = rows.withColumn(n_cell, F.floor(spot / (RING // cells)).cast("int"))
     if not keep:
         rows = rows.select(f"`{key}`", n_size, n_crc, n_cell)
-    loads = rows.groupBy(n_cell).agg(F.sum(n_size).alias("load"), F.count(F.lit(1)).alias("n")).collect()
-    where = place({r[n_cell]: r["load"] for r in loads}, nodes, owners(nodes, cells), shards, slack)
+    sums = lambda df: df.groupBy(n_cell).agg(F.sum(n_size).alias("load"), F.count(F.lit(1)).alias("n")).collect()
+    loads, first = sums(rows), owners(nodes, cells)
+    hot = heavy({r[n_cell]: r["load"] for r in loads}, {r[n_cell]: r["n"] for r in loads}, shards)
+    if hot:
+        # Rows of one key and text share a cell; a heavy one is dealt into SPLIT cells at its place.  The rows
+        # are written first, so that what a row is dealt by stays the same if an executor is lost.
+        rows = cut(rows.withColumn(n_part, F.pmod(F.monotonically_increasing_id(), F.lit(SPLIT)).cast("int")))
+        begin = F.create_map(*[x for k, c in enumerate(hot) for x in (F.lit(c), F.lit(cells + k * SPLIT))])
+        dealt = F.get(F.array(begin[F.col(n_cell)]), F.lit(0)) + F.col(n_part)
+        rows = rows.withColumn(n_cell, F.when(F.col(n_cell).isin(hot), dealt).otherwise(F.col(n_cell))).drop(n_part)
+        loads = [r for r in loads if r[n_cell] not in set(hot)] + sums(rows.filter(F.col(n_cell) >= cells))
+        first += [first[c] for c in hot for _ in range(SPLIT)]
+    where = place({r[n_cell]: r["load"] for r in loads}, nodes, first, shards, slack)
     offset = [0] * shards
     table = []
     for r in sorted(loads, key=lambda r: r[n_cell]):

@@ -16,7 +16,7 @@ from lattiq.llm import (
 public_tokenizers = pytest.importorskip("public_tokenizers")
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 LONG = "long " + " ".join(f"w{i}x{i % 31}" for i in range(40_000))
-CLASH = "key string, id string, doc string, row string, size string, shard string, slot string, kept string, n_words string, fail_bits string, __cell string, hit string, host string, verdict string"
+CLASH = "key string, id string, doc string, row string, size string, shard string, slot string, kept string, n_words string, fail_bits string, __cell string, hit string, host string, verdict string, __plan string, __gone string, __copies string, __start string, __part string"
 
 
 def some_docs(seed, n=60):
@@ -126,6 +126,47 @@ def test_decontamination(spark, empty):
     assert decontaminate.search(empty, bench).count() == 0 and decontaminate.search(docs, bench.limit(0)).count() == 0
 
 
+def brute_hits(rows, items):
+    """(document, item): the checks on every window against every item, without any search."""
+    texts = [decontaminate.normal_words((t or "").encode()) for _, t in items]
+    model = decontaminate.Model([i for i, _ in items], texts, [decontaminate._answer(w, None) if w else set() for w in texts])
+    out = set()
+    for d, t in rows:
+        w = decontaminate.normal_words((t or "").encode())
+        for k, item in enumerate(texts):
+            if item and len(set(item) & set(w)) >= decontaminate.POSSIBLE * len(set(item)):
+                for start in range(0, max(len(w), 1), decontaminate.STRIDE):
+                    share, answered = model.check(k, w, start)
+                    if share >= decontaminate.SURE or (share >= decontaminate.POSSIBLE and answered):
+                        out.add((d, items[k][0]))
+                        break
+    return out
+
+
+def test_search_finds_what_brute_force_finds(spark):
+    """Repeated rows, ties, very long texts, paraphrases and what only looks alike."""
+    draw = random.Random(21)
+    vocabulary = [f"w{i}" for i in range(800)]
+    items = [(i, " ".join(draw.choice(vocabulary) for _ in range(draw.choice([8, 15, 30, 60, 90])))) for i in range(25)]
+    items += [(100, items[0][1]), (101, items[1][1].upper())]
+    rows = []
+    for d in range(150):
+        w = [draw.choice(vocabulary) for _ in range(draw.randint(0, 250))]
+        planted = items[d % 25][1].split()
+        for k in range(len(planted)):
+            if draw.random() < (d % 7) / 10:
+                planted[k] = draw.choice(vocabulary)
+        if d % 3:
+            w[len(w) // 2 : len(w) // 2] = planted
+        rows.append((d, " ".join(w)))
+    rows += [rows[1], (500, " ".join(draw.choice(vocabulary) for _ in range(200_000)) + " " + items[3][1])]
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    got = [(r["key"], r["item"]) for r in decontaminate.search(frame(spark, [(*r, "en", "s", 0) for r in rows]), bench).collect()]
+    expected = brute_hits(rows, items)
+    assert set(got) <= expected and len(set(got)) >= 0.95 * len(expected) and (500, 3) in set(got)
+    assert sum(d == 1 for d, _ in got) == 2 * sum(d == 1 for d, _ in set(got))
+
+
 def test_many_items_are_all_found(spark):
     draw = random.Random(9)
     vocabulary = [f"v{i}" for i in range(6000)]
@@ -251,6 +292,31 @@ def test_marked_texts_are_encoded_whole():
         assert ids.tolist() == [*one, 2, *one] and n.tolist() == [len(one), 1, len(one)]
 
 
+def test_files_are_laid_out_for_selective_reads(spark, tmp_path):
+    import glob
+
+    import pyarrow.parquet as pq
+
+    docs = frame(spark, [(i, " ".join(f"w{i % 7}x{k}" for k in range(40)), "en", "s", 0) for i in range(6000)])
+    path = token_files.write(docs, str(tmp_path / "tokens"), TOKENIZER)
+    files = sorted(glob.glob(f"{path}/*.parquet"))
+    for f in files:
+        meta = pq.ParquetFile(f).metadata
+        assert meta.num_row_groups >= 1
+        for g in range(meta.num_row_groups):
+            group = {meta.row_group(g).column(c).path_in_schema.split(".")[0]: meta.row_group(g).column(c) for c in range(meta.num_columns)}
+            assert {"PLAIN_DICTIONARY", "RLE_DICTIONARY"} & set(group["ids"].encodings) and "DELTA_BINARY_PACKED" in group["doc_id"].encodings
+            assert "DELTA_BINARY_PACKED" in group["local_start"].encodings and all(c.has_column_index and c.has_offset_index for c in group.values())
+            assert group["ids"].total_compressed_size > 2 * group["n_tokens"].total_compressed_size
+    # A few documents, and metadata alone: the filter reaches the scan, and columns that are not asked for are not read.
+    read = token_files.read_files(spark, path)
+    few = read.filter(F.col("doc_id").between(100, 104)).select("doc_id", "ids")
+    plan = few._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(doc_id,100)" in plan and sorted(r["doc_id"] for r in few.collect()) == list(range(100, 105))
+    metadata = read.select("doc_id", "n_tokens")._jdf.queryExecution().executedPlan().toString()
+    assert "ids:array" not in metadata
+
+
 def test_long_texts_are_encoded_in_parts(monkeypatch):
     encoder, draw = token_files.Encoder(TOKENIZER), random.Random(8)
     texts = [" ".join(draw.choice(["word", "Ärger", "x,y", "don't", "12", "\t", "日本語", "<|endoftext|>" if k == 5 else "z"]) for _ in range(n)).encode() for k, n in enumerate((0, 1, 3, 400, 50, 300, 2, 999))]
@@ -266,7 +332,7 @@ def test_long_texts_are_encoded_in_parts(monkeypatch):
 def test_urls(spark):
     urls = [None, "", "no scheme", "http://", "HTTP://WWW.Example.com/en/1?q#f", "http://x.example.com/en/1", "http://a.net/es/", "http://net/fr/x", "http://notnet/fr/",
             "http://b.org/p/", "https://www.b.org:443/p?utm_source=x", "http://b.org/q?b=2&a=1", "http://b.org/q?a=1&b=2#z", "http://c.org/p", "http://c.org/p"]
-    pages = spark.createDataFrame(list(enumerate(urls)), "page_id int, url string").withColumns({"host": F.lit(1), "rule": F.lit(2)})
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id int, url string").withColumns({c: F.lit(1) for c in ("host", "rule", "__name", "__at", "__hit", "__salt", "__canonical")})
     listed = spark.createDataFrame([("http://b.org/p",), ("http://b.org/q?a=1&b=2",), (None,), ("",)], "u string")
     got = {r["page_id"]: r for r in url_filter.judge(pages, listed).collect()}
     assert len(got) == len(urls) and [got[k]["host_"] for k in (0, 2, 4)] == ["", "", "www.example.com"] and got[4]["path"] == "/en/1"
@@ -368,6 +434,19 @@ def test_secrets(spark, empty):
     assert secret_scan.scan(empty).count() == 0
 
 
+def test_added_spans_and_very_many_hits(spark):
+    more = [(n, re.compile(p), g, least) for n, p, g, least in secret_scan.MORE_KINDS]
+    texts = ["ghp_" + "A1b2" * 9 + " x Bearer " + "q8" * 15, "eyJabcdefgh.ABCDEFGHIJ.0123abcdef z", "-----BEGIN RSA PRIVATE KEY-----\nMIIa\nqq", "gho_" + "x" * 40, " ".join(f"token={i:06d}xyz" for i in range(3000))]
+    rows = [(i, t, "en", f"s{i}", 0) for i, t in enumerate(texts)]
+    got = {r["key"]: r for r in secret_scan.digest(secret_scan.scan(frame(spark, rows))).collect()}
+    for d, t, *_ in rows:
+        spans = [(m.start(), k, m.end(), n) for k, (n, p, g, least) in enumerate([(n, re.compile(p), g, least) for n, p, g, least in secret_scan.KINDS]) for m in p.finditer(t) if len(m.group(g)) >= least]
+        live = lambda v: not re.search(secret_scan.PLACEHOLDER, v)
+        spans += [(m.start(), 3 + k, m.end(), n) for k, (n, p, g, least) in enumerate(more) for m in p.finditer(t) if len(m.group(g)) >= least and live(m.group(g))]
+        assert got[d]["spans"] == ",".join(f"{n}:{a}:{b}" for a, _, b, n in sorted(spans))
+    assert got[4]["n_assign"] == 3000 and "forge" not in got[3]["spans"]
+
+
 def test_widely_copied_values_are_examples(spark):
     rows = [(i, "token=" + "Qz81" * 8, "en", f"s{i}", 0) for i in range(20)] + [(50, "token=" + "Kp37" * 8, "en", "s1", 0)]
     got = {r["key"]: (r["n_live"], r["n_example"]) for r in secret_scan.scan(frame(spark, rows)).collect()}
@@ -399,6 +478,51 @@ def test_sharding(spark, awkward, empty):
     assert sharding.shard(empty).count() == 0
 
 
+def brute_shards(rows, shards):
+    """The walk, one cell after another, in plain Python; cells are told by Spark's hash."""
+    nodes = sharding.ring(shards)
+    places = [p for p, _ in nodes]
+    cells = {}
+    for cell, size in rows:
+        cells.setdefault(cell, []).append(size)
+    limit, held, out = 1.0005 * sum(s for _, s in rows) / shards, [0] * shards, {}
+    for cell in sorted(cells, key=lambda c: (-sum(cells[c]), c)):
+        load, spot = sum(cells[cell]), cell * (sharding.RING // sharding.CELLS)
+        start = next((k for k, p in enumerate(places) if p >= spot), 0)
+        walk = [nodes[(start + k) % len(nodes)][1] for k in range(len(nodes))]
+        fits = [s for s in walk if held[s] + load <= limit]
+        out[cell] = fits[0] if fits else min(dict.fromkeys(walk), key=lambda s: held[s])
+        held[out[cell]] += load
+    return out
+
+
+def test_shards_follow_the_walk(spark):
+    texts = [None, "", "ä" * 40, *["x" * (i * 37 % 400) for i in range(600)]]
+    docs = frame(spark, [(i if i % 50 else i // 50, t, "en", "s", 0) for i, t in enumerate(texts)])
+    got = sharding.shard(docs, shards=5).collect()
+    sizes = sorted((len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for t in texts)
+    assert sorted((r["size"], r["text_crc32"]) for r in got) == sizes
+    spots = spark.createDataFrame([(r["key"], r["text_crc32"], r["size"]) for r in got], "k bigint, c bigint, s bigint")
+    cells = [r[0] for r in spots.select(F.floor(F.pmod(F.xxhash64("k", "c", "s"), F.lit(sharding.RING)) / (sharding.RING // sharding.CELLS)).cast("int")).collect()]
+    expected = brute_shards([(c, r["size"]) for c, r in zip(cells, got, strict=True)], 5)
+    assert all(r["shard"] == expected[c] for c, r in zip(cells, got, strict=True))
+    slots = {}
+    for r in got:
+        slots.setdefault(r["shard"], []).append(r["slot"])
+    assert all(sorted(v) == list(range(len(v))) for v in slots.values())
+
+
+def test_a_heavy_cell_is_split(spark):
+    rows = [(7, "hot " * 20, "en", "s", 0)] * 3000 + [(i + 100, "x" * (i % 90), "en", "s", 0) for i in range(3000)]
+    for got in (sharding.shard(frame(spark, rows)).collect(), sharding.shard(frame(spark, rows), keep=True).collect()):
+        per = {}
+        for r in got:
+            size = r["size"] if "size" in r.__fields__ else len(r["text"]) + 1
+            per.setdefault(r["shard"], []).append((r["slot"], size))
+        loads = [sum(z for _, z in v) for v in per.values()]
+        assert len(got) == 6000 and max(loads) <= 1.05 * sum(loads) / 16 and all(sorted(s for s, _ in v) == list(range(len(v))) for v in per.values())
+
+
 def test_one_more_shard_moves_little():
     draw = random.Random(2)
     loads = {c: draw.randint(1, 1000) for c in range(sharding.CELLS)}
