@@ -67,8 +67,8 @@ BLOCK = 256
 FEW = 4096
 LOT = 20_000
 CHUNK_BYTES = 4 << 20
-SENT_BYTES = 32 << 20
-ENTRIES = 1 << 20
+SENT_BYTES = 16 << 20
+ENTRIES = 1 << 19
 BUCKETS_PER_PARTITION = 3
 _ENTRY = {"word": "<u4", "bits": "<u8", "rest": "<u4", "n": "<u4", "place": "<u4"}
 _HASHES = ("word", "bits", "rest")
