@@ -148,15 +148,23 @@ def view(m: Column, row: int, col: int, rows: int, cols: int, row_step: int = 1,
     return F.when(fits, matrix(rows, cols, F.array(*at))).otherwise(F.raise_error(F.lit("view out of bounds")))
 
 
-def update_view(m: Column, kernel: Callable[[Column], Column], row: int, col: int, rows: int, cols: int, row_step: int = 1, col_step: int = 1) -> Column:
-    """The matrix with ``kernel`` applied to the elements of a view (what writing through it gives)."""
-    r = lambda k: F.floor(k / m["cols"]).cast("int")
-    c = lambda k: k % m["cols"]
+def update_view(m: Column, kernel: Callable[..., Column], row: int, col: int, rows: int, cols: int, row_step: int = 1, col_step: int = 1, other: Column | None = None) -> Column:
+    """The matrix with ``kernel`` applied to the elements of a view (what writing through it gives).
+
+    With ``other``, a matrix of the view's shape (a view or not), the kernel takes
+    its element at the same place too; another shape is an error.
+    """
+    r = lambda k: F.floor(k / m["cols"]).cast("int") - row
+    c = lambda k: (k % m["cols"]) - col
     inside = lambda k: (
-        (r(k) >= row) & (r(k) <= row + (rows - 1) * row_step) & ((r(k) - row) % row_step == 0)
-        & (c(k) >= col) & (c(k) <= col + (cols - 1) * col_step) & ((c(k) - col) % col_step == 0)
+        (r(k) >= 0) & (r(k) <= (rows - 1) * row_step) & (r(k) % row_step == 0) & (c(k) >= 0) & (c(k) <= (cols - 1) * col_step) & (c(k) % col_step == 0)
     )
-    return on_matrix(lambda d: F.transform(d, lambda x, k: F.when(inside(k), kernel(x)).otherwise(x)), m)
+    if other is None:
+        return on_matrix(lambda d: F.transform(d, lambda x, k: F.when(inside(k), kernel(x)).otherwise(x)), m)
+    at = lambda k: F.get(other["data"], F.floor(r(k) / row_step).cast("int") * cols + F.floor(c(k) / col_step).cast("int"))
+    fits = (other["rows"] == rows) & (other["cols"] == cols)
+    data = F.transform(m["data"], lambda x, k: F.when(inside(k), kernel(x, at(k))).otherwise(x))
+    return matrix(m["rows"], m["cols"], F.when(fits, data).otherwise(F.raise_error(F.lit("dimensions differ"))))
 
 
 def total(v: Column, start: Column | None = None) -> Column:
@@ -421,3 +429,30 @@ def apply_pivot(v: Column, p: Column) -> Column:
 def apply_inverse_pivot(v: Column, p: Column) -> Column:
     """Gather: out[i] = v[p[i]]."""
     return same_dim(v, p, F.transform(p, lambda k: F.get(v, k)))
+
+
+def _moved(m: Column, p: Column, inverse: bool, by_rows: bool) -> Column:
+    """Rows or columns of a packed matrix in the order of a pivot."""
+    rows, cols = m["rows"], m["cols"]
+    source = p if inverse else inverse_pivot(p)
+
+    def turn(of: Column) -> Column:
+        at = lambda k: F.get(of, F.floor(k / cols).cast("int")) * cols + k % cols if by_rows else F.floor(k / cols).cast("int") * cols + F.get(of, k % cols)
+        return F.transform(m["data"], lambda _, k: F.get(m["data"], at(k)))
+
+    fits = F.size(p) == (rows if by_rows else cols)
+    return matrix(rows, cols, F.when(fits, let(source, turn)).otherwise(F.raise_error(F.lit("dimensions differ"))))
+
+
+def apply_pivot_rows(m: Column, p: Column, inverse: bool = False) -> Column:
+    """Scatter: row i goes to place p[i]; with ``inverse``, gather: row i is row p[i]."""
+    return _moved(m, p, inverse, True)
+
+
+def apply_pivot_columns(m: Column, p: Column, inverse: bool = False) -> Column:
+    return _moved(m, p, inverse, False)
+
+
+def copy_to(v: Column, target: Column) -> Column:
+    """What ``target`` holds after ``v`` is copied into it: an error if their sizes differ."""
+    return same_dim(v, target, v)

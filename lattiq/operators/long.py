@@ -8,17 +8,27 @@ predicates see every entry.
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lattiq.functions import kernels as K
 
 BROADCAST_ROWS = 100_000
+BINS = 4096
+
+
+def _is_small(df: DataFrame) -> bool:
+    return df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
 
 
 def _small(df: DataFrame) -> DataFrame:
     """Marked for broadcast if a count proves it small."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+    return F.broadcast(df) if _is_small(df) else df
 
 
 def explode_vectors(df: DataFrame, key: str = "id", v: str = "v") -> DataFrame:
@@ -48,11 +58,16 @@ def transpose(coo: DataFrame) -> DataFrame:
 
 
 def matmul(a: DataFrame, b: DataFrame, transpose_a: bool = False, t: str = "double") -> DataFrame:
-    """A B, or A' B without forming A'.  For an integer type the sums wrap to it."""
+    """A B, or A' B without forming A'.  For an integer type the sums wrap to it.
+
+    A side that a count proves small is broadcast, so the other one is not
+    shuffled by the contracted index, which may have few values.
+    """
     i, k = ("c", "r") if transpose_a else ("r", "c")
     left = a.select(F.col(i).alias("r"), F.col(k).alias("__k"), F.col("v").alias("__x"))
     right = b.select(F.col("r").alias("__k"), "c", F.col("v").alias("__y"))
-    return left.join(right, "__k").groupBy("r", "c").agg(_sum(F.col("__x"), F.col("__y"), t).alias("v"))
+    joined = left.join(F.broadcast(right), "__k") if _is_small(right) else (F.broadcast(left) if _is_small(left) else left).join(right, "__k")
+    return joined.groupBy("r", "c").agg(_sum(F.col("__x"), F.col("__y"), t).alias("v"))
 
 
 def _sum(x: Column, y: Column, t: str) -> Column:
@@ -65,25 +80,38 @@ def _sum(x: Column, y: Column, t: str) -> Column:
 def gram(rows: DataFrame, v: str = "v") -> DataFrame:
     """A' A of one array a row, as (r, c, v): no join, one aggregate.
 
-    Rows give products of the upper half, which are summed before the shuffle;
-    at most (columns squared) values leave a task.
+    Each task multiplies its rows, a batch at a time, and hands over one matrix
+    of (columns squared) values; null rows count as absent, rows of different
+    lengths are an error.
     """
-    pairs = F.flatten(
-        F.transform(v, lambda x, i: F.transform(F.slice(v, i + 1, F.size(v)), lambda y, j: F.struct(i.alias("r"), (i + j).alias("c"), (x * y).alias("p"))))
-    )
-    half = rows.select(F.explode(pairs).alias("e")).groupBy("e.r", "e.c").agg(F.sum("e.p").alias("v"))
-    return half.unionByName(half.filter("r <> c").select(F.col("c").alias("r"), F.col("r").alias("c"), "v"))
-
 
-def matvec(a: DataFrame, x: DataFrame) -> DataFrame:
-    """A x as (i, v), from (r, c, v) and (i, v)."""
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            column = batch.column(0).drop_null()
+            if not len(column):
+                continue
+            n = np.unique(column.value_lengths().to_numpy())
+            if len(n) > 1 or (total is not None and len(total) != n[0]):
+                raise ValueError("rows differ in length")
+            x = column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), int(n[0]))
+            total = x.T @ x if total is None else total + x.T @ x
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total)), pa.int32()), pa.array(list(total), pa.list_(pa.float64()))], names=["r", "row"])
+
+    partial = rows.select(F.col(v).cast("array<double>").alias("v")).mapInArrow(multiply, "r int, row array<double>")
+    return partial.select("r", F.posexplode("row").alias("c", "p")).groupBy("r", "c").agg(F.sum("p").alias("v"))
+
+
+def matvec(a: DataFrame, x: DataFrame, t: str = "double") -> DataFrame:
+    """A x as (i, v), from (r, c, v) and (i, v).  For an integer type the sums wrap to it."""
     side = _small(x.select(F.col("i").alias("c"), F.col("v").alias("__x")))
-    return a.join(side, "c").groupBy(F.col("r").alias("i")).agg(F.sum(F.col("v") * F.col("__x")).alias("v"))
+    return a.join(side, "c").groupBy(F.col("r").alias("i")).agg(_sum(F.col("v"), F.col("__x"), t).alias("v"))
 
 
-def vecmat(y: DataFrame, a: DataFrame) -> DataFrame:
+def vecmat(y: DataFrame, a: DataFrame, t: str = "double") -> DataFrame:
     """y' A as (i, v)."""
-    return matvec(transpose(a), y)
+    return matvec(transpose(a), y, t)
 
 
 def dot(a: DataFrame, b: DataFrame, start: int = 0, end: int | None = None) -> DataFrame:
@@ -116,20 +144,25 @@ def select(a: DataFrame, b: DataFrame, mask: DataFrame) -> DataFrame:
     return a.join(y, ["r", "c"]).join(m, ["r", "c"]).select("r", "c", F.when(F.col("__m"), F.col("__y")).otherwise(F.col("v")).alias("v"))
 
 
+def reduced(a: DataFrame, axis: str = "r") -> DataFrame:
+    """(i, sum, mean) of the rows ("r") or columns ("c"), in one aggregate."""
+    return a.groupBy(F.col(axis).alias("i")).agg(F.sum("v").alias("sum"), F.avg("v").alias("mean"))
+
+
 def row_sum(a: DataFrame) -> DataFrame:
-    return a.groupBy(F.col("r").alias("i")).agg(F.sum("v").alias("v"))
+    return reduced(a).select("i", F.col("sum").alias("v"))
 
 
 def col_sum(a: DataFrame) -> DataFrame:
-    return row_sum(transpose(a))
+    return reduced(a, "c").select("i", F.col("sum").alias("v"))
 
 
 def row_mean(a: DataFrame) -> DataFrame:
-    return a.groupBy(F.col("r").alias("i")).agg(F.avg("v").alias("v"))
+    return reduced(a).select("i", F.col("mean").alias("v"))
 
 
 def col_mean(a: DataFrame) -> DataFrame:
-    return row_mean(transpose(a))
+    return reduced(a, "c").select("i", F.col("mean").alias("v"))
 
 
 def stats(df: DataFrame, value: str, *keys: str) -> DataFrame:
@@ -142,27 +175,56 @@ def stats(df: DataFrame, value: str, *keys: str) -> DataFrame:
 
 
 def order_stats(df: DataFrame, value: str, *keys: str) -> DataFrame:
-    """median, q1, q3 per group, exactly, by counting distinct values.
+    """median, q1, q3 per group, exactly.
 
-    A group is reduced to its distinct values first; places come from a running
-    count over them, so no task holds the group's elements.
+    A group's range is cut into BINS bins, whose elements are counted with
+    map-side combining; running counts over at most BINS rows a group tell which
+    bins hold the wanted places, and only the distinct values in those are put in
+    order.  Null elements don't count; NaN is larger than all else; a group
+    without elements has nulls.
     """
     from pyspark.sql import Window
 
-    counted = df.groupBy(*keys, F.col(value).cast("double").alias("x")).agg(F.count(F.lit(1)).alias("n"))
-    by = Window.partitionBy(*keys)
-    upto = by.orderBy("x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = counted.withColumns({"last": F.sum("n").over(upto), "size": F.sum("n").over(by)})
-    at = lambda place: F.max(F.when((F.col("last") - F.col("n") <= place) & (F.col("last") > place), F.col("x")))
-    n = F.col("size")
+    names = [f"__k{i}" for i in range(len(keys))]
+    x = F.col("__x")
+    rows = df.select(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)], F.col(value).cast("double").alias("__x")).filter("__x IS NOT NULL")
+    finite = F.when(~F.isnan(x) & (F.abs(x) != K.INF), x)
+    spread = rows.groupBy(*names).agg(F.min(finite).alias("__lo"), F.max(finite).alias("__hi"), F.count(x).alias("__n"))
+    rows = _matched(rows, spread, names)
+    share = F.when(F.col("__hi") > F.col("__lo"), (x - F.col("__lo")) / (F.col("__hi") - F.col("__lo"))).otherwise(F.lit(0.0))
+    inside = F.least(F.floor(share * BINS), F.lit(BINS - 1))
+    bin_ = F.when(F.isnan(x), BINS + 1).when(x == K.INF, BINS).when(x == -K.INF, -1).otherwise(inside).cast("int")
+    rows = rows.withColumn("__bin", bin_)
+    n = F.col("__n")
     mid = F.floor(n / 2)
     half = F.floor(mid / 2)
     pairs = {
-        "median": F.array(F.when(n % 2 == 1, mid).otherwise(mid - 1), mid),
-        "q1": F.when(n % 2 == 1, F.array(half, half)).when(n == 2, F.array(F.lit(0), F.lit(0))).otherwise(F.array(half - 1, half)),
-        "q3": F.when(n % 2 == 1, F.array(mid + half, mid + half)).when(n == 2, F.array(F.lit(1), F.lit(1))).otherwise(F.array(mid + half - 1, mid + half)),
+        "median": (F.when(n % 2 == 1, mid).otherwise(mid - 1), mid),
+        "q1": (F.when(n % 2 == 1, half).when(n == 2, 0).otherwise(half - 1), F.when(n == 2, 0).otherwise(half)),
+        "q3": (F.when(n % 2 == 1, mid + half).when(n == 2, 1).otherwise(mid + half - 1), F.when(n == 2, 1).otherwise(mid + half)),
     }
-    return placed.groupBy(*keys).agg(*[((at(p[0]) + at(p[1])) / 2).alias(name) for name, p in pairs.items()])
+    places = F.array(*[p.cast("bigint") for pair in pairs.values() for p in pair])
+    upto = lambda by: Window.partitionBy(*names).orderBy(by).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    bins = rows.groupBy(*names, "__n", "__bin").agg(F.count(x).alias("__c"))
+    bins = bins.withColumn("__end", F.sum("__c").over(upto("__bin"))).withColumn("__start", F.col("__end") - F.col("__c"))
+    wanted = bins.filter(F.exists(places, lambda p: (p >= F.col("__start")) & (p < F.col("__end"))))
+    near = _matched(rows.drop("__n"), wanted.select(*names, "__n", "__bin", "__start"), [*names, "__bin"])
+    counted = near.groupBy(*names, "__n", "__bin", "__start", "__x").agg(F.count(x).alias("__c"))
+    within = Window.partitionBy(*names, "__bin").orderBy("__x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = counted.withColumn("__end", F.col("__start") + F.sum("__c").over(within))
+    at = lambda p: F.max(F.when((F.col("__end") - F.col("__c") <= p) & (F.col("__end") > p), x))
+    found = placed.groupBy(*names, "__n").agg(*[((at(p[0]) + at(p[1])) / 2).alias(name) for name, p in pairs.items()])
+    groups = df.select(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)]).distinct() if keys else None
+    found = found.drop("__n") if groups is None else _matched(groups, found.drop("__n"), names, "left")
+    return found.select(*[F.col(n).alias(k) for k, n in zip(keys, names, strict=True)], *pairs)
+
+
+def _matched(rows: DataFrame, per: DataFrame, names: list[str], how: str = "inner") -> DataFrame:
+    """``rows`` with the columns of ``per``, whose rows are named by ``names``; nulls match nulls."""
+    other = _small(per.select(*[F.col(c).alias(f"{c}_of") if c in names else F.col(c) for c in per.columns]))
+    same = functools.reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"{c}_of")) for c in names], F.lit(True))
+    joined = rows.join(other, same, how) if names else rows.crossJoin(other)  # one row where there are no names
+    return joined.drop(*[f"{c}_of" for c in names])
 
 
 def norms(df: DataFrame, value: str, *keys: str, p: float = 3.0) -> DataFrame:

@@ -44,3 +44,16 @@ def mask_spy(m: Column, show: bool = True) -> Column:
 
 def pivot_log(p: Column) -> Column:
     return F.array_join(F.transform(p, lambda i: i.cast("string")), "")
+
+
+#: Labels of the fields of a statistics struct, in order of the text form (fixed values).
+STATS = (
+    ("Mean", "mean"), ("Min", "min"), ("Max", "max"), ("Range", "range"), ("Median", "median"), ("StdDev", "std_dev"),
+    ("Variance", "variance"), ("IQR", "iqr"), ("Q1", "q1"), ("Q3", "q3"),
+)
+
+
+def stats_log(s: Column) -> Column:
+    """The text form of a statistics struct (``V.full_stats``); numbers as Spark writes them."""
+    field = lambda name: s["q3"] - s["q1"] if name == "iqr" else s[name]
+    return F.concat_ws(", ", *[F.concat(F.lit(f"{label}: "), field(name).cast("string")) for label, name in STATS])

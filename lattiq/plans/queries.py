@@ -134,6 +134,7 @@ def tables(V, F, G, P, K, cells, scalars, family, made) -> None:  # noqa: N803
     family(("cmpv", "cmpm"), _COMPARE, (v, w), (mv, mw), ("vector_comparison", "matrix_comparison"), "bool")
 
     whole = [(lambda a, f=getattr(V, n): f(a, 7, "vs", "int"), f"p {o} 7", 1) for n, o in (("lt", "<"), ("gt", ">"), ("le", "<="), ("ge", ">="), ("eq", "="), ("ne", "<>"))]
+    whole += [(lambda a, f=getattr(V, n): f(7, a, "sv", "int"), f"7 {o} p", 1) for n, o in (("lt", "<"), ("gt", ">"), ("le", "<="), ("ge", ">="), ("eq", "="), ("ne", "<>"))]
     whole += [(lambda x, y, f=getattr(V, n): f(x, y, t="int"), f"p {o} q", 2) for n, o in (("lt", "<"), ("gt", ">"), ("le", "<="), ("ge", ">="), ("eq", "="), ("ne", "<>"))]
     family(("twv", "twm"), whole, (p, q), (mp, mq), ("vector_comparison_int", "matrix_comparison_int"), "bool")
     single = lambda x: x.cast("array<float>")
@@ -306,7 +307,90 @@ def tables(V, F, G, P, K, cells, scalars, family, made) -> None:  # noqa: N803
         "src32": (G.rotation(8, 1, 6, 0.5)["data"], "CASE WHEN i IN (9, 54) THEN cos(0.5) WHEN i = 14 THEN -sin(0.5) WHEN i = 49 THEN sin(0.5) WHEN i % 9 = 0 THEN 1 ELSE 0 END"),
         "src33": (G.permutation(8, 2, 5)["data"], "CASE WHEN i // 8 = 2 THEN (i % 8 = 5)::INT WHEN i // 8 = 5 THEN (i % 8 = 2)::INT ELSE (i % 9 = 0)::INT END"),
         "src34": (G.householder(G.index(8, 1))["data"], "(i % 9 = 0)::INT - 2 * (i // 8 + 1) * (i % 8 + 1) / 204.0::DOUBLE"), "src35": (G.hilbert(8)["data"], "1.0::DOUBLE / (i // 8 + i % 8 + 1)"),
-        "src37": (G.linspace(64, 0, 100, "int").cast("array<double>"), "trunc(i / 63.0::DOUBLE * 100)"),
+        "src37": (G.linspace(64, 0, 100, "int").cast("array<double>"), "trunc(i / 63.0::DOUBLE * 100)"), "src3": (G.mat_zeros(8)["data"], "0"),
+        "src52": (G.zeros(64), "0"), "sol15": (G.householder_update(G.identity(8), G.index(8, 1))["data"], "(i % 9 = 0)::INT - 2 * (i // 8 + 1) * (i % 8 + 1) / 204.0::DOUBLE"),
+    })
+    made(lambda: {
+        "tw13": (G.zeros(64, "int"), "0"), "tw14": (G.full(64, 7, "int"), "7"), "tw18": (G.mat_zeros(8, t="int")["data"], "0"), "tw19": (G.mat_zeros(8, 8, "int")["data"], "0"),
+        "tw20": (G.mat_full(8, 8, 5, "int")["data"], "5"), "tw31": (G.index(64, 0, "int"), "i"), "tw32": (G.index(64, 1, "int"), "i + 1"), "tw33": (G.basis(64, 5, "int"), "(i = 5)::INT"),
+        "tw34": (G.identity(8, "int")["data"], "(i % 9 = 0)::INT"), "tw35": (G.diagonal(8, 3, "int")["data"], "CASE WHEN i % 9 = 0 THEN 3 ELSE 0 END"),
+        "tw36": (G.diagonal_of(G.index(8, 1, "int"), "int")["data"], "CASE WHEN i % 9 = 0 THEN i // 9 + 1 ELSE 0 END"), "tw37": (G.mat_index(8, 8, 0, "int")["data"], "i"),
+        "tw38": (G.mat_index(8, 8, 1, "int")["data"], "i + 1"),
+        "src41": (G.permutation(8, 2, 5, "int")["data"], "CASE WHEN i // 8 = 2 THEN (i % 8 = 5)::INT WHEN i // 8 = 5 THEN (i % 8 = 2)::INT ELSE (i % 9 = 0)::INT END"),
+    }, "factories_int", "int")
+    made(lambda: {"src7": (G.falses(64), "FALSE"), "src8": (G.mat_falses(8, 8)["data"], "FALSE"), "src10": (G.falses(64), "FALSE"), "src11": (G.mat_falses(8, 8)["data"], "FALSE")}, "factories_bool", "bool")
+    unit = lambda seed, i="i": f"(('0x' || substr(md5('{seed}:' || ({i})), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0::DOUBLE)"
+    made(lambda: {
+        "src21": (G.random_unit(64), f"(-1 + 2 * {unit(34215)}) / sqrt(sum((-1 + 2 * {unit(34215)}) * (-1 + 2 * {unit(34215)})) OVER ())"), "src22": (G.random(64, -2, 3), f"-2 + 5 * {unit(34215)}"),
+        "src29": (G.mat_random(8, 8)["data"], f"-1 + 2 * {unit(121312)}"), "src30": (G.random_diagonal(8, 1, 2)["data"], f"CASE WHEN i % 9 = 0 THEN 1 + {unit(65792, 'i // 9')} ELSE 0 END"),
+        "src31": (G.mat_random(8, 8, 2, 4, 5)["data"], f"2 + 2 * {unit(5)}"),
+        "src36": (G.random(64, -5, 5, t="int").cast("array<double>"), f"floor(-5 + 10 * {unit(34215)})"), "src38": (G.mat_random(8, 8, -9, 9, 3, "int")["data"].cast("array<double>"), f"floor(-9 + 18 * {unit(3)})"),
+        "src39": (G.random(64, 5, -5, 2, "int").cast("array<double>"), f"floor(-5 + 10 * {unit(2)})"), "src40": (G.random_diagonal(8, 0, 9, 4, "int")["data"].cast("array<double>"), f"CASE WHEN i % 9 = 0 THEN floor(9 * {unit(4, 'i // 9')}) ELSE 0 END"),
+    }, "random_factories")
+    made(lambda: {"src42": (G.random_bool(64), f"{unit(34215)} < 0.5"), "src43": (G.mat_random_bool(8, 8)["data"], f"{unit(121312)} < 0.5")}, "random_factories_bool", "bool")
+
+    # Copies, pivots and packed permutations of every type.
+    places = lambda n: V.map1(lambda i: F.pmod(i * 5 + 3, F.lit(n)).cast("int"), V.pivot(n))
+    _list = "list({}) OVER (PARTITION BY id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)[{} + 1]"
+    back = "((({} + 5) * 5) % 8)"  # where the pivot of eight takes its entries from
+    there = "(({} * 5 + 3) % 8)"
+    for _t, _vec, _mtx, _name, _ids in (
+        ("float", v, mv, "x", ("piv8", "piv9", "piv10", "piv11", "piv12", "piv15", "piv16", "piv5")), ("int", p, mp, "p", ("tw178", "tw179", "tw180", "tw181", "tw182", "tw185", "tw186", "tw142")),
+        ("smallint", p, mp, "p", ("tw187", "tw188", "tw189", "tw190", "tw191", "tw194", "tw195", "src14")), ("bigint", p, mp, "p", ("tw196", "tw197", "tw198", "tw199", "tw200", "tw203", "tw204", "src15")),
+        ("bool", b, mb, "b", ("tw205", "tw206", "tw207", "tw208", "tw209", "tw212", "tw213", "src13")),
+    ):
+        _as = (lambda x: x) if _t in ("float", "bool") else (lambda x, t=_t: x.cast(f"array<{t}>"))
+        _pivoted = lambda _vec=_vec, _mtx=_mtx, _as=_as, _name=_name, _ids=_ids: dict(zip(_ids, [
+            (V.apply_pivot(_as(_vec), places(64)), _list.format(_name, "((i - 3 + 64) * 13) % 64")),
+            *[
+                (f(V.matrix(8, 8, _as(_mtx["data"])), places(8), inverse)["data"], _list.format(_name, at))
+                for f, inverse, at in (
+                    (V.apply_pivot_rows, False, back.format("i // 8") + " * 8 + i % 8"), (V.apply_pivot_columns, False, "i // 8 * 8 + " + back.format("i % 8")),
+                    (V.apply_pivot_rows, False, back.format("(i // 8)") + " * 8 + i % 8"), (V.apply_pivot_columns, False, "i // 8 * 8 + " + back.format("(i % 8)")),
+                    (V.apply_pivot_rows, True, there.format("(i // 8)") + " * 8 + i % 8"), (V.apply_pivot_columns, True, "i // 8 * 8 + " + there.format("(i % 8)")),
+                )
+            ],
+            (V.copy_to(_as(_vec), V.set_all(_vec, 0)), _name),
+        ], strict=True))
+        cells("pivots_packed" + ("" if _t == "float" else f"_{_t}"), _t, _pivoted)
+    cells("outer_product_int", "int", lambda: {"dot9": (V.outer(F.slice(p, 1, 8), F.slice(q, 1, 8), "int")["data"], _list.format("p", "i // 8") + " * " + _list.format("q", "i % 8"))})
+    cells("view_with_view", "bool", lambda: {
+        "prj13": (V.update_view(mb, K.b_or, 1, 2, 3, 3, 2, 2, V.view(mc, 0, 1, 3, 3, 2, 2))["data"], f"b OR (i // 8 IN (1, 3, 5) AND i % 8 IN (2, 4, 6) AND {_list.format('c', 'greatest(i - 9, 0)')})"),
+        "prj14": (V.update_view(mb, K.b_or, 0, 0, 8, 8, 1, 1, mc)["data"], "b OR c"),
+    })
+    at = lambda name, k: f"max({name}) FILTER (i = {k})" if name != "b" else f"bool_or(b) FILTER (i = {k})"
+    for _t, _vec, _mtx, _name, _first in (("int", p, mp, "p", 123), ("bool", b, mb, "b", 131)):
+        _reads = ((V.element, _vec, (5,), 5), (V.from_end, _vec, (0,), 63), (V.element, None, (9,), 9), (V.from_end, None, (9,), 54), (V.cell, _mtx, (2, 3), 19), (V.cell, _mtx, (2, 1, False, True), 22), (V.cell, _mtx, (1, 3, True), 51), (V.cell, _mtx, (0, 0, True, True), 63))
+        scalars(f"element_access_{_t}", lambda _reads=_reads, _mtx=_mtx, _name=_name, _first=_first, _t=_t: {
+            f"tw{_first + k}": (f(_mtx["data"] if of is None else of, *args), at(_name, cell), _t) for k, (f, of, args, cell) in enumerate(_reads)
+        })
+    small = lambda n: [V.element(v, k) for k in range(n)]
+    scalars("conversions", lambda: {
+        "src44": (V.element(G.from_columns(*small(2)), 1), "max(x) FILTER (i = 1)", "float"), "src46": (V.total(G.from_columns(*small(4))), "sum(x) FILTER (i < 4)", "float"),
+        "src48": (V.cell(G.from_column_major(3, *small(9)), 1, 2), "max(x) FILTER (i = 7)", "float"), "src49": (V.cell(G.from_column_major(4, *small(16)), 3, 1), "max(x) FILTER (i = 7)", "float"),
+    })
+
+    # Exact predicates: on even ids a matrix has the property, on odd ones it is as it comes.
+    even = F.col("id") % 2 == 0
+    shaped = lambda keep: V.on_matrix(lambda d: F.transform(d, lambda x, k: F.when(~even | keep(F.floor(k / 8), k % 8), x).otherwise(0.0)), mv)
+    ones = V.on_matrix(lambda d: F.transform(d, lambda x, k: F.when(~even, x).when(k % 9 == 0, 1.0).otherwise(0.0)), mv)
+    mirror = V.on_matrix(lambda d: F.transform(d, lambda x, k: F.when(~even | (F.floor(k / 8) <= k % 8), x).otherwise(F.get(d, (k % 8) * 8 + F.floor(k / 8).cast("int")))), mv)
+    zero = "bool_and((CASE WHEN id % 2 = 0 THEN 0 ELSE x END) = 0) FILTER ({})"
+    _xs = "list(x ORDER BY i)"
+    scalars("exact_predicates", lambda: {
+        "anl9": (V.is_identity(ones), "bool_and((CASE WHEN id % 2 = 0 THEN (i % 9 = 0)::INT ELSE x END) = (i % 9 = 0)::INT)", "bool"), "anl13": (V.is_diagonal(shaped(lambda r, c: r == c)), zero.format("i % 9 <> 0"), "bool"),
+        "anl15": (V.is_upper_triangular(shaped(lambda r, c: r <= c)), zero.format("i % 8 < i // 8"), "bool"), "anl17": (V.is_lower_triangular(shaped(lambda r, c: r >= c)), zero.format("i % 8 > i // 8"), "bool"),
+        "anl11": (V.is_symmetric(mirror), f"bool_and(id % 2 = 0) OR list_bool_and(list_transform(range(64), lambda k: {_xs}[k + 1] = {_xs}[(k % 8) * 8 + k // 8 + 1]))", "bool"),
+    })
+
+    # Printing: three and five places, as many decimals as are left.
+    places_of = lambda x, n, sign: "CASE " + " ".join(f"WHEN abs({x}) < {10 ** k} THEN printf('%{sign}.{n - k}f', {x})" for k in range(1, n)) + f" ELSE printf('%{sign}.0f', {x}) END"
+    scalars("printing", lambda: {
+        "snk1": (P.vector_log(p), f"'dim 64, L2 ' || {places_of('sqrt(sum(p * p))', 6, '')} || ': ' || string_agg({places_of('p::DOUBLE', 3, '+')}, ' ' ORDER BY i)", "text"),
+        "snk2": (P.matrix_log(mp), f"string_agg({places_of('p::DOUBLE', 5, '')} || CASE WHEN i = 63 THEN '' WHEN i % 8 = 7 THEN chr(10) ELSE ' ' END, '' ORDER BY i)", "text"),
+        "snk3": (P.spy(mv), "string_agg(CASE WHEN abs(x) >= 0.01 THEN 'X' ELSE ' ' END || CASE WHEN i = 63 THEN '' WHEN i % 8 = 7 THEN chr(10) ELSE ' ' END, '' ORDER BY i)", "text"),
+        "snk7": (P.pivot_log(places(64)), "string_agg(((i * 5 + 3) % 64)::VARCHAR, '' ORDER BY i)", "text"),
+        "tw216": (P.stats_log(V.full_stats(F.transform(F.slice(v, 1, 4), lambda x: F.round(x * 0, 1) + 2.5))), "'Mean: 2.5, Min: 2.5, Max: 2.5, Range: 0.0, Median: 2.5, StdDev: 0.0, Variance: 0.0, IQR: 0.0, Q1: 2.5, Q3: 2.5'", "text"),
     })
 
 
@@ -333,7 +417,7 @@ def _collect(*modules) -> dict[str, tuple[str, str, Made, bool]]:
         cells(names[0], kind, lambda: apart)
         cells(names[1], kind, lambda: whole_, matrix=True)
 
-    tables(*modules, cells, scalars, family, lambda columns: found.update(factories=("made", "float", columns, False)))
+    tables(*modules, cells, scalars, family, lambda columns, name="factories", kind="float": found.update({name: ("made", kind, columns, False)}))
     return found
 
 
@@ -378,7 +462,8 @@ for _name, (_form, _kind, _make, _matrix) in _collect(*[Stub()] * 5).items():
     elif _form == "cells":
         ORACLE_SQL[_name] = f"{CELLS}SELECT id, i, " + ", ".join(f"{_FORM[_kind].format(x[1])} AS {k}" for k, x in _table.items()) + " FROM f"
     else:
-        ORACLE_SQL[_name] = "SELECT i::INT AS i, " + ", ".join(f"round(({x[1]})::DOUBLE, 6) + 0.0 AS {k}" for k, x in _table.items()) + " FROM range(64) t(i)"
+        _shown = "round(({})::DOUBLE, 6) + 0.0" if _kind == "float" else _FORM[_kind]
+        ORACLE_SQL[_name] = "SELECT i::INT AS i, " + ", ".join(f"{_shown.format(x[1])} AS {k}" for k, x in _table.items()) + " FROM range(64) t(i)"
 
 
 _COO = "WITH m AS (SELECT vec_id AS r, unnest(range(64))::INT AS c, unnest(embedding)::DOUBLE AS v FROM embeddings)\n"
@@ -432,6 +517,27 @@ def vecmat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(L.vecmat(y, a), 5)
 
 
+_WHOLE = """WITH m AS (SELECT vec_id AS r, unnest(range(64))::INT AS c, (unnest(embedding)::DOUBLE * 100000)::BIGINT AS v FROM embeddings),
+s AS (SELECT {i} AS i, sum(v * ({w} * 3000001 % 2147483647))::HUGEINT AS v FROM m GROUP BY 1)
+SELECT i, (((v + 2147483648) % 4294967296 + 4294967296) % 4294967296 - 2147483648)::INT AS v FROM s"""
+
+
+@query("matvec_integers", _WHOLE.format(i="r", w="c"))
+def matvec_integers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A x of integers, wrapped to 32 bits."""
+    a = _coo(spark, sf_dir).withColumn("v", F.rint(F.col("v") * 100000).cast("int"))
+    x = spark.range(64).select(F.col("id").cast("int").alias("i"), (F.col("id") * 3000001 % 2147483647).cast("int").alias("v"))
+    return L.matvec(a, x, "int")
+
+
+@query("vecmat_integers", _WHOLE.format(i="c", w="r"))
+def vecmat_integers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """y' A of integers, wrapped to 32 bits."""
+    a = _coo(spark, sf_dir).withColumn("v", F.rint(F.col("v") * 100000).cast("int"))
+    y = a.select(F.col("r").alias("i")).distinct().select("i", (F.col("i") * 3000001 % 2147483647).cast("int").alias("v"))
+    return L.vecmat(y, a, "int")
+
+
 @query("transpose", _COO + "SELECT c AS r, r AS c, round(v, 6) + 0.0 AS v FROM m")
 def transposed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(L.transpose(_coo(spark, sf_dir)))
@@ -455,9 +561,11 @@ def outer_long(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("row_column_sums", _COO + "SELECT 'rowSum' AS k, r AS i, round(sum(v), 5) + 0.0 AS v FROM m GROUP BY r UNION ALL SELECT 'rowMean', r, round(avg(v), 6) + 0.0 FROM m GROUP BY r UNION ALL SELECT 'colSum', c, round(sum(v), 5) + 0.0 FROM m GROUP BY c UNION ALL SELECT 'colMean', c, round(avg(v), 6) + 0.0 FROM m GROUP BY c")
 def row_column_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = _coo(spark, sf_dir)
-    parts = (("rowSum", L.row_sum, 5), ("rowMean", L.row_mean, 6), ("colSum", L.col_sum, 5), ("colMean", L.col_mean, 6))
-    out = [_round(f(a), d).select(F.lit(k).alias("k"), F.col("i").cast("bigint").alias("i"), "v") for k, f, d in parts]
-    return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3])
+    out = []
+    for axis, name in (("r", "row"), ("c", "col")):
+        both = F.array(F.struct(F.lit(f"{name}Sum").alias("k"), (F.round("sum", 5) + 0.0).alias("v")), F.struct(F.lit(f"{name}Mean").alias("k"), (F.round("mean", 6) + 0.0).alias("v")))
+        out.append(L.reduced(a, axis).select(F.col("i").cast("bigint").alias("i"), F.explode(both).alias("e")).select("e.k", "i", "e.v"))
+    return out[0].unionByName(out[1])
 
 
 @query("group_statistics", "SELECT event_type, count(value) AS count, round(sum(value), 2) + 0.0 AS sum, round(avg(value), 6) AS mean, min(value) AS min, max(value) AS max, round(max(value) - min(value), 6) AS range, round(var_pop(value), 4) AS variance, round(stddev_pop(value), 5) AS std_dev FROM events GROUP BY event_type")
@@ -496,10 +604,16 @@ def matrix_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.predicates(g, 1e-6).withColumn("max_zero_error", F.round("max_zero_error", 5))
 
 
-@query("orthogonality", "SELECT TRUE AS orthogonal")
+@query("orthogonality", """WITH g AS (SELECT i // 16 AS r, i % 16 AS c FROM range(256) t(i)),
+m AS (SELECT 'rotation' AS name, r, c, CASE WHEN r = c AND r IN (3, 15) THEN cos(pi() / 4) WHEN r = 3 AND c = 15 THEN -sin(pi() / 4) WHEN r = 15 AND c = 3 THEN sin(pi() / 4) WHEN r = c THEN 1 ELSE 0 END AS v FROM g
+  UNION ALL SELECT 'hilbert', r, c, 1.0::DOUBLE / (r + c + 1) FROM g UNION ALL SELECT 'stretched', r, c, CASE WHEN r = c THEN 1 + 1e-9::DOUBLE * r ELSE 0 END FROM g),
+p AS (SELECT x.name, x.c AS r, y.c AS c, sum(x.v * y.v) AS v FROM m x JOIN m y ON x.name = y.name AND x.r = y.r GROUP BY ALL)
+SELECT name, bool_and(abs(v - (r = c)::INT) <= 1e-12) AS orthogonal FROM p GROUP BY name""")
 def orthogonality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    one = spark.range(1).select(G.rotation(16, 3, 15, math.pi / 4).alias("m"))
-    return L.is_orthogonal(L.from_matrix(one), 1e-12)
+    """One matrix that is orthogonal, one that is not, and one that nearly is."""
+    made = {"rotation": G.rotation(16, 3, 15, math.pi / 4), "hilbert": G.hilbert(16), "stretched": G.diagonal_of(F.transform(G.index(16), lambda x: 1 + 1e-9 * x))}
+    each = [L.is_orthogonal(L.from_matrix(spark.range(1).select(m.alias("m"))), 1e-12).select(F.lit(name).alias("name"), "orthogonal") for name, m in made.items()]
+    return each[0].unionByName(each[1]).unionByName(each[2])
 
 
 @query("permute_rows", _COO + "SELECT (r * 3 + 1) % 1000003 AS r, c, round(v, 6) + 0.0 AS v FROM m")
@@ -539,14 +653,6 @@ def views(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
-@query("random_factories")
-def random_factories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Seeded draws; the tests hold their range, norm and repeatability."""
-    made = {"src22": G.random(64, -2, 3), "src21": G.random_unit(64), "src29": G.mat_random(8, 8)["data"], "src30": G.random_diagonal(8, 1, 2)["data"], "src36": G.random(64, -5, 5, t="int"), "src42": G.random_bool(64)}
-    one = spark.range(1).select(*[e.alias(k) for k, e in made.items()])
-    return one.select(F.posexplode(F.arrays_zip(*made)).alias("i", "z")).select("i", "z.*")
-
-
 def _systems(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An 8 x 8 system a vector: the vector as a matrix with a strong diagonal, and a right-hand side."""
     one = base(spark, sf_dir)
@@ -560,52 +666,74 @@ def _product(a: Column, x: Column) -> Column:
     return F.transform(rows, lambda r: V.total(F.zip_with(F.slice(a["data"], r * a["cols"] + 1, a["cols"]), x, lambda s, t: s * t)))
 
 
-def _off(left: Column, right: Column) -> Column:
-    return V.max_abs(V.sub(left, right))
+_SYSTEMS = """WITH a AS (SELECT vec_id AS id, k // 8 AS r, k % 8 AS c, embedding[k + 1]::DOUBLE + 3 * (k % 9 = 0)::INT AS v, embedding[64 - k % 8]::DOUBLE AS w FROM embeddings, range(64) t(k)),
+b AS (SELECT id, c AS i, w FROM a WHERE r = 0), p AS (SELECT id, r AS i, sum(v * w) AS v FROM a GROUP BY id, r)
+"""
+_RIGHT = _SYSTEMS + "SELECT id, i::INT AS i, round(w, 6) + 0.0 AS v FROM b"
+_PRODUCT = _SYSTEMS + "SELECT id, i::INT AS i, round(v, 6) + 0.0 AS v FROM p"
 
 
-_SOLVED = "SELECT vec_id AS id, TRUE AS solved FROM embeddings"
+def _entries(df: DataFrame, **columns: Column) -> DataFrame:
+    """(id, i, columns) of vectors, rounded."""
+    one = df.select("id", F.posexplode(F.arrays_zip(*[c.alias(k) for k, c in columns.items()])).alias("i", "z"))
+    return one.select("id", "i", *[(F.round(F.col("z")[k], 6) + F.lit(0.0)).alias(k) for k in columns])
 
 
-@query("lu_solve", _SOLVED)
+@query("lu_solve", _RIGHT)
 def lu_solve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each system's solution, put back into it, gives its right-hand side."""
-    done = S.with_lu_solution(_systems(spark, sf_dir))
-    return done.select("id", ((_off(_product(F.col("m"), F.col("x")), F.col("b")) < 1e-9) & ~F.col("singular")).alias("solved"))
+    """Each system's matrix times its solution, which has to be the right-hand side."""
+    done = S.with_lu_solution(_systems(spark, sf_dir)).filter("NOT singular")
+    return _entries(done, v=_product(F.col("m"), F.col("x")))
 
 
-@query("lu_packed_solve", _SOLVED)
+@query("lu_packed_solve", _RIGHT)
 def lu_packed_solve(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = S.with_packed_solution(S.with_lu_packed(_systems(spark, sf_dir)))
-    return done.select("id", (_off(_product(F.col("m"), F.col("x")), F.col("b")) < 1e-9).alias("solved"))
+    return _entries(done, v=_product(F.col("m"), F.col("x")))
 
 
-@query("lu_factors", _SOLVED)
-def lu_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """P A = L U, applied to the right-hand side as a test vector; L and U are triangular."""
-    done = S.with_lu(_systems(spark, sf_dir))
+def _factors(spark: SparkSession, sf_dir: str, pivot: bool) -> DataFrame:
+    """L U b in the matrix's own order of rows, L's diagonal, and what stands in the wrong triangles."""
+    done = S.with_lu(_systems(spark, sf_dir), pivot=pivot)
+    diagonal = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda r: F.get(F.col("l")["data"], r * 9))
+    low = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda r: F.aggregate(F.slice(F.col("l")["data"], r * 9 + 2, 7 - r), F.lit(0.0), lambda s, x: s + F.abs(x)))
+    up = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda r: F.aggregate(F.slice(F.col("u")["data"], r * 8 + 1, r), F.lit(0.0), lambda s, x: s + F.abs(x)))
     again = _product(F.col("l"), _product(F.col("u"), F.col("b")))
-    moved = V.apply_inverse_pivot(_product(F.col("m"), F.col("b")), F.col("p"))
-    shape = V.is_lower_triangular(F.col("l"), 1e-12) & V.is_upper_triangular(F.col("u"), 1e-12)
-    return done.select("id", ((_off(again, moved) < 1e-9) & shape).alias("solved"))
+    return _entries(done, v=V.apply_pivot(again, F.col("p")), diagonal=diagonal, wrong=V.add(low, up))
+
+
+_FACTORS = _SYSTEMS + "SELECT id, i::INT AS i, round(v, 6) + 0.0 AS v, 1.0::DOUBLE AS diagonal, 0.0::DOUBLE AS wrong FROM p"
+
+
+@query("lu_factors", _FACTORS)
+def lu_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _factors(spark, sf_dir, True)
+
+
+@query("lu_factors_in_order", _FACTORS)
+def lu_factors_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Without pivoting (SOL1)."""
+    return _factors(spark, sf_dir, False)
 
 
-@query("qr_factors", _SOLVED)
+@query("qr_factors", _SYSTEMS + "SELECT id, i::INT AS i, round(p.v, 6) + 0.0 AS v, round(w, 6) + 0.0 AS turned, 0.0::DOUBLE AS wrong FROM p JOIN b USING (id, i)")
 def qr_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q R b; Q' Q b; what stands below R's diagonal."""
     done = S.with_qr(_systems(spark, sf_dir))
-    again = _product(F.col("q"), _product(F.col("r"), F.col("b")))
-    return done.select("id", ((_off(again, _product(F.col("m"), F.col("b"))) < 1e-9) & V.is_upper_triangular(F.col("r"), 1e-12)).alias("solved"))
+    below = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda r: F.aggregate(F.slice(F.col("r")["data"], r * 8 + 1, r), F.lit(0.0), lambda s, x: s + F.abs(x)))
+    q, b = F.col("q"), F.col("b")
+    return _entries(done, v=_product(q, _product(F.col("r"), b)), turned=_product(V.transpose(q), _product(q, b)), wrong=below)
 
 
-@query("qr_solve", _SOLVED)
+@query("qr_solve", _RIGHT)
 def qr_solve(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = S.with_qr_solution(S.with_qr(_systems(spark, sf_dir)))
-    return done.select("id", (_off(_product(F.col("m"), F.col("x")), F.col("b")) < 1e-9).alias("solved"))
+    return _entries(done, v=_product(F.col("m"), F.col("x")))
 
 
-@query("triangular_solve", _SOLVED)
+@query("triangular_solve", _SYSTEMS + "SELECT id, i::INT AS i, round(w, 6) + 0.0 AS up, round(w, 6) + 0.0 AS low, round(w, 6) + 0.0 AS unit FROM b")
 def triangular_solve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Upper, lower and unit-diagonal systems."""
+    """Upper, lower and unit-diagonal matrices times their solutions."""
     one = _systems(spark, sf_dir)
     keep = lambda ok: V.on_matrix(lambda d: F.transform(d, lambda x, k: F.when(ok(F.floor(k / 8), k % 8), x).otherwise(0.0)), F.col("m"))
     up, low = keep(lambda r, k: k >= r), keep(lambda r, k: k <= r)
@@ -613,8 +741,7 @@ def triangular_solve(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = one.withColumns({"up": up, "low": low, "unit": unit})
     for m, upper, ones in (("up", True, False), ("low", False, False), ("unit", False, True)):
         done = S.with_triangular_solution(done, m, "b", upper, ones).withColumnRenamed("x", f"x_{m}")
-    ok = [_off(_product(F.col(m), F.col(f"x_{m}")), F.col("b")) < 1e-9 for m in ("up", "low", "unit")]
-    return done.select("id", (ok[0] & ok[1] & ok[2]).alias("solved"))
+    return _entries(done, **{m: _product(F.col(m), F.col(f"x_{m}")) for m in ("up", "low", "unit")})
 
 
 @query("least_squares", "SELECT vec_id AS id, round(regr_slope(y, x), 5) + 0.0 AS slope, round(regr_intercept(y, x), 5) + 0.0 AS intercept FROM (SELECT vec_id, unnest(embedding)::DOUBLE AS x, unnest(list_reverse(embedding))::DOUBLE AS y FROM embeddings) GROUP BY vec_id")

@@ -55,8 +55,9 @@ def linspace(n: int, start: float, end: float, t: str = "double") -> Column:
 
 
 def _unit(place: Column, seed: int) -> Column:
-    """A number in [0, 1) from a seed and a place."""
-    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), place), 11).cast("double") / float(1 << 53)
+    """A number in [0, 1) from a seed and a place: 52 bits of an MD5, so that other engines can repeat it."""
+    digits = F.substring(F.md5(F.concat(F.lit(f"{seed}:"), place.cast("string"))), 1, 13)
+    return F.conv(digits, 16, 10).cast("double") / float(1 << 52)
 
 
 def random(n: int, low: float = -1.0, high: float = 1.0, seed: int = 34215, t: str = "double") -> Column:
