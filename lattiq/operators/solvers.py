@@ -119,13 +119,16 @@ def _times(a: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 
 def _shape(x) -> tuple | None:
-    return None if x is None else (x["rows"], x["cols"]) if isinstance(x, dict) else (len(x),)
+    """None for a null, which pandas may hand over as a struct without data."""
+    if x is None or isinstance(x, float) or (isinstance(x, dict) and (x["data"] is None or isinstance(x["data"], float))):
+        return None
+    return (int(x["rows"]), int(x["cols"])) if isinstance(x, dict) else (len(x),)
 
 
 def _stacked(values: list) -> np.ndarray:
     """Matrices or vectors of one shape as one array."""
     if isinstance(values[0], dict):
-        return np.stack([np.asarray(x["data"], float) for x in values]).reshape(len(values), values[0]["rows"], values[0]["cols"])
+        return np.stack([np.asarray(x["data"], float) for x in values]).reshape(len(values), *_shape(values[0]))
     return np.stack([np.asarray(x) for x in values])
 
 
