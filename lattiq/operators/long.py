@@ -20,6 +20,7 @@ from lattiq.functions import kernels as K
 
 BROADCAST_ROWS = 100_000
 BINS = 4096
+DIRECT_ROWS = 1_000_000
 
 
 def _is_small(df: DataFrame) -> bool:
@@ -177,24 +178,18 @@ def stats(df: DataFrame, value: str, *keys: str) -> DataFrame:
 def order_stats(df: DataFrame, value: str, *keys: str) -> DataFrame:
     """median, q1, q3 per group, exactly.
 
-    A group's range is cut into BINS bins, whose elements are counted with
-    map-side combining; running counts over at most BINS rows a group tell which
-    bins hold the wanted places, and only the distinct values in those are put in
-    order.  Null elements don't count; NaN is larger than all else; a group
-    without elements has nulls.
+    If no group has more than DIRECT_ROWS elements, each one's distinct values are
+    put in order by one task.  Beyond that, a group's range is cut into BINS bins,
+    whose elements are counted with map-side combining; running counts over at
+    most BINS rows a group tell which bins hold the wanted places, and only the
+    distinct values in those are put in order.  Null elements don't count; NaN is
+    larger than all else; a group without elements has nulls.
     """
     from pyspark.sql import Window
 
     names = [f"__k{i}" for i in range(len(keys))]
     x = F.col("__x")
     rows = df.select(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)], F.col(value).cast("double").alias("__x")).filter("__x IS NOT NULL")
-    finite = F.when(~F.isnan(x) & (F.abs(x) != K.INF), x)
-    spread = rows.groupBy(*names).agg(F.min(finite).alias("__lo"), F.max(finite).alias("__hi"), F.count(x).alias("__n"))
-    rows = _matched(rows, spread, names)
-    share = F.when(F.col("__hi") > F.col("__lo"), (x - F.col("__lo")) / (F.col("__hi") - F.col("__lo"))).otherwise(F.lit(0.0))
-    inside = F.least(F.floor(share * BINS), F.lit(BINS - 1))
-    bin_ = F.when(F.isnan(x), BINS + 1).when(x == K.INF, BINS).when(x == -K.INF, -1).otherwise(inside).cast("int")
-    rows = rows.withColumn("__bin", bin_)
     n = F.col("__n")
     mid = F.floor(n / 2)
     half = F.floor(mid / 2)
@@ -204,12 +199,8 @@ def order_stats(df: DataFrame, value: str, *keys: str) -> DataFrame:
         "q3": (F.when(n % 2 == 1, mid + half).when(n == 2, 1).otherwise(mid + half - 1), F.when(n == 2, 1).otherwise(mid + half)),
     }
     places = F.array(*[p.cast("bigint") for pair in pairs.values() for p in pair])
-    upto = lambda by: Window.partitionBy(*names).orderBy(by).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    bins = rows.groupBy(*names, "__n", "__bin").agg(F.count(x).alias("__c"))
-    bins = bins.withColumn("__end", F.sum("__c").over(upto("__bin"))).withColumn("__start", F.col("__end") - F.col("__c"))
-    wanted = bins.filter(F.exists(places, lambda p: (p >= F.col("__start")) & (p < F.col("__end"))))
-    near = _matched(rows.drop("__n"), wanted.select(*names, "__n", "__bin", "__start"), [*names, "__bin"])
-    counted = near.groupBy(*names, "__n", "__bin", "__start", "__x").agg(F.count(x).alias("__c"))
+    largest = rows.groupBy(*names).count().agg(F.max("count")).first()[0] or 0
+    counted = _by_value(rows, names) if largest <= DIRECT_ROWS else _near_places(rows, names, places)
     within = Window.partitionBy(*names, "__bin").orderBy("__x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = counted.withColumn("__end", F.col("__start") + F.sum("__c").over(within))
     at = lambda p: F.max(F.when((F.col("__end") - F.col("__c") <= p) & (F.col("__end") > p), x))
@@ -219,6 +210,35 @@ def order_stats(df: DataFrame, value: str, *keys: str) -> DataFrame:
     return found.select(*[F.col(n).alias(k) for k, n in zip(keys, names, strict=True)], *pairs)
 
 
+def _by_value(rows: DataFrame, names: list[str]) -> DataFrame:
+    """The distinct values of each group with their counts, as one bin."""
+    from pyspark.sql import Window
+
+    counted = rows.groupBy(*names, "__x").agg(F.count(F.lit(1)).alias("__c"))
+    return counted.withColumns({"__n": F.sum("__c").over(Window.partitionBy(*names)), "__start": F.lit(0), "__bin": F.lit(0)})
+
+
+def _near_places(rows: DataFrame, names: list[str], places: Column) -> DataFrame:
+    """The same for the bins that hold one of ``places`` only."""
+    from pyspark.sql import Window
+
+    x = F.col("__x")
+    finite = F.when(~F.isnan(x) & (F.abs(x) != K.INF), x)
+    spread = rows.groupBy(*names).agg(F.min(finite).alias("__lo"), F.max(finite).alias("__hi"), F.count(x).alias("__n"))
+    rows = _matched(rows, spread, names)
+    share = F.when(F.col("__hi") > F.col("__lo"), (x - F.col("__lo")) / (F.col("__hi") - F.col("__lo"))).otherwise(F.lit(0.0))
+    inside = F.least(F.floor(share * BINS), F.lit(BINS - 1))
+    bin_ = F.when(F.isnan(x), BINS + 1).when(x == K.INF, BINS).when(x == -K.INF, -1).otherwise(inside).cast("int")
+    rows = rows.withColumn("__bin", bin_)
+    upto = lambda by: Window.partitionBy(*names).orderBy(by).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    bins = rows.groupBy(*names, "__n", "__bin").agg(F.count(x).alias("__c"))
+    bins = bins.withColumn("__end", F.sum("__c").over(upto("__bin"))).withColumn("__start", F.col("__end") - F.col("__c"))
+    wanted = bins.filter(F.exists(places, lambda p: (p >= F.col("__start")) & (p < F.col("__end"))))
+    near = _matched(rows.drop("__n"), wanted.select(*names, "__n", "__bin", "__start"), [*names, "__bin"])
+    counted = near.groupBy(*names, "__n", "__bin", "__start", "__x").agg(F.count(x).alias("__c"))
+    return counted
+
+
 def _matched(rows: DataFrame, per: DataFrame, names: list[str], how: str = "inner") -> DataFrame:
     """``rows`` with the columns of ``per``, whose rows are named by ``names``; nulls match nulls."""
     other = _small(per.select(*[F.col(c).alias(f"{c}_of") if c in names else F.col(c) for c in per.columns]))

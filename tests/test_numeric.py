@@ -76,7 +76,9 @@ def test_statistics_of_short_vectors(spark):
     assert values(spark, V.l1_mean(vec(1, -3)), V.norm_l1(vec(1, -3)), V.norm_lp(vec(-2, 0), 3.0)) == [2.0, 4.0, pytest.approx(2.0)]
 
 
-def test_long_order_statistics_match_packed(spark):
+@pytest.mark.parametrize("direct", [0, 1_000_000])
+def test_long_order_statistics_match_packed(spark, monkeypatch, direct):
+    monkeypatch.setattr(L, "DIRECT_ROWS", direct)
     rows = [(g, float(x)) for g, n in enumerate((1, 2, 3, 4, 5, 8, 9), 1) for x in np.random.default_rng(g).integers(0, 4, n)]
     df = spark.createDataFrame(rows, "g int, x double")
     got = {r["g"]: (r["median"], r["q1"], r["q3"]) for r in L.order_stats(df, "x", "g").collect()}
@@ -214,7 +216,9 @@ def test_systems_of_several_shapes_and_nulls(spark):
     assert S.with_qr(df.limit(0)).count() == 0
 
 
-def test_order_statistics_of_awkward_values(spark):
+@pytest.mark.parametrize("direct", [0, 1_000_000])
+def test_order_statistics_of_awkward_values(spark, monkeypatch, direct):
+    monkeypatch.setattr(L, "DIRECT_ROWS", direct)
     data = {None: [1.0, 5.0, None], 1: [NAN, 1.0, INF, -INF, 2.0], 2: [None], 3: [7.0] * 9, 4: [float(x) for x in np.random.default_rng(2).normal(size=5000)]}
     df = spark.createDataFrame([(g, x) for g, xs in data.items() for x in xs], "g int, x double")
     got = {r["g"]: (r["median"], r["q1"], r["q3"]) for r in L.order_stats(df, "x", "g").collect()}
