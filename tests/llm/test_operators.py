@@ -61,6 +61,31 @@ def empty(spark):
     return frame(spark, [])
 
 
+# Folders.
+
+def test_a_cluster_must_name_a_shared_folder():
+    from types import SimpleNamespace
+
+    from lattiq.llm import common
+
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]"):
+        session = SimpleNamespace(sparkContext=SimpleNamespace(getCheckpointDir=lambda: None, master=master), conf=SimpleNamespace(get=lambda *_: None))
+        with pytest.raises(RuntimeError):
+            common.ensure_checkpoint_dir(session)
+
+
+def test_scratch_folders_can_be_removed(spark):
+    import os
+
+    from lattiq.llm import common
+
+    path = common.scratch_path(spark, "some")
+    spark.range(3).write.parquet(path)
+    assert os.path.isdir(path.removeprefix("file:")) and common.scratch_path(spark, "some") != path
+    common.remove(spark, path)
+    assert not os.path.exists(path.removeprefix("file:"))
+
+
 # 1. Quality rules.
 
 def repeat_words(w):
