@@ -10,12 +10,13 @@ the input, not on what is left.  Lines without words always stay.
    join exact, this one puts rare words first; its table has a fixed size.
 2. *Prefix.*  Lines with one set are one class.  A class of ``n`` words puts its
    ``n - ceil(t * n) + 1`` first words into an index, each with ``n``, its place
-   and 64 bits to which every word of the set adds one (without carry).  Two
-   entries of a word are a candidate if their lengths allow the threshold, if the
-   words that can follow both places do (positional filter), and if the sets' bits
-   differ in no more places than the sets may differ in words.  None of these can
-   lose a link.  Words of one line only, and classes whose length admits no other
-   partner, are not indexed.
+   and 64 bits to which every word of the set adds one (without carry); 128 beyond
+   ``LONG`` words and 256 beyond ``LONGER``, where the sets may differ in so many
+   words that fewer bits tell nothing.  Two entries of a word are a candidate if
+   their lengths allow the threshold, if the words that can follow both places do
+   (positional filter), and if the sets' bits differ in no more places than the
+   sets may differ in words.  None of these can lose a link.  Words of one line
+   only, and classes whose length admits no other partner, are not indexed.
 3. *Verify.*  Entries with a candidate are marked, one row an entry.  Candidates of
    one word that are connected share a room, and the lines of marked classes go to
    the buckets of their rooms, where full sets decide: pair by pair, or by a product
@@ -63,6 +64,8 @@ LINE_BITS = 64 - TOKEN_BITS
 RANK_BITS = 10
 SLICE = 2048
 SHORT = 64
+LONG = 96
+LONGER = 224
 BLOCK = 256
 FEW = 4096
 LOT = 20_000
@@ -70,8 +73,8 @@ CHUNK_BYTES = 4 << 20
 SENT_BYTES = 16 << 20
 ENTRIES = 1 << 19
 BUCKETS_PER_PARTITION = 3
-_ENTRY = {"word": "<u4", "bits": "<u8", "rest": "<u4", "n": "<u4", "place": "<u4"}
-_HASHES = ("word", "bits", "rest")
+_ENTRY = {"word": "<u4", "bits": "<u8", "rest": "<u4", "n": "<u4", "place": "<u4", "half": "<u8", "second": "<u8", "fourth": "<u8"}
+_HASHES = ("bits", "rest")
 _SET = {"room": "<i8", "doc": "<i8", "line": "<i4"}
 _NULL = np.iinfo(np.int64).min  # stands for a null id, which comes first
 
@@ -259,6 +262,35 @@ def least_size(n: np.ndarray | int, percent: int) -> np.ndarray | int:
     return -(-n * percent // 100)
 
 
+def finer_bits(found: Lines, which: np.ndarray) -> dict[str, np.ndarray]:
+    """The bits of the lines ``which`` dealt into quarters by two more bits of each token: ``half`` is the third
+    quarter with the fourth, for sets of more than LONG words; ``second`` and ``fourth`` are for more than LONGER."""
+    out = {k: np.zeros(len(which), np.uint64) for k in ("half", "second", "fourth")}
+    size = found.size
+    long = np.flatnonzero(size[which] > LONG)
+    if len(long):
+        n = size[which[long]]
+        edge = np.cumsum(n) - n
+        token = Sets(found.token, found.edge, size).rows(which[long])[1]
+        bit, quarter = np.uint64(1) << (token >> np.uint64(TOKEN_BITS - 6)), token >> np.uint64(TOKEN_BITS - 8) & np.uint64(3)
+        added = lambda which: np.bitwise_xor.reduceat(np.where(which, bit, np.uint64(0)), edge)
+        out["half"][long] = added(quarter > 1)
+        longer = n > LONGER
+        if longer.any():
+            out["second"][long[longer]] = added(quarter == 1)[longer]
+            out["fourth"][long[longer]] = added(quarter == 3)[longer]
+    return out
+
+
+def _differ(e: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """In how many of their 256 bits (128 where ``x`` has no more than LONGER words) the entries differ; ``y`` are not shorter."""
+    longer = e["n"][x] > LONGER
+    bits, half = e["bits"][x] ^ e["bits"][y], e["half"][x] ^ e["half"][y]
+    second, fourth = (np.where(longer, e[k][x] ^ e[k][y], np.uint64(0)) for k in ("second", "fourth"))
+    quarters = (bits ^ half ^ second, second, half ^ fourth, fourth)
+    return sum(np.bitwise_count(q).astype(np.int32) for q in quarters)
+
+
 def _index(texts: DataFrame, rank: np.ndarray, percent: int, buckets: int) -> DataFrame:
     shared = texts.sparkSession.sparkContext.broadcast(rank)
 
@@ -276,13 +308,19 @@ def _index(texts: DataFrame, rank: np.ndarray, percent: int, buckets: int) -> Da
         spot = found.edge[one][at] + place
         met = order[spot] > 0  # a word of one line meets no other
         at, place, word, line = at[met], place[met], word[spot[met]], one[at[met]]
-        return {"word": word, "bits": found.bits[line], "rest": found.rest[line], "n": n[line].astype(np.uint32), "place": place.astype(np.uint32)}
+        finer = {k: v[at] for k, v in finer_bits(found, one).items()}
+        return {"word": word, "bits": found.bits[line], "rest": found.rest[line], "n": n[line].astype(np.uint32), "place": place.astype(np.uint32), **finer}
 
     def pack(parts: list[dict[str, np.ndarray]]) -> Iterator[pa.RecordBatch]:
         e = {k: np.concatenate([p[k] for p in parts]) for k in _ENTRY}
         _, one = np.unique(mix(e["word"].astype(np.uint64)) ^ name(e["bits"], e["rest"]).view(np.uint64), return_index=True)
-        e = {k: v[one] for k, v in e.items()}
-        yield from exchange.pack(_bucket(e["word"], buckets), e, _HASHES, np.zeros(1, np.int64))
+        # A bucket is a range of words; in order of words most of their bytes repeat, and the bits that short sets lack lie together.
+        word, n = e["word"][one].astype(np.uint64), e["n"][one]
+        bucket = word * np.uint64(buckets) >> np.uint64(32)
+        level = (n > LONG).astype(np.uint64) + (n > LONGER)
+        order = np.argsort(bucket << np.uint64(34) | level << np.uint64(32) | word)
+        one = one[order]
+        yield from exchange.pack(bucket[order].astype(np.int64), {k: v[one] for k, v in e.items()}, _HASHES, np.zeros(1, np.int64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, n = [], 0
@@ -299,13 +337,18 @@ def _index(texts: DataFrame, rank: np.ndarray, percent: int, buckets: int) -> Da
     return texts.mapInArrow(run, exchange.SCHEMA)
 
 
+def _most(nx: np.ndarray, ny: np.ndarray, percent: int) -> np.ndarray:
+    """How many words two linked sets may have that are not in both."""
+    return (100 - percent) * (nx + ny) // (100 + percent)
+
+
 def _compare(n: np.ndarray, bits: np.ndarray, percent: int, place: np.ndarray | None = None):
     """A test of entries ``x`` against ``y``, which are not shorter: whether lengths, bits and
     places (if known) leave room for the threshold."""
 
     def run(x: np.ndarray, y: np.ndarray) -> np.ndarray:
         nx, ny = n[x], n[y]
-        most = (100 - percent) * (nx + ny) // (100 + percent)  # words that one side alone may have
+        most = _most(nx, ny, percent)
         fit = (100 * nx >= percent * ny) & (np.bitwise_count(bits[x] ^ bits[y]) <= most)
         if place is not None:
             fit &= nx + ny - 2 * np.minimum(nx - place[x], ny - place[y]) <= most
@@ -381,6 +424,10 @@ def _marks(percent: int):
         root = np.arange(len(word))
 
         def mark(x: np.ndarray, y: np.ndarray) -> None:
+            fit = n[x] <= LONG
+            long = np.flatnonzero(~fit)
+            fit[long] = _differ(e, x[long], y[long]) <= _most(n[x[long]], n[y[long]], percent)
+            x, y = x[fit], y[fit]
             met[x] = met[y] = True
             np.add.at(partners, x, mixed[y])
             np.add.at(partners, y, mixed[x])
