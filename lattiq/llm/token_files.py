@@ -15,10 +15,10 @@ documents between those of its neighbours, and ``local_start`` counts ids from
 the start of the file.  Global starts are one prefix sum over one row a file.
 
 Encoding goes word by word where the vocabulary's normaliser and pre-tokeniser
-never look across ASCII white space: the tokenizers library's steps are run on
-each new word, and ids of words and pieces are remembered (a bounded number).  A
-text that holds the mark of an added token, or any text under another pipeline,
-is encoded whole.
+never look across ASCII white space: the distinct words of some megabytes are cut
+into pieces at once, the tokenizers library's steps are run on each new piece (or
+unusual word), and their ids are remembered (a bounded number).  A text that holds
+the mark of an added token, or any text under another pipeline, is encoded whole.
 
 Defined results: a null or empty text has the end id only; null document ids
 come first; repeated rows are all written; malformed UTF-8 is read with
@@ -29,8 +29,8 @@ from __future__ import annotations
 
 import json
 import re
-import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,7 +46,7 @@ ROW_GROUP = 32 << 20
 PAGE_BYTES = 256 << 10
 PAGE_ROWS = 2000
 END_ID = 2
-MEMO_WORDS = 400_000
+MEMO = 400_000
 SCHEMA = "part int, local_start bigint, doc_id bigint, n_tokens int, ids array<int>"
 _encoders: dict[str, "Encoder"] = {}
 
@@ -64,8 +64,9 @@ BY_WORD = [
     None,
     "BPE",
 ]
-#: The same split for visible ASCII and Latin-1 letters in lower case.
-PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^a-z0-9\xdf-\xf6\xf8-\xff]+")
+#: The same split for visible ASCII and Latin-1 letters in lower case, and the end of each word.
+PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^a-z0-9\xdf-\xf6\xf8-\xff\n]+|\n").findall
+ODD = re.compile("[^\n!-~\xc0-\xd6\xd8-\xf6\xf8-\xff]").search
 PLAIN = re.compile("[!-~\xc0-\xd6\xd8-\xf6\xf8-\xff]+").fullmatch
 SPACE = re.compile(rb"[\x20\x09-\x0D]")
 SLICE_BYTES = 4 << 20
@@ -80,18 +81,42 @@ def _byte_letters() -> dict[int, int]:
 
 
 LETTERS = _byte_letters()
-_PACKS = [struct.Struct(f"<{k}I").pack for k in range(64)]
 
 
-def _pack(ids: list[int]) -> bytes:
-    """Little-endian 32-bit integers."""
-    if len(ids) < len(_PACKS):
-        return _PACKS[len(ids)](*ids)
-    return np.array(ids, "<u4").tobytes()
+class Pieces(dict):
+    """Numbers of pieces (visible ASCII and Latin-1 letters) and of unusual words, which have a mark before them; and the ids of each number."""
 
+    END, UNUSUAL = "\n", "\0"
 
-class Encoder(dict):
-    """Word (bytes) to its ids as packed little-endian 32-bit integers.
+    def __init__(self, tokenizer):
+        super().__init__()
+        self.tokenizer, self.tokenize = tokenizer, tokenizer.model.tokenize
+        self.reset()
+
+    def reset(self) -> None:
+        self.clear()
+        self.ids, self.size = array("I"), array("I")
+        for stand_in in (self.END, self.UNUSUAL):
+            self[stand_in] = self.add([])
+
+    def add(self, ids: list[int]) -> int:
+        self.ids.extend(ids)
+        self.size.append(len(ids))
+        return len(self.size) - 1
+
+    def __missing__(self, piece: str) -> int:
+        if piece[0] == self.UNUSUAL:
+            normal = self.tokenizer.normalizer.normalize_str(piece[1:])
+            ids = [t.id for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(normal) for t in self.tokenize(p)]
+        else:
+            letters = piece if piece.isascii() else piece.encode().decode("latin-1").translate(LETTERS)
+            ids = [t.id for t in self.tokenize(letters)]
+        number = self[piece] = self.add(ids)
+        return number
+
+
+class Encoder:
+    """Texts to ids.
 
     Words are taken apart only for the pipeline in ``BY_WORD``; with any other
     normaliser or pre-tokeniser texts are encoded whole.
@@ -100,45 +125,43 @@ class Encoder(dict):
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
-        self.pieces: dict[str, bytes] = {}
+        self.pieces = Pieces(self.tokenizer)
         self.marks = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         told = json.loads(self.tokenizer.to_str())
         steps = [told["normalizer"], told["pre_tokenizer"], told["post_processor"], told["model"]["type"]]
         self.by_word = json.dumps(steps, sort_keys=True) == json.dumps(BY_WORD, sort_keys=True)
 
     def whole(self, text: bytes) -> bytes:
+        """Little-endian 32-bit integers."""
         found = self.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids
-        return _pack(found)
-
-    def piece(self, piece: str) -> bytes:
-        """The ids of a piece of visible ASCII and Latin-1 letters."""
-        packed = self.pieces.get(piece)
-        if packed is None:
-            letters = piece if piece.isascii() else piece.encode().decode("latin-1").translate(LETTERS)
-            packed = _pack([t.id for t in self.model.tokenize(letters)])
-            if len(piece) <= 64:
-                if len(self.pieces) >= MEMO_WORDS:
-                    self.pieces.clear()
-                self.pieces[piece] = packed
-        return packed
-
-    def __missing__(self, word: bytes) -> bytes:
-        if word.isalpha():  # visible ASCII is normal but for case, and stands for itself
-            packed = self.piece(word.lower().decode())
-        elif PLAIN(text := word.decode("utf-8", "replace")):  # Latin-1 letters have no other composition
-            packed = b"".join(map(self.piece, PIECE.findall(text.lower())))
-        else:
-            normal = self.tokenizer.normalizer.normalize_str(text)
-            pieces = self.tokenizer.pre_tokenizer.pre_tokenize_str(normal)
-            packed = b"".join([_pack([t.id for t in self.model.tokenize(p)]) for p, _ in pieces])
-        if len(word) <= 64:
-            if len(self) >= MEMO_WORDS:
-                self.clear()
-            self[word] = packed
-        return packed
+        return np.array(found, "<u4").tobytes()
+
+    def words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the words (without white space), one after another, and how many each has."""
+        if not len(words):
+            return np.empty(0, "<u4"), np.empty(0, np.int64)
+        if len(self.pieces) >= MEMO or len(self.pieces.ids) >= 8 * MEMO:
+            self.pieces.reset()
+        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), "\n")
+        text = joined[0].as_buffer().to_pybytes().decode("utf-8", "replace")
+        unusual = []
+        if ODD(text):  # visible ASCII is normal but for case, and Latin-1 letters have no other composition; the rest goes word by word
+            each = text.split("\n")
+            at = [k for k, w in enumerate(each) if w and not PLAIN(w)]
+            unusual = [self.pieces[Pieces.UNUSUAL + each[k]] for k in at]
+            for k in at:
+                each[k] = Pieces.UNUSUAL
+            text = "\n".join(each)
+        found = PIECES(text.lower())
+        number = np.fromiter(map(self.pieces.__getitem__, found), np.int64, len(found))
+        number[number == self.pieces[Pieces.UNUSUAL]] = unusual
+        of = np.cumsum(number == self.pieces[Pieces.END])
+        size = np.array(self.pieces.size, np.int64)
+        start = np.cumsum(size) - size
+        n = size[number]
+        ids = np.array(self.pieces.ids, "<u4")[np.repeat(start[number] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        return ids, np.bincount(of, n, len(words)).astype(np.int64)
 
     def texts(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of the texts, one after another, and how many each has.
@@ -149,21 +172,19 @@ class Encoder(dict):
         parts = [b"" if w else t for t, w in zip(texts, whole, strict=True)]
         found = pc.ascii_split_whitespace(pa.Array.from_buffers(pa.string(), len(parts), pa.array(parts, pa.binary()).buffers()))
         words = found.values.dictionary_encode()
-        distinct = words.dictionary
-        distinct = pa.Array.from_buffers(pa.binary(), len(distinct), distinct.buffers(), offset=distinct.offset).to_pylist()
-        packed = [self[w] if w else b"" for w in distinct]
+        flat, size = self.words(words.dictionary)
         ends = found.offsets.to_numpy()[1:].astype(np.int64)
         index = words.indices.to_numpy().astype(np.int64)
         if any(whole):  # such a text is one more word
             at = np.flatnonzero(whole)
-            index = np.insert(index, ends[at], len(packed) + np.arange(len(at)))
-            packed += [self.whole(texts[k]) for k in at.tolist()]
+            index = np.insert(index, ends[at], len(size) + np.arange(len(at)))
+            packed = [self.whole(texts[k]) for k in at.tolist()]
+            flat = np.concatenate([flat, np.frombuffer(b"".join(packed), "<u4")])
+            size = np.concatenate([size, np.fromiter(map(len, packed), np.int64, len(packed)) // 4])
             ends += np.cumsum(whole)
-        size = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
         at = np.cumsum(size) - size
         n = size[index]
         upto = np.cumsum(n)
-        flat = np.frombuffer(b"".join(packed), "<u4")
         ids = flat[np.repeat(at[index] - (upto - n), n) + np.arange(upto[-1] if len(upto) else 0)]
         return ids, np.diff(np.concatenate([[0], upto])[ends], prepend=0)
 

@@ -377,6 +377,39 @@ def test_long_texts_are_encoded_in_parts(monkeypatch):
         assert n.tolist() == [len(e) for e in expected] and ids.tolist() == sum(expected, [])
 
 
+def test_words_of_any_bytes(monkeypatch):
+    """Malformed UTF-8, unusual letters and marks beside plain words; remembered pieces are dropped in between."""
+    encoder, draw = token_files.Encoder(TOKENIZER), random.Random(9)
+    some = [b"\xff", b"a\xe6\x97", b"\xf0\x9f\x98", b"\xc3", b"\x00", b"\x00\x00b", b"\x7f", "\xd7\xf7".encode(), "Stra\xdfe".encode(), "\u0130'S".encode(), b"I'LL", b"x!!'s", b"'", "e\u0301".encode(), "\u65e5\u672c".encode(), b"Word", b"a,b;c"]
+    texts = [b"".join(draw.choice(some) + draw.choice([b"", b" ", b"\n", b"\t ", b"  "]) for _ in range(n)) for n in (0, 1, 2, 5, 30, 200, 3, 90)]
+    expected = [np.append(np.frombuffer(encoder.whole(t), "<u4"), 2).tolist() for t in texts]
+    for memo in (1, 20, 10**6):
+        monkeypatch.setattr(token_files, "MEMO", memo)
+        for t, e in zip(texts, expected, strict=True):
+            ids, n = token_files.encode_texts(encoder, [t])
+            assert ids.tolist() == e and n.tolist() == [len(e)]
+        ids, n = token_files.encode_texts(encoder, texts)
+        assert ids.tolist() == sum(expected, []) and n.tolist() == [len(e) for e in expected]
+
+
+def test_new_words_of_known_pieces_cost_no_python_step_each():
+    import sys
+
+    encoder, names, calls = token_files.Encoder(TOKENIZER), [a + b for a in "abcdefghij" for b in "klmnopqrst"], 0
+    token_files.encode_texts(encoder, [" ".join([*names, "-", "-."]).encode()])
+
+    def count(frame, event, arg):
+        nonlocal calls
+        calls += event == "call" and frame.f_code.co_filename == token_files.__file__
+
+    sys.setprofile(count)
+    try:
+        token_files.encode_texts(encoder, [" ".join(f"{x}-{y}" for x in names for y in names).encode()])
+    finally:
+        sys.setprofile(None)
+    assert calls < 1000
+
+
 # 6. URLs.
 
 def test_urls(spark):
