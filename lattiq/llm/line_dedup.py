@@ -313,14 +313,15 @@ def _index(texts: DataFrame, rank: np.ndarray, percent: int, buckets: int) -> Da
 
     def pack(parts: list[dict[str, np.ndarray]]) -> Iterator[pa.RecordBatch]:
         e = {k: np.concatenate([p[k] for p in parts]) for k in _ENTRY}
+        parts.clear()
         _, one = np.unique(mix(e["word"].astype(np.uint64)) ^ name(e["bits"], e["rest"]).view(np.uint64), return_index=True)
         # A bucket is a range of words; in order of words most of their bytes repeat, and the bits that short sets lack lie together.
         word, n = e["word"][one].astype(np.uint64), e["n"][one]
         bucket = word * np.uint64(buckets) >> np.uint64(32)
         level = (n > LONG).astype(np.uint64) + (n > LONGER)
         order = np.argsort(bucket << np.uint64(34) | level << np.uint64(32) | word)
-        one = one[order]
-        yield from exchange.pack(bucket[order].astype(np.int64), {k: v[one] for k, v in e.items()}, _HASHES, np.zeros(1, np.int64))
+        e = {k: v[one[order]] for k, v in e.items()}
+        yield from exchange.pack(bucket[order].astype(np.int64), e, _HASHES, np.zeros(1, np.int64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, n = [], 0
