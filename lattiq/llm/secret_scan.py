@@ -13,9 +13,10 @@ Positions come from cutting the text at the matches: match ``i`` starts after
 the pieces and matches before it, so no expression works per character in
 Python and nothing is exploded but matches.
 
-Counting: (hash, repository, owner) is made distinct with map-side combining
-before it is counted, so a value on a third of all rows arrives once a task.
-Classes go back to the candidates by a salted join.
+Counting: the owners and repositories of a hash are made distinct with map-side
+combining before they are counted, so a value on a third of all rows arrives
+once a task for each of them.  Only the hashes of copied examples go back to the
+candidates, by a salted join; base spans travel there without their values.
 
 Defined results: a null or empty text has no spans and the hash of the empty
 string; null owners or repositories count as one owner or repository; repeated
@@ -117,12 +118,10 @@ def _packed(spans: Column) -> Column:
 
 def ownership(candidates: DataFrame) -> DataFrame:
     """(hash, n_repos, n_owners) from (hash, repo, owner)."""
-    seen = candidates.groupBy("hash", "repo", "owner").agg(F.count(F.lit(1)).alias("n"))
-    # Distinct owners and repositories of a hash, each counted once, in two combined steps.
-    owners = seen.groupBy("hash", "owner").agg(F.sum("n").alias("n")).groupBy("hash").agg(
-        F.count(F.lit(1)).alias("n_owners"), F.sum("n").alias("n_seen"))
-    repos = seen.groupBy("hash", "repo").agg(F.lit(1)).groupBy("hash").agg(F.count(F.lit(1)).alias("n_repos"))
-    return owners.join(repos, "hash")
+    name = lambda owns, c: F.struct(F.lit(owns).alias("owns"), F.col(c).alias("name"))
+    # Owners and repositories of a hash are made distinct in one combined step, and counted in another.
+    seen = candidates.select("hash", F.inline(F.array(name(True, "owner"), name(False, "repo")))).distinct()
+    return seen.groupBy("hash").agg(F.count_if(~F.col("owns")).alias("n_repos"), F.count_if("owns").alias("n_owners"))
 
 
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", repo: str | Column = "source", owner: str | Column = "source", max_owners: int = MAX_OWNERS, max_repos: int = MAX_REPOS) -> DataFrame:
@@ -137,18 +136,19 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", repo: str | C
         F.concat(*[F.col(k[0]) for k in KINDS]).alias("base"), F.concat(*[F.col(k[0]) for k in MORE_KINDS]).alias("extra"),
     )
     book = cut(book)  # spans only, no text; row numbers are fixed from here on
-    each = (
-        book.filter((F.size("base") > 0) | (F.size("extra") > 0))
-        .select("row", "repo", "owner", F.explode(F.concat("base", "extra")).alias("span"))
-        .withColumn("hash", F.sha2(F.col("span")["value"], 256))
-    )
+    span = F.col("span")
+    each = book.select("row", "repo", "owner", F.explode(F.concat("base", "extra")).alias("span")).select(
+        "row", "repo", "owner", F.unhex(F.sha2(span["value"], 256)).alias("hash"), (~span["value"].rlike(PLACEHOLDER)).alias("plain"),
+        F.when(span["rank"] >= len(KINDS), span).alias("extra"),
+    )
     counts = ownership(each.select("hash", "repo", "owner"))
-    salted = counts.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(SALT)])))
-    classed = each.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALT)).cast("int")).join(salted, ["hash", "salt"])
-    copied = (F.col("n_owners") > max_owners) | (F.col("n_repos") > max_repos)
-    live = ~copied & ~F.col("span")["value"].rlike(PLACEHOLDER)
+    copies = counts.filter((F.col("n_owners") > max_owners) | (F.col("n_repos") > max_repos))
+    salted = copies.select("hash", F.lit(True).alias("copied"), F.explode(F.array(*[F.lit(i) for i in range(SALT)])).alias("salt"))
+    classed = each.drop("repo", "owner").withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALT)).cast("int")).join(salted, ["hash", "salt"], "left")
+    copied = F.col("copied").isNotNull()
+    live = ~copied & F.col("plain")
     per = classed.groupBy(F.col("row").alias("__row")).agg(
-        F.collect_list(F.when(live & (F.col("span")["rank"] >= len(KINDS)), F.col("span"))).alias("more"),
+        F.collect_list(F.when(live, F.col("extra"))).alias("more"),
         F.sum(live.cast("long")).alias("n_live"),
         F.sum(copied.cast("long")).alias("n_example"),
     )

@@ -542,6 +542,15 @@ def test_values_in_many_repositories_of_one_owner_are_examples(spark):
     assert got[3] == (0, 1) and got[50] == (1, 0)
 
 
+def test_owners_and_repositories_are_counted_with_few_shuffles(spark):
+    seen = [("a", "r1", "o1"), ("a", "r1", "o1"), ("a", "r2", "o1"), ("a", None, "o2"), ("a", None, None), ("b", "x", "x"), ("c", None, None)]
+    counts = secret_scan.ownership(spark.createDataFrame(seen, "hash string, repo string, owner string"))
+    assert sorted((r["hash"], r["n_repos"], r["n_owners"]) for r in counts.collect()) == [("a", 3, 3), ("b", 1, 1), ("c", 1, 1)]
+    scanned = secret_scan.scan(frame(spark, [(i, f"token=abcdef{i}", "en", "s", 0) for i in range(9)]))
+    plan = scanned._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 6 and plan.count("Join") <= 2
+
+
 # 10. Sharding.
 
 def test_sharding(spark, awkward, empty):
